@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words: space and \x09-\x0D, in every encoding-independent form the operators need.
@@ -65,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     """Cut record batches so that the texts of one slice hold about `limit` bytes; one text is never cut."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
@@ -77,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array and the n + 1 offsets of its values in them (null: empty)."""
-    texts = pa.concat_arrays([pa.compute.fill_null(texts.cast(pa.large_binary()), b"")])
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_binary()), b"")])
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

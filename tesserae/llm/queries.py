@@ -17,6 +17,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), capacity=4096)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.quality import quality_verdicts
 
@@ -24,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_sharding, op4_packing, op7_warc, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
