@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.pieces import encode_digest
+
+    return encode_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.sharding import byte_shards
 
@@ -29,6 +35,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.toxicity import severity
+
+    return severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.quality import quality_verdicts
 
@@ -36,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_packing, op7_warc, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_sharding, op4_packing, op7_warc, op9_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
