@@ -49,6 +49,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.suffixes import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.toxicity import severity
 
@@ -62,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op6_topk_search, op7_warc, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules)}
 
 
 OP6_SQL = """
