@@ -21,7 +21,7 @@ OPEN_BINS = 256
 #: Left-over bins of a packer are packed again together with others', about so many pieces in a group.
 TAIL_PIECES = 50_000
 #: Encoded words that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 #: Characters whose normal form is themselves or their lower case, whatever stands beside them.
 _PLAIN = re.compile("[\n\r\t\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -44,22 +44,40 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.seen: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of pretokens, which are encoded side by side: the last id of each is one that ends words."""
+        lines = [" ".join(words[at : at + 200]) for at in range(0, len(words), 200)]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        return (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.seen) > CACHE_WORDS:  # words that came early are the frequent ones
+            self.seen = dict(itertools.islice(self.seen.items(), CACHE_WORDS // 4))
         split = [_PRETOKENS.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        unseen = list(set().union(*(w for w in split if w is not None)).difference(self.seen))
-        for at in range(0, len(unseen), 10_000):
-            part = unseen[at : at + 10_000]
-            self.seen.update(zip(part, self._encode(part), strict=True))
-        of = self.seen.__getitem__
+        known = self.seen.get
+        ids = [None if w is None else list(map(known, w)) for w in split]
+        unseen: dict[str, None] = {}
+        late = [i for i, got in enumerate(ids) if got is not None and None in got]
+        for i in late:
+            unseen.update(dict.fromkeys(w for w, got in zip(split[i], ids[i], strict=True) if got is None))
+        if unseen:
+            words = list(unseen)
+            for at in range(0, len(words), 20_000):
+                part = words[at : at + 20_000]
+                self.seen.update(zip(part, self._encode_words(part), strict=True))
+        for i in late:
+            ids[i] = list(map(self.seen.__getitem__, split[i]))
         whole = iter(self._encode([t for t, w in zip(texts, split, strict=True) if w is None]))
-        return [next(whole) if w is None else b"".join(map(of, w)) for w in split]
+        return [next(whole) if got is None else b"".join(got) for got in ids]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
