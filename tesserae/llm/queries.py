@@ -35,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -68,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op5_minhash_dedup, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules)}
 
 
 OP6_SQL = """
