@@ -171,6 +171,26 @@ def adaptive_thresholds(stats: DataFrame) -> DataFrame:
     ])
 
 
+BASE_FAILED = "n_words < 50 or n_repeat_words * 100 > n_words * 50"
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Threshold tables of more rows than this are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _judged(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """stats, which has lang and source, with base_failed and kept."""
+    beyond = F.lit(False)
+    for m, (side, _) in METRICS.items():
+        beyond = beyond | (_metric(m) > F.col(f"t_{m}_high"))
+        if side == "both":
+            beyond = beyond | (_metric(m) < F.col(f"t_{m}_low"))
+    limits = limits.toDF(*[f"t_{c}" for c in limits.columns])
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
+    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~F.coalesce(beyond, F.lit(False)))
+    return joined.withColumn("kept", kept)
+
+
 def quality_verdicts(documents: DataFrame) -> DataFrame:
     """One row per document: the statistics, base_failed and kept, beside doc_id, lang and source.
 
@@ -180,18 +200,18 @@ def quality_verdicts(documents: DataFrame) -> DataFrame:
     judged one by one; an empty table gives no rows. Columns of other names are ignored.
     """
     rows = documents.select("doc_id", "lang", "source", "text")
-    stats = text_statistics(rows).drop("text").withColumn(
-        "base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    )
-    stats = cut(stats, "quality-stats")
-    limits = cut(adaptive_thresholds(stats), "thresholds").select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.expr("* except (lang, source)"))
-    beyond = F.lit(False)
-    for m, (side, _) in METRICS.items():
-        beyond = beyond | (_metric(m) > F.col(f"{m}_high"))
-        if side == "both":
-            beyond = beyond | (_metric(m) < F.col(f"{m}_low"))
-    joined = stats.join(limits, stats.lang.eqNullSafe(limits.t_lang) & stats.source.eqNullSafe(limits.t_source), "left")
-    return joined.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.when(F.col("base_failed"), F.lit(False)).otherwise(~F.coalesce(beyond, F.lit(False))).alias("kept"),
-    )
+    stats = cut(text_statistics(rows).drop("text").withColumn("base_failed", F.expr(BASE_FAILED)), "quality-stats")
+    limits = cut(adaptive_thresholds(stats), "thresholds")
+    return _judged(stats, limits).select("doc_id", "lang", "source", *STATISTICS, "base_failed", "kept")
+
+
+def reject_low_quality(documents: DataFrame) -> DataFrame:
+    """The documents that quality_verdicts() keeps, with all of their columns.
+
+    The statistics are computed again for the filter, as texts are larger than a second pass is long.
+    """
+    rows = documents.select("lang", "source", "text")
+    stats = cut(text_statistics(rows).drop("text").withColumn("base_failed", F.expr(BASE_FAILED)), "quality-stats")
+    limits = cut(adaptive_thresholds(stats), "thresholds")
+    whole = documents.select(F.struct("*").alias("row"), "lang", "source", "text")
+    return _judged(text_statistics(whole).withColumn("base_failed", F.expr(BASE_FAILED)), limits).filter("kept").select("row.*")

@@ -316,6 +316,22 @@ def _remove(length: int):
     return run
 
 
+RESULT = "kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _without_repeats(documents: DataFrame, rest: list[str], length: int) -> DataFrame:
+    """Columns doc, row (the columns `rest`) and RESULT."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("none"))
+    keyed = documents.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        row.alias("row"),
+    ).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 17)))
+    ranges = repeated_ranges(keyed.select("doc", "tag", "text"), length)
+    joined = keyed.join(_small(ranges, ranges.count()), (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")), "left")
+    return joined.select("doc", "row", "text", "ranges").mapInArrow(_remove(length), f"doc long, row {keyed.schema['row'].dataType.simpleString()}, {RESULT}")
+
+
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept_text, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
@@ -325,11 +341,12 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     rows of one doc_id with different texts count as documents in a fixed order, such rows with equal texts
     as one, each of them returned. No rows give no rows; columns of other names are ignored.
     """
-    keyed = documents.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 17)))
-    ranges = repeated_ranges(keyed, length)
-    joined = keyed.join(_small(ranges, ranges.count()), (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")), "left")
-    done = joined.select("doc", "text", "ranges").mapInArrow(_remove(length), "doc long, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = _without_repeats(documents, [], length)
     return done.select(F.when(F.col("doc") != NO_DOC, F.col("doc")).alias("doc_id"), "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def cut_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with what remove_repeats() leaves of their texts, and n_chars (if there) to match."""
+    done = _without_repeats(documents, [c for c in documents.columns if c != "text"], length)
+    own = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])

@@ -148,7 +148,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     return OrdinalModel(chosen, weights, thresholds)
 
 
-def _scorer(model: OrdinalModel):
+def _score_function(model: OrdinalModel):
     weight = dict(zip(model.features, model.weights.tolist(), strict=True))
     words = {f: w for f, w in weight.items() if not f.endswith("*")}
     starts = {f[:-1]: w for f, w in weight.items() if f.endswith("*")}
@@ -160,10 +160,20 @@ def _scorer(model: OrdinalModel):
         heads = Counter(h for n in lengths for w in tokens if (h := w[:n]) in starts and len(w) > n)
         return sum(words[f] * np.log1p(n) for f, n in found.items()) + sum(starts[f] * np.log1p(n) for f, n in heads.items())
 
+    def grades(batch: pa.RecordBatch) -> np.ndarray:
+        """P(grade > k) of each text of a batch, a column for each k."""
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        return model.above(np.array([score(t) if t else 0.0 for t in texts], dtype=float))
+
+    return grades
+
+
+def _scorer(model: OrdinalModel):
+    grades = _score_function(model)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(iter(batches)):
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            above = model.above(np.array([score(t) if t else 0.0 for t in texts], dtype=float))
+            above = grades(b)
             toxic = above[:, 0]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -188,3 +198,15 @@ def severity(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None
     model = model or train(documents, labels)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_scorer(model), "doc_id long, expected_severity double, p_toxic double, grade int, kept boolean")
+
+
+def reject_toxic(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None = None) -> DataFrame:
+    """The documents that severity() keeps, with all of their columns."""
+    model = model or train(documents, labels)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades = _score_function(model)
+        for b in slices(iter(batches)):
+            yield b.filter(pa.array(grades(b)[:, 0] < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
