@@ -17,62 +17,54 @@ CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 4096
 
 
+#: Queries whose bounds are computed together, and the shares of the lists after which bounds are looked at.
+TOGETHER, DEPTHS = 256, (1 / 8, 1 / 4, 1 / 2, 1)
+
+
 class SortedLists:
-    """One list per dimension of (row, component), in order of the component."""
+    """The components of each dimension in order; queries read them in step, from the end that suits their sign."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.rows = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
-
-    def candidates(self, query: np.ndarray, k: int, own: int = -1) -> np.ndarray:
-        """Rows that may be among the k best of a query (row `own` never is), found by sequential reads alone.
-
-        Each list is read from the end at which its contribution is largest. known: a row's contributions
-        read so far. The frontier (what a list gives next) bounds from above what an unread component adds, the
-        list's far end from below. Reading stops when rows that aren't in hand can't reach the k-th best
-        lower bound; those in hand whose upper bound does are returned, to have their scores resolved.
+        self.vectors, self.values = vectors, np.sort(vectors, axis=0)
+
+    def candidates(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
+        """For each query the rows that may be among its k best (its own row is not), found by sequential reads alone.
+
+        After a read to some depth the frontier of a list is its last value read. A component that was read
+        counts as it is. One that wasn't adds the frontier at most and the list's far end at least, which gives
+        each row an upper and a lower bound. A query stops once rows of which nothing was read can't reach its k-th
+        best lower bound and few rows in hand can; the scores of those are left to resolve. At full depth
+        both bounds are the score.
         """
-        n, dims = self.vectors.shape
-        used = np.flatnonzero(query)
-        if n <= k or not len(used):
-            return np.arange(n)
-        weight = query[used]
-        up = weight > 0
-        rows, values = self.rows[used], self.values[used]
-        far = np.where(up, values[:, 0], values[:, -1]) * weight
-        known, floor_read = np.zeros(n), np.zeros(n)
-        read = np.zeros((n, len(used)), np.float32)
-        depth, step = 0, max(k, n // 64)
-        column = np.arange(len(used))[:, None]
-        slack = 1e-9 * float(np.abs(values).max() * np.abs(weight).sum())
-        while True:
-            to = min(n, depth + step)
-            at = np.where(up[:, None], np.arange(n - to, n - depth)[None, :], np.arange(depth, to)[None, :])
-            ids = rows[column, at]
-            gain = values[column, at] * weight[:, None]
-            flat = ids.ravel()
-            known += np.bincount(flat, weights=gain.ravel(), minlength=n)
-            floor_read += np.bincount(flat, weights=np.broadcast_to(far[:, None], ids.shape).ravel(), minlength=n)
-            read[ids, column] = 1
-            depth = to
-            if depth == n:
-                upper = lower = known
+        v, n = self.vectors, len(self.vectors)
+        found: list[np.ndarray] = [np.arange(n)] * len(queries)
+        if n <= k:
+            return found
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        low, high = self.values[0], self.values[-1]
+        slack = 1e-9 * np.abs(queries) @ np.maximum(np.abs(low), np.abs(high))
+        active = np.arange(len(queries))
+        for share in DEPTHS:
+            depth = max(1, int(n * share))
+            top, bottom = self.values[n - depth], self.values[depth - 1]
+            if depth < n:
+                upper = plus[active] @ np.maximum(v, top).T + minus[active] @ np.minimum(v, bottom).T
+                lower = plus[active] @ np.where(v >= top, v, low).T + minus[active] @ np.where(v <= bottom, v, high).T
             else:
-                frontier = np.where(up, values[:, n - depth], values[:, depth - 1]) * weight
-                upper = known + frontier.sum() - read @ frontier
-                lower = known + far.sum() - floor_read
-            if own >= 0:
-                lower = lower.copy()
-                lower[own] = -np.inf
-            bar = np.partition(lower, n - k)[n - k] - slack
-            # a row of which nothing was read has the sum of the frontiers as its upper bound
-            if depth == n or frontier.sum() < bar:
-                found = np.flatnonzero(upper >= bar)
-                if depth == n or len(found) <= max(4 * k, n // 32):
-                    return found
-            step = min(depth, n // 4 + 1)
+                upper = queries[active] @ v.T
+                lower = upper.copy()
+            mine = np.flatnonzero(own[active] >= 0)
+            lower[mine, own[active[mine]]] = -np.inf
+            bar = np.partition(lower, n - k, axis=1)[:, n - k] - slack[active]
+            hits = upper >= bar[:, None]
+            outsider = plus[active] @ top + minus[active] @ bottom
+            stop = (outsider < bar) & (hits.sum(axis=1) <= max(4 * k, n // 32)) if depth < n else np.ones(len(active), bool)
+            for j in np.flatnonzero(stop):
+                found[active[j]] = np.flatnonzero(hits[j])
+            active = active[~stop]
+            if not len(active):
+                break
+        return found
 
 
 def _exact_scores(vectors: np.ndarray, query: np.ndarray) -> list[int] | np.ndarray:
@@ -95,12 +87,15 @@ def _search(k: int):
             uid, ids = np.asarray(rows.column("uid")), np.asarray(rows.column("vec_id"))
             lists = SortedLists(vectors)
             where = {u: i for i, u in enumerate(uid.tolist())}
-            for q_uid, q_id, q in zip(queries.column("uid").to_pylist(), queries.column("vec_id").to_pylist(), wanted, strict=True):
-                found = lists.candidates(q, k, where.get(q_uid, -1))
-                found = found[uid[found] != q_uid]
-                scores = _exact_scores(vectors[found], q)
-                best = sorted(zip([-int(x) for x in scores], ids[found].tolist(), uid[found].tolist(), strict=True))[:k]
-                out += [(q_uid, q_id, i, u, -x) for x, i, u in best]
+            q_uid, q_id = queries.column("uid").to_pylist(), queries.column("vec_id").to_pylist()
+            own = np.array([where.get(u, -1) for u in q_uid])
+            for at in range(0, len(wanted), TOGETHER):
+                part = slice(at, at + TOGETHER)
+                for u, i, q, rows_ in zip(q_uid[part], q_id[part], wanted[part], lists.candidates(wanted[part], k, own[part]), strict=True):
+                    rows_ = rows_[uid[rows_] != u]
+                    scores = _exact_scores(vectors[rows_], q)
+                    best = sorted(zip([-int(x) for x in scores], ids[rows_].tolist(), uid[rows_].tolist(), strict=True))[:k]
+                    out += [(u, i, v, w, -x) for x, v, w in best]
         columns = list(zip(*out, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_uid", "query_id", "vec_id", "uid", "score"])
 
