@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tesserae.sources import triples as V
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility normal form; the JVM's SQL functions have none."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
