@@ -69,7 +69,8 @@ def is_relation(p: Column | str = "p") -> Column:
 
 def read_graphml(spark: SparkSession, path: str) -> DataFrame:
     """Edges (s, p, o) of a GraphML file."""
-    rows = spark.read.format("xml").option("rowTag", "edge").load(path)
+    schema = "_source string, _target string, data struct<_VALUE: string, _key: string>"
+    rows = spark.read.format("xml").option("rowTag", "edge").option("useLegacyXMLParser", True).schema(schema).load(path)
     return rows.select(F.col("_source").alias("s"), F.col("data._VALUE").alias("p"), F.col("_target").alias("o"))
 
 
