@@ -38,7 +38,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.neardup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("text_hash")
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,59 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP3_SQL = """
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS UBIGINT), CAST(range(8) AS UBIGINT[])),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crc_table),
+d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT doc_id, CAST(octet_length(b) + 1 AS BIGINT) AS size, CAST(xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda h: CAST('0x' || h AS UBIGINT))),
+  lambda s, x: xor(s >> 8, crc_table[CAST(xor(s & 255, x) AS BIGINT) + 1]))) AS BIGINT) AS text_crc32 FROM d, bits),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, CAST(start * 8 // total AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b.b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+o AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM o) GROUP BY doc_id),
+s AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed, n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) AS symbol_share, n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE) AS repeat_share,
+  n_dup_lines * 10 / CAST(greatest(n_words, 1) AS DOUBLE) AS dup_line_share, word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS mean_word FROM s),
+m AS (SELECT lang, source, unnest(['symbol_share', 'repeat_share', 'dup_line_share', 'mean_word']) AS metric, unnest([symbol_share, repeat_share, dup_line_share, mean_word]) AS v FROM b WHERE NOT base_failed),
+k AS (SELECT lang, source, metric, CAST(ceil(round(ln(greatest(v, 0.0001)) / ln(1.02), 6)) AS INTEGER) AS bucket FROM m),
+q AS (SELECT 1 AS level, lang, source, metric, bucket, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 2, lang, NULL, metric, bucket, count(*) FROM k GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, metric, bucket, count(*) FROM k GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS size FROM q),
+z AS (SELECT level, lang, source, metric, any_value(size) AS size, pow(1.02, min(CASE WHEN upto >= size * 0.25 THEN bucket END)) AS q1, pow(1.02, min(CASE WHEN upto >= size * 0.75 THEN bucket END)) AS q3 FROM c GROUP BY ALL),
+h AS (SELECT f.lang, f.source, f.metric, CASE WHEN f.size >= 200 THEN f.q1 WHEN l.size >= 200 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN f.size >= 200 THEN f.q3 WHEN l.size >= 200 THEN l.q3 ELSE a.q3 END AS q3
+  FROM z f JOIN z l ON l.level = 2 AND l.lang = f.lang AND l.metric = f.metric JOIN z a ON a.level = 3 AND a.metric = f.metric WHERE f.level = 1),
+t AS (SELECT lang, source, metric, greatest((q3 - q1) * 3, CASE metric WHEN 'symbol_share' THEN 0.1 WHEN 'repeat_share' THEN 0.25 WHEN 'dup_line_share' THEN 0.3 ELSE 3 END) AS span, q1, q3 FROM h),
+x AS (SELECT lang, source, max(CASE metric WHEN 'symbol_share' THEN q3 + span END) AS hs, max(CASE metric WHEN 'repeat_share' THEN q3 + span END) AS hr, max(CASE metric WHEN 'dup_line_share' THEN q3 + span END) AS hd,
+  max(CASE metric WHEN 'mean_word' THEN q3 + span END) AS hm, max(CASE metric WHEN 'mean_word' THEN q1 - span END) AS lm FROM t GROUP BY lang, source)
+SELECT doc_id, b.lang, b.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN base_failed THEN false ELSE NOT (symbol_share > hs OR repeat_share > hr OR dup_line_share > hd OR mean_word > hm OR mean_word < lm) END AS kept
+FROM b LEFT JOIN x ON x.lang = b.lang AND x.source = b.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": OP6_SQL}
+    return {"op3_sharding": OP3_SQL, "op5_minhash_dedup": OP5_SQL, "op6_topk_search": OP6_SQL, "op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
