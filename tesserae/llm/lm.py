@@ -21,6 +21,8 @@ REACH = 2
 BATCH = 16_384
 #: Tokens of a training step, and the step size.
 STEP_TOKENS, RATE = 4096, 0.15
+#: A partition of fewer tokens than so many steps take is gone through again.
+LEAST_STEPS = 200
 FAN_IN = 32
 
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
@@ -176,17 +178,31 @@ def _trainer(known: np.ndarray, rank: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = WindowNetwork(), 0
         squares = {k: np.full_like(v, 1e-2) for k, v in net.p.items()}
-        for _, words, doc in _texts(batches):
-            ids = _ids(words, known, rank)
-            ctx = net.contexts(ids, doc)
-            seen += len(ids)
-            for a in range(0, len(ids), STEP_TOKENS):
+
+        def learn(ids: np.ndarray, ctx: np.ndarray) -> int:
+            steps = range(0, len(ids), STEP_TOKENS)
+            for a in steps:
                 order = a + np.argsort((ids[a : a + STEP_TOKENS] // _PER_CLASS).astype(np.uint16), kind="stable")
                 _, g = net.forward(ids[order], ctx[:, order], train=True)
                 for k, d in g.items():
                     d /= len(order)
                     squares[k] += d * d
                     net.p[k] -= RATE * d / np.sqrt(squares[k])
+            return len(steps)
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        steps = 0
+        for _, words, doc in _texts(batches):
+            ids = _ids(words, known, rank)
+            ctx = net.contexts(ids, doc)
+            seen += len(ids)
+            steps += learn(ids, ctx)
+            if steps < LEAST_STEPS:
+                held.append((ids, ctx))
+            else:
+                held.clear()
+        while seen and steps < LEAST_STEPS:
+            steps += sum(learn(*x) for x in held)
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([net.flat()], pa.list_(pa.float32()))],
