@@ -18,7 +18,7 @@ FENCE = 3.0
 #: Each metric: the side on which it rejects and the least span (in the metric's own unit) between quartile and fence.
 METRICS = {
     "symbol_share": ("high", 0.10),
-    "repeat_share": ("high", 0.25),
+    "repeat_share": ("high", 0.45),
     "dup_line_share": ("high", 0.30),
     "mean_word": ("both", 3.0),
 }

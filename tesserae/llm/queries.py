@@ -136,7 +136,7 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b
 z AS (SELECT level, lang, source, metric, any_value(size) AS size, pow(1.02, min(CASE WHEN upto >= size * 0.25 THEN bucket END)) AS q1, pow(1.02, min(CASE WHEN upto >= size * 0.75 THEN bucket END)) AS q3 FROM c GROUP BY ALL),
 h AS (SELECT f.lang, f.source, f.metric, CASE WHEN f.size >= 200 THEN f.q1 WHEN l.size >= 200 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN f.size >= 200 THEN f.q3 WHEN l.size >= 200 THEN l.q3 ELSE a.q3 END AS q3
   FROM z f JOIN z l ON l.level = 2 AND l.lang = f.lang AND l.metric = f.metric JOIN z a ON a.level = 3 AND a.metric = f.metric WHERE f.level = 1),
-t AS (SELECT lang, source, metric, greatest((q3 - q1) * 3, CASE metric WHEN 'symbol_share' THEN 0.1 WHEN 'repeat_share' THEN 0.25 WHEN 'dup_line_share' THEN 0.3 ELSE 3 END) AS span, q1, q3 FROM h),
+t AS (SELECT lang, source, metric, greatest((q3 - q1) * 3, CASE metric WHEN 'symbol_share' THEN 0.1 WHEN 'repeat_share' THEN 0.45 WHEN 'dup_line_share' THEN 0.3 ELSE 3 END) AS span, q1, q3 FROM h),
 x AS (SELECT lang, source, max(CASE metric WHEN 'symbol_share' THEN q3 + span END) AS hs, max(CASE metric WHEN 'repeat_share' THEN q3 + span END) AS hr, max(CASE metric WHEN 'dup_line_share' THEN q3 + span END) AS hd,
   max(CASE metric WHEN 'mean_word' THEN q3 + span END) AS hm, max(CASE metric WHEN 'mean_word' THEN q1 - span END) AS lm FROM t GROUP BY lang, source)
 SELECT doc_id, b.lang, b.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
