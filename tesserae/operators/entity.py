@@ -94,3 +94,14 @@ def emit(rows: DataFrame, facts: list[tuple[Column, Column, Column]]) -> DataFra
     """Several triples from each row, those with an empty slot left out."""
     each = F.explode(F.array(*[F.struct(s.cast("string").alias("s"), p.alias("p"), o.cast("string").alias("o")) for s, p, o in facts])).alias("t")
     return rows.select(each).select("t.*").filter("s <> '' and p <> '' and o <> ''")
+
+
+def split_by_type(triples: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Triples of entities that have one of the types, and the remainder."""
+    own = triples.filter((F.col("p") == V.TYPE) & F.col("o").isin(*types)).select("s").distinct()
+    return triples.join(own, "s", "left_semi"), triples.join(own, "s", "left_anti")
+
+
+def unique_elements(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value, order): the last value of each key at the place of its first."""
+    return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.min(order).alias(order))

@@ -240,3 +240,56 @@ def component_sizes(edges: DataFrame) -> DataFrame:
 
 def ordered_ranks(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def entry_points(edges: DataFrame) -> DataFrame:
+    """Nodes from which all others are reached: roots, and the greatest node of each strong component of several."""
+    from tesserae.operators.sets import roots
+
+    strong = written(strong_components(edges))
+    several = strong.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("component").alias("node"))
+    return roots(edges).unionByName(several).distinct()
+
+
+def nested_paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(root, path, node, depth): the tree that unfolding the graph gives, cut at nodes that are on their own path."""
+    steps = written(edges.select("s", "o").distinct())
+    level = written(seeds.select(F.col("node").alias("root"), F.array("node").alias("nodes"), "node"))
+    out = [level.withColumn("depth", F.lit(0))]
+    for k in range(1, depth + 1):
+        ahead = level.join(steps, F.col("node") == F.col("s")).filter(~F.array_contains("nodes", F.col("o")))
+        level = written(ahead.select("root", F.array_append("nodes", F.col("o")).alias("nodes"), F.col("o").alias("node")))
+        out.append(level.withColumn("depth", F.lit(k)))
+    tree = out[0]
+    for x in out[1:]:
+        tree = tree.unionByName(x)
+    return tree.select("root", F.array_join("nodes", "/").alias("path"), "node", "depth")
+
+
+def dendrogram(vectors: DataFrame) -> DataFrame:
+    """(group, step, a, b, size, distance) of centroid linkage within each group of (group, id, vector).
+
+    Clusters are named by their least id; every step joins the two whose centroids are nearest (ties by name). Groups
+    are label sets of some thousands at most, as the distances of a group are held at once.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("id")
+        ids, centre = ordered["id"].tolist(), np.array(ordered["vector"].tolist(), dtype=float)
+        n, out = np.ones(len(ids)), []
+        distance = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(-1))
+        np.fill_diagonal(distance, np.inf)
+        for step in range(len(ids) - 1):
+            i, j = sorted(divmod(int(np.argmin(distance)), len(ids)))
+            out.append((rows["group"].iloc[0], step, ids[i], ids[j], int(n[i] + n[j]), float(distance[i, j])))
+            centre[i] = (centre[i] * n[i] + centre[j] * n[j]) / (n[i] + n[j])
+            n[i] += n[j]
+            distance[j, :] = distance[:, j] = np.inf
+            own = np.sqrt(((centre - centre[i]) ** 2).sum(-1))
+            live = np.isfinite(distance).any(axis=1) & (np.arange(len(ids)) != i)
+            distance[i, :] = distance[:, i] = np.where(live, own, np.inf)
+        return pd.DataFrame(out, columns=["group", "step", "a", "b", "size", "distance"])
+
+    return vectors.groupBy("group").applyInPandas(one, "group long, step int, a long, b long, size int, distance double")

@@ -112,6 +112,70 @@ def answers(candidates: DataFrame, questions: DataFrame, threshold: float = 0.1,
     return ordered.select("qid", "rank", "abstract", "sentence", "confidence", "s", "p", "o")
 
 
+def align(labels: DataFrame, questions: DataFrame, threshold: float, n: int = 1) -> DataFrame:
+    """(qid, concept, label, similarity): the n concepts whose labels are nearest to each question; labels: (node, label)."""
+    names = written(labels.select("label", F.col("label").alias("text")).distinct())
+    scores = rank.tfidf_similarity(names, questions, "label").withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= threshold)
+    concepts = scores.join(labels, "label").select("qid", F.col("node").alias("concept"), "label", "similarity")
+    return rank.ranked(concepts, "qid", "concept", k=n)
+
+
+def ask(triples: DataFrame, labels: DataFrame, questions: DataFrame, concept_threshold: float = 0.55, threshold: float = 0.1, n_concepts: int = 1) -> DataFrame:
+    """Answers to each question from the graph around the concepts that it is aligned with.
+
+    The closure below all concepts is found at once, as (seed, node) pairs; triples out of and into those nodes are
+    labelled once whatever number of questions want them.
+    """
+    aligned = written(align(labels, questions, concept_threshold, n_concepts).select("qid", F.col("concept").alias("seed")))
+    up = triples.filter(F.col("p") == V.SUBCLASS).select("s", "o")
+    found = front = written(aligned.select("seed", F.col("seed").alias("node")).distinct())
+    while True:
+        below = front.join(up, F.col("node") == F.col("o")).select("seed", F.col("s").alias("node")).distinct()
+        front = written(below.join(found, ["seed", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        found = written(found.unionByName(front))
+    relations = triples.filter(V.is_relation()).select("s", "p", "o")
+    out = found.join(relations, F.col("node") == F.col("s")).select("seed", "s", "p", "o")
+    into = found.join(relations, F.col("node") == F.col("o")).select("seed", "s", "p", "o")
+    seen = written(out.unionByName(into).distinct())
+    texts = written(texts_of(labelled(seen.select("s", "p", "o").distinct(), labels)))
+    corpus = written(keep_first(texts.select("text", "s", "p", "o", "sentence"), ["text", "s", "p", "o"], ["sentence"]))
+    docs = written(corpus.select("text").distinct().withColumn("doc_id", F.col("text")))
+    scores = rank.tfidf_similarity(docs, questions).withColumn("confidence", F.round("similarity", 6)).filter(F.col("confidence") >= threshold)
+    hits = corpus.join(scores, corpus.text == F.col("doc_id")).join(seen, ["s", "p", "o"]).join(aligned, ["qid", "seed"])
+    hits = hits.select("qid", F.col("text").alias("abstract"), "sentence", "confidence", "s", "p", "o")
+    by_sentence = hits.groupBy("qid", "sentence").agg(F.max(F.struct("confidence", "abstract", "s", "p", "o")).alias("b")).select("qid", "sentence", "b.*")
+    return rank.ranked(by_sentence, "qid", "sentence", "confidence").select("qid", "rank", "abstract", "sentence", "confidence", "s", "p", "o")
+
+
+def fill_templates(templates: list[str], concepts: DataFrame) -> DataFrame:
+    """(qid, question) of question templates with {concept} filled in; concepts: (concept, label)."""
+    each = F.posexplode(F.array(*[F.lit(x) for x in templates])).alias("k", "template")
+    rows = concepts.select("concept", "label", each)
+    return rows.select("concept", F.col("k").alias("qid"), F.replace("template", F.lit("{concept}"), F.col("label")).alias("question"))
+
+
+def replace_subclasses(texts: DataFrame, triples: DataFrame, superclass: str, name: Column, text: str = "text") -> DataFrame:
+    """Put a class's name for the names of its direct subclasses in texts, long names first.
+
+    name turns a column `node` into its written form. The names of one class's direct subclasses form one pattern.
+    """
+    direct = triples.filter((F.col("p") == V.SUBCLASS) & (F.col("o") == superclass)).select(F.col("s").alias("node")).distinct()
+    names = direct.select(F.lower(name).alias("n")).filter("n <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("n")).alias("k"), F.col("n")))), lambda z: F.concat(F.lit("\\Q"), z["n"], F.lit("\\E")))
+    pattern = names.agg(F.array_join(ordered, "|").alias("pattern"))
+    own = triples.sparkSession.range(1).select(F.lit(superclass).alias("node")).select(F.lower(name).alias("super"))
+    joined = texts.crossJoin(F.broadcast(pattern)).crossJoin(F.broadcast(own))
+    return joined.withColumn(text, F.when(F.col("pattern") == "", F.col(text)).otherwise(F.regexp_replace(F.col(text), F.col("pattern"), F.col("super")))).drop("pattern", "super")
+
+
+def answers_json(found: DataFrame) -> DataFrame:
+    """(qid, json): the answers of each question as one JSON array in rank order."""
+    each = F.sort_array(F.collect_list(F.struct("rank", "abstract", "sentence", "confidence", F.array("s", "p", "o").alias("triple"))))
+    return found.groupBy("qid").agg(F.to_json(each).alias("json"))
+
+
 def couple_clusters(labelled_triples: DataFrame) -> DataFrame:
     """(side, key, predicate, members): objects of one subject and predicate, subjects of one object and predicate."""
     objects = labelled_triples.groupBy("s", "p").agg(F.array_sort(F.collect_set("o")).alias("members")).select(F.lit("o").alias("side"), F.col("s").alias("key"), "p", "members")

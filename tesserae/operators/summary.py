@@ -149,3 +149,34 @@ def k_shortest_paths(tokens: DataFrame, k: int = 5, min_words: int = 4) -> DataF
         return out
 
     return tokens.groupBy("cluster").applyInPandas(one, "cluster long, rank int, words string, cost double")
+
+
+def phrase_scores(phrases: DataFrame, scores: DataFrame) -> DataFrame:
+    """(words, score): the sum of a phrase's word scores over its length plus one; unknown words count 0."""
+    each = phrases.select("words").distinct().select("words", F.explode(F.split("words", " ")).alias("word"))
+    joined = each.join(scores, "word", "left")
+    return joined.groupBy("words").agg((F.sum(F.coalesce("score", F.lit(0.0))) / (F.count("*") + 1)).alias("score"))
+
+
+def phrase_clusters(phrases: DataFrame) -> DataFrame:
+    """(words, head): phrases under the longest phrase (ties: the least) that has all of their words.
+
+    Candidates share the phrase's first word in order of the alphabet, so no phrase meets all others.
+    """
+    own = phrases.select("words").distinct().withColumn("set", F.array_sort(F.array_distinct(F.split("words", " "))))
+    by_word = own.select(F.col("words").alias("head"), F.col("set").alias("big"), F.explode("set").alias("first"))
+    met = own.withColumn("first", F.get("set", F.lit(0))).join(by_word, "first").filter(F.size(F.array_except("set", "big")) == 0)
+    return met.groupBy("words").agg(F.min(F.struct((-F.size("big")).alias("k"), F.col("head"))).alias("b")).select("words", "b.head")
+
+
+def attach_answers(tree: DataFrame, answers: DataFrame) -> DataFrame:
+    """Leaves of a summary tree with the metadata of the answers that they quote, by sentence."""
+    return tree.filter("level = 0").join(answers, "sentence", "left")
+
+
+def cut_levels(rows: DataFrame, key: str, order: str, factor: float) -> DataFrame:
+    """The first ceil(n / factor) rows of each key that has more than two."""
+    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy(order)
+    ranked = rows.withColumn("_k", F.row_number().over(w)).join(n, key)
+    return ranked.filter((F.col("_n") <= 2) | (F.col("_k") <= F.ceil(F.col("_n") / factor))).drop("_n", "_k")

@@ -199,3 +199,23 @@ def span_overlap_join(spark, sf):
 @query(f"WITH {PARSED_SQL}, e AS (SELECT sent_id, min(i) AS a, max(i) AS b FROM tok WHERE dep NOT IN ('det', 'punct', 'prep') GROUP BY sent_id) SELECT tok.sent_id, i, text FROM tok JOIN e USING (sent_id) WHERE i BETWEEN a AND b")
 def span_trim(spark, sf):
     return extract.trim_span(parsed(spark), ["sent_id"], F.col("dep").isin("det", "punct", "prep")).select("sent_id", "i", "text")
+
+
+@query(f"{TRIPLES}, k AS (SELECT DISTINCT s FROM triples WHERE p = '{V.TYPE}' AND o IN (SELECT min('ptype:' || p_type) FROM part)), x AS (SELECT s, p, o FROM triples WHERE p IN ('{V.TYPE}', '{V.LABEL}', '{V.IN_SYNSET}')) SELECT s, p, o, s IN (SELECT s FROM k) AS chosen FROM x")
+def split_entities(spark, sf):
+    t = V.from_tables(spark, sf).filter(F.col("p").isin(V.TYPE, V.LABEL, V.IN_SYNSET))
+    first = table(spark, sf, "part").agg(F.min(F.expr("'ptype:' || p_type"))).first()[0]
+    own, rest = entity.split_by_type(t, [first])
+    return own.withColumn("chosen", F.lit(True)).unionByName(rest.withColumn("chosen", F.lit(False)))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id")
+def unique_elements(spark, sf):
+    return entity.unique_elements(table(spark, sf, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_key_values(spark, sf):
+    from tesserae.sources.markup import json_values
+
+    return json_values(table(spark, sf, "events"), "event_id", "props", "k").select("event_id", "value")

@@ -204,3 +204,24 @@ def lattice_edges(spark, sf):
 
     edges = graph.lattice_edges(written(graph.formal_concepts(_name_words(spark, sf))))
     return edges.select(F.array_join("upper", "|").alias("upper"), F.array_join("lower", "|").alias("lower"))
+
+
+@query(f"""{TRIPLES}, e AS (SELECT s, o FROM triples WHERE p = 'my:next' UNION SELECT s, o FROM triples WHERE s LIKE 'name:%' AND p = '{V.SUBCLASS}'),
+{CLOSURE.format(e='e')}, same AS (SELECT x.a, max(x.b) AS m FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
+SELECT DISTINCT s AS node FROM e WHERE s NOT IN (SELECT o FROM e) UNION SELECT greatest(a, m) FROM same""")
+def entry_points(spark, sf):
+    t = V.from_tables(spark, sf)
+    return graph.entry_points(t.filter(f"p = 'my:next' or (p = '{V.SUBCLASS}' and s like 'name:%')"))
+
+
+@query(f"""{NEXT}, t(root, nodes, node, depth) AS (SELECT 'part:' || k, ['part:' || k], 'part:' || k, 0 FROM range(1, 6) r(k)
+UNION ALL SELECT root, list_append(nodes, e.o), e.o, depth + 1 FROM t JOIN e ON e.s = t.node WHERE depth < 3 AND NOT list_contains(nodes, e.o))
+SELECT root, array_to_string(nodes, '/') AS path, node, depth FROM t""")
+def nested_paths(spark, sf):
+    return graph.nested_paths(next_edges(spark, sf), nodes_of(spark, *[f"part:{k}" for k in range(1, 6)]), 3)
+
+
+@query()
+def dendrogram(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return graph.dendrogram(v).withColumn("distance", F.round("distance", 6))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.operators import qa, rank, sets, summary
 from tesserae.plans.graph_queries import CONCEPT_GRAPH
 from tesserae.plans.registry import query, table
+from tesserae.plans.set_queries import TRIPLES
 from tesserae.sources import triples as V
 from tesserae.sources.scratch import written
 
@@ -19,7 +20,7 @@ def questions(spark):
     return spark.createDataFrame(QUESTIONS, "qid int, question string")
 
 
-def tfidf_sql(corpus: str) -> str:
+def tfidf_sql(corpus: str, asked: str = Q_SQL) -> str:
     """CTEs w(key, term, tf, df, weight) and sim(qid, key, similarity) over corpus(key, text)."""
     return f"""tok AS (SELECT key, unnest({TOKENS.format(x='text')}) AS term FROM ({corpus})),
 tf AS (SELECT key, term, count(*) AS tf FROM tok GROUP BY key, term), n AS (SELECT count(DISTINCT key) AS n FROM ({corpus})),
@@ -27,7 +28,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT key, term, tf, df, tf * log2(n / CAST(df AS DOUBLE)) AS raw FROM tf JOIN df USING (term), n),
 nrm AS (SELECT key, sqrt(sum(raw * raw)) AS nrm FROM raw GROUP BY key),
 w AS (SELECT key, term, tf, df, coalesce(raw / nullif(nrm, 0), 0) AS weight FROM raw JOIN nrm USING (key)),
-{Q_SQL}, qt AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({TOKENS.format(x='question')}) AS term FROM q) GROUP BY qid, term),
+{asked}, qt AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({TOKENS.format(x='question')}) AS term FROM q) GROUP BY qid, term),
 qr AS (SELECT qid, term, tf * log2(n / CAST(df AS DOUBLE)) AS raw FROM qt JOIN df USING (term), n),
 qn AS (SELECT qid, sqrt(sum(raw * raw)) AS nrm FROM qr GROUP BY qid),
 sim AS (SELECT qid, key, round(sum(coalesce(raw / nullif(nrm, 0), 0) * weight), 6) AS similarity FROM qr JOIN qn USING (qid) JOIN w USING (term) GROUP BY qid, key)"""
@@ -270,3 +271,89 @@ def graph_positions(rows):
     from tesserae.operators.graph import ordered_ranks
 
     return ordered_ranks(rows, ["key"], [F.col("p_partkey")]).select("key", (F.col("ord") - 1).alias("pos"), "text")
+
+
+LAB = f"lab AS (SELECT s AS node, o AS label FROM triples WHERE p = '{V.LABEL}')"
+
+
+@query()
+def ask(spark, sf):
+    """Questions to ranked answers by the concepts that they name."""
+    t = V.from_tables(spark, sf)
+    labels = written(t.filter(F.col("p") == V.LABEL).select(F.col("s").alias("node"), F.col("o").alias("label")))
+    return qa.ask(t, labels, questions(spark), concept_threshold=0.3)
+
+
+@query(f"""{TRIPLES}, {LAB}, {tfidf_sql('SELECT DISTINCT label AS key, label AS text FROM lab')},
+c AS (SELECT qid, node AS concept, label, similarity FROM sim JOIN lab ON lab.label = sim.key WHERE similarity >= 0.3)
+SELECT qid, concept, label, similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, concept DESC) AS INTEGER) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, concept DESC) <= 3""")
+def concept_alignment(spark, sf):
+    t = V.from_tables(spark, sf)
+    labels = written(t.filter(F.col("p") == V.LABEL).select(F.col("s").alias("node"), F.col("o").alias("label")))
+    return qa.align(labels, questions(spark), 0.3, 3)
+
+
+# fixed values: what an overview of a concept asks
+OVERVIEW = ["what is {concept}", "who places an order in {concept}", "how is {concept} supplied", "where does {concept} lie", "why does {concept} contain it"]
+
+
+@query("SELECT 'nation:' || n_nationkey AS concept, k AS qid, replace(q, '{concept}', n_name) AS question FROM nation, (SELECT unnest(range(5)) AS k, unnest([" + ", ".join(f"'{x}'" for x in OVERVIEW) + "]) AS q)")
+def overview_questions(spark, sf):
+    concepts = table(spark, sf, "nation").select(F.expr("'nation:' || n_nationkey").alias("concept"), F.col("n_name").alias("label"))
+    return qa.fill_templates(OVERVIEW, concepts).withColumn("qid", F.col("qid").cast("long"))
+
+
+@query()
+def concept_overview(spark, sf):
+    """Answers to the overview questions of one concept over its graph."""
+    asked = qa.fill_templates(OVERVIEW, spark.createDataFrame([("region:0", "the region")], "concept string, label string")).select("qid", "question")
+    return qa.answers(qa.texts_of(written(labelled_graph(spark, sf))), asked, threshold=0.02)
+
+
+@query()
+def answers_json(spark, sf):
+    return qa.answers_json(answers(spark, sf))
+
+
+@query("""WITH p AS (SELECT string_agg(n, '|' ORDER BY length(n) DESC, n) AS pattern FROM (SELECT DISTINCT lower(p_name) AS n FROM part WHERE split_part(p_name, ' ', -1) = (SELECT min(split_part(p_name, ' ', -1)) FROM part)))
+SELECT p_partkey, regexp_replace(lower(p_name || ' and ' || p_type), pattern, (SELECT min(split_part(p_name, ' ', -1)) FROM part), 'g') AS text FROM part, p""")
+def subclass_replacer(spark, sf):
+    t = V.from_tables(spark, sf)
+    part = table(spark, sf, "part")
+    noun = part.agg(F.min(F.expr("substring_index(p_name, ' ', -1)"))).first()[0]
+    texts = part.select("p_partkey", F.lower(F.concat("p_name", F.lit(" and "), "p_type")).alias("text"))
+    return qa.replace_subclasses(texts, t, f"noun:{noun}", F.substring_index("node", ":", -1)).select("p_partkey", "text")
+
+
+@query("""WITH l AS (SELECT p_brand AS key, p_partkey, p_name, count(*) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)
+SELECT key, p_partkey, p_name FROM l WHERE n <= 2 OR k <= ceil(n / 3.0)""")
+def cut_factor(spark, sf):
+    return summary.cut_levels(table(spark, sf, "part").select(F.col("p_brand").alias("key"), "p_partkey", "p_name"), "key", "p_partkey", 3.0)
+
+
+@query("""WITH r AS (SELECT conv_id AS question, turn, text AS sentence FROM conversations), t AS (SELECT DISTINCT text AS sentence FROM conversations)
+SELECT t.sentence, question, turn FROM t LEFT JOIN r USING (sentence)""")
+def tree_leaf_answers(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("question"), "turn", F.col("text").alias("sentence"))
+    leaves = rows.select("sentence").distinct().withColumn("level", F.lit(0))
+    return summary.attach_answers(leaves, rows).select("sentence", "question", "turn")
+
+
+PHRASES = f"""{PART_WORDS}, ph AS (SELECT DISTINCT words FROM (SELECT cluster, sent, string_agg(word, ' ' ORDER BY pos) AS words FROM tokens GROUP BY cluster, sent))"""
+
+
+def phrases(spark, sf):
+    return summary.runs(part_tokens(spark, sf), F.lit(True)).select("words").distinct()
+
+
+@query(f"WITH {PHRASES}, f AS (SELECT word, count(*) AS n FROM tokens GROUP BY word), u AS (SELECT words, unnest(string_split(words, ' ')) AS word FROM ph) SELECT words, round(sum(CAST(n AS DOUBLE)) / (count(*) + 1), 6) AS score FROM u JOIN f USING (word) GROUP BY words")
+def keyphrase_scores(spark, sf):
+    scores = part_tokens(spark, sf).groupBy("word").agg(F.count("*").cast("double").alias("score"))
+    return summary.phrase_scores(phrases(spark, sf), scores).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {PHRASES}, x AS (SELECT words FROM ph UNION SELECT DISTINCT word FROM tokens), s AS (SELECT words, list_sort(list_distinct(string_split(words, ' '))) AS st FROM x)
+SELECT a.words, b.words AS head FROM s a JOIN s b ON list_has_all(b.st, a.st) QUALIFY row_number() OVER (PARTITION BY a.words ORDER BY len(b.st) DESC, b.words) = 1""")
+def keyphrase_clusters(spark, sf):
+    words = part_tokens(spark, sf).select(F.col("word").alias("words"))
+    return summary.phrase_clusters(phrases(spark, sf).unionByName(words))

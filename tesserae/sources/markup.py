@@ -249,3 +249,28 @@ def memoised(rows: DataFrame, key: list[str], compute, name: str) -> DataFrame:
     """Append compute(key columns), evaluated once for each distinct key."""
     once = rows.select(*key).distinct().withColumn(name, compute)
     return rows.join(once, key, "left")
+
+
+def _values_of(node, key: str) -> Iterator[str]:
+    """Values under a key; a branch is not searched below its first hit."""
+    if isinstance(node, dict):
+        if key in node:
+            yield node[key] if isinstance(node[key], str) else json.dumps(node[key], sort_keys=True)
+            return
+        node = list(node.values())
+    if isinstance(node, list):
+        for x in node:
+            yield from _values_of(x, key)
+
+
+def json_values(documents: DataFrame, key: str, document: str, wanted: str) -> DataFrame:
+    """(key, ord, value) of a JSON key at any depth of a document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, i, v) for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text for i, v in enumerate(_values_of(json.loads(text), wanted))]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [b.schema.types[0], pa.int32(), pa.string()], strict=True)], names=[key, "ord", "value"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(key, document).mapInArrow(run, f"{key} {kind}, ord int, value string")
