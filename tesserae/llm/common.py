@@ -15,7 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes that separate words: space and \x09-\x0D, in every encoding-independent form the operators need.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Texts are handled in slices of about so many bytes, whatever size the Arrow batches have.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+
+#: Arrow batches sent to Python workers hold about so many bytes.
+BATCH_BYTES = 2 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches of long texts small; Spark's own bound counts rows and allows 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,6 +48,7 @@ def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None)
     The table stays until the driver ends, as frames that read it may be lazy.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)

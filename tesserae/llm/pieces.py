@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import mix64, slices
+from tesserae.llm.common import bound_batches, mix64, slices
 
 MODEL = "piece_bpe_32k.model"
 SEED = 1
@@ -238,7 +238,7 @@ def decode_ids(ids: Iterable[int], vocab: Vocabulary) -> str:
 def _encoder(model: str, seed: int, theta: float, digest: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for b in slices(iter(batches)):
+        for b in slices(iter(batches), limit=4 << 20):  # lattices are built once for each chunk of a slice
             texts = b.column(1).to_pylist()
             keys = np.array([k or 0 for k in b.column(0).to_pylist()], dtype=np.int64)
             ids = sample_texts([t or "" for t in texts], keys, vocab, seed, theta)
@@ -269,6 +269,7 @@ def encode(documents: DataFrame, seed: int = SEED, theta: float = THETA, model:
     from the end. Random numbers depend on seed, doc_id and place only. A null text has null ids, an empty one
     the lone space piece; a null doc_id counts as 0; equal rows give equal ids; other columns are not read.
     """
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encoder(model, seed, theta, False), "doc_id long, ids array<int>")
 
@@ -287,5 +288,6 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def encode_digest(documents: DataFrame, seed: int = SEED, theta: float = THETA, model: str = MODEL) -> DataFrame:
     """encode and decode in one pass: n_ids, ids_crc32, the decoded text's crc32, and whether it is the text."""
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encoder(model, seed, theta, True), "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, lossless boolean")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, slices
+from tesserae.llm.common import bound_batches, cut, slices
 
 #: The model is fitted on so many labelled documents at most (those with the least hash of their id).
 SAMPLE_ROWS = 20_000
@@ -195,6 +195,7 @@ def severity(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None
     Whole texts are scored. Null and empty texts have no features and are kept; rows with equal doc_id
     are scored one by one; no rows give no rows; columns of other names are ignored.
     """
+    bound_batches(documents.sparkSession)
     model = model or train(documents, labels)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_scorer(model), "doc_id long, expected_severity double, p_toxic double, grade int, kept boolean")
@@ -202,6 +203,7 @@ def severity(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None = None) -> DataFrame:
     """The documents that severity() keeps, with all of their columns."""
+    bound_batches(documents.sparkSession)
     model = model or train(documents, labels)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
