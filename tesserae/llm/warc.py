@@ -61,49 +61,52 @@ def assign_types(pages: DataFrame) -> DataFrame:
     )
 
 
-def _write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk rows of records. A digest is the SHA-256 of the record's payload up to and including its chunk."""
-    out: list[tuple] = []
-    size, serial = 0, TaskContext.get().partitionId() << 40
-    for b in batches:
-        ids, urls, payloads, kinds, refers = (b.column(b.schema.get_field_index(n)) for n in ("page_id", "url", "payload", "record_type", "refers_to"))
-        for i in range(b.num_rows):
-            page_id, kind = ids[i].as_py(), kinds[i].as_py()
-            payload = memoryview(payloads[i].as_buffer() or b"")
-            whole = hashlib.sha256(payload)
-            head = _head(kind, page_id, urls[i].as_py(), len(payload), whole.hexdigest(), refers[i].as_py())
-            if kind == "revisit":
-                payload = payload[:0]
-            running, name, serial = hashlib.sha256(), record_id(page_id), serial + 1
-            for n, at in enumerate(range(0, max(1, len(payload)), CHUNK_BYTES)):
-                piece = payload[at : at + CHUNK_BYTES]
-                running.update(piece)
-                last = at + CHUNK_BYTES >= len(payload)
-                block = (head if n == 0 else b"") + bytes(piece) + (b"\r\n\r\n" if last else b"")
-                out.append((name, serial, n, last, block, running.hexdigest()))
-                size += len(block)
-                if size > 4 << 20:
-                    yield _batch(out)
-                    out, size = [], 0
-    if out:
-        yield _batch(out)
+def _writer(chunk_bytes: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunk rows of records. A digest is the SHA-256 of the record's payload up to and including its chunk."""
+        out: list[tuple] = []
+        size, serial = 0, TaskContext.get().partitionId() << 40
+        for b in batches:
+            ids, urls, payloads, kinds, refers = (b.column(b.schema.get_field_index(n)) for n in ("page_id", "url", "payload", "record_type", "refers_to"))
+            for i in range(b.num_rows):
+                page_id, kind = ids[i].as_py(), kinds[i].as_py()
+                payload = memoryview(payloads[i].as_buffer() or b"")
+                whole = hashlib.sha256(payload)
+                head = _head(kind, page_id, urls[i].as_py(), len(payload), whole.hexdigest(), refers[i].as_py())
+                if kind == "revisit":
+                    payload = payload[:0]
+                running, name, serial = hashlib.sha256(), record_id(page_id), serial + 1
+                for n, at in enumerate(range(0, max(1, len(payload)), chunk_bytes)):
+                    piece = payload[at : at + chunk_bytes]
+                    running.update(piece)
+                    last = at + chunk_bytes >= len(payload)
+                    block = (head if n == 0 else b"") + bytes(piece) + (b"\r\n\r\n" if last else b"")
+                    out.append((name, serial, n, last, block, running.hexdigest()))
+                    size += len(block)
+                    if size > 4 << 20:
+                        yield _batch(out)
+                        out, size = [], 0
+        if out:
+            yield _batch(out)
+
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def write_archive(pages: DataFrame) -> DataFrame:
+def write_archive(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write one WARC record per page and return the written chunk table (record_id, serial, chunk_no, last,
     block, digest). serial tells apart the records of pages that have the same page_id.
 
     The blocks of a record in chunk order are its bytes: header, HTTP head, payload, closing blank lines. A row
-    holds CHUNK_BYTES of payload at most, so neither writer nor reader needs a buffer as large as a record.
+    holds chunk_bytes of payload at most, so neither writer nor reader needs a buffer as large as a record.
     Repeated pages get records of their own; one without page_id is a response. Null html is an empty payload; no
     pages give no records; other columns are ignored.
     """
     typed = assign_types(pages).withColumn("payload", F.col("html").cast("binary")).drop("html", "payload_bytes")
-    return cut(typed.mapInArrow(_write, CHUNKS), "archive")
+    return cut(typed.mapInArrow(_writer(chunk_bytes), CHUNKS), "archive")
 
 
 class _Reader:
@@ -167,9 +170,9 @@ def read_archive(chunks: DataFrame) -> DataFrame:
     return chunks.filter(single).mapInArrow(_read, RECORDS).unionByName(long_ones.mapInArrow(_read, RECORDS))
 
 
-def archive_pages(pages: DataFrame) -> DataFrame:
+def archive_pages(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write the pages as archives, read those back, and fail if a record isn't what was written."""
-    records = read_archive(write_archive(pages))
+    records = read_archive(write_archive(pages, chunk_bytes))
     sound = F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.col("page_id").cast("string"))))
     return records.select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
 

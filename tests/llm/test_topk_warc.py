@@ -48,10 +48,9 @@ PAGES = [(3, "http://a/3", "x" * 150), (1, "http://a/1", "x" * 150), (2, None, "
 
 
 @pytest.mark.parametrize("chunk", [64, 256 << 10])
-def test_archive_round_trip(spark, monkeypatch, chunk):
-    monkeypatch.setattr(warc, "CHUNK_BYTES", chunk)
+def test_archive_round_trip(spark, chunk):
     df = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, record_type string")
-    got = {r["page_id"]: tuple(r)[1:] for r in warc.archive_pages(df).collect()}
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.archive_pages(df, chunk).collect()}
     first = {}
     for i, _, h in sorted(PAGES):
         data = (h or "").encode()
@@ -60,9 +59,8 @@ def test_archive_round_trip(spark, monkeypatch, chunk):
     assert len(got) == len(PAGES)
 
 
-def test_chunks_are_bounded_and_whole(spark, monkeypatch):
-    monkeypatch.setattr(warc, "CHUNK_BYTES", 64)
-    chunks = warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+def test_chunks_are_bounded_and_whole(spark):
+    chunks = warc.write_archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"), 64)
     assert chunks.agg(F.max(F.octet_length("block"))).first()[0] < 64 + 700
     text = {i: h for i, _, h in PAGES}
     own = {}
