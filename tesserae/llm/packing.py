@@ -21,7 +21,7 @@ OPEN_BINS = 256
 #: Left-over bins of a packer are packed again together with others', about so many pieces in a group.
 TAIL_PIECES = 50_000
 #: Encoded words that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 #: Characters whose normal form is themselves or their lower case, whatever stands beside them.
 _PLAIN = re.compile("[\n\r\t\x20-\x7eÀ-ÖØ-öø-ÿ]*")

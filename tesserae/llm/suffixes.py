@@ -101,7 +101,7 @@ def _anchors(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for b in slices(iter(batches), limit=512 << 10):  # some dozen bytes are held for each of these
+        for b in slices(iter(batches), limit=256 << 10):  # some dozen bytes are held for each of these
             raw, offsets = utf8_buffer(b.column(b.schema.get_field_index("text")))
             docs, tags = (np.asarray(b.column(b.schema.get_field_index(n)), dtype=np.int64) for n in ("doc", "tag"))
             f, h, text, first, last, anchor = segments(raw, offsets, length)
