@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.sets import concept_set
 from tesserae.sources import triples as V
+from tesserae.sources.scratch import small
 
 
 def merge_entities(triples: DataFrame) -> DataFrame:
@@ -54,15 +55,15 @@ def match_templates(triples: DataFrame, templates: DataFrame) -> DataFrame:
     """
     need = templates.select("template", F.size("keys").alias("needed"), F.explode("keys").alias("p"))
     has = triples.select("s", "p").distinct()
-    got = has.join(F.broadcast(need), "p").groupBy("template", "needed", "s").agg(F.count("*").alias("n"))
+    got = has.join(small(need), "p").groupBy("template", "needed", "s").agg(F.count("*").alias("n"))
     return got.filter("n = needed").select("template", "s")
 
 
 def prune_templates(templates: DataFrame) -> DataFrame:
     """Drop a template if one of more keys (of as many: a later one) has all of its keys."""
-    small, large = templates.alias("a"), templates.alias("b")
+    fewer, more = templates.alias("a"), small(templates).alias("b")
     covers = (F.size(F.array_except("a.keys", "b.keys")) == 0) & ((F.size("a.keys") < F.size("b.keys")) | ((F.size("a.keys") == F.size("b.keys")) & (F.col("a.template") < F.col("b.template"))))
-    return small.join(F.broadcast(large), covers, "left_anti")
+    return fewer.join(more, covers, "left_anti")
 
 
 def zero_or_one(edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.sources.scratch import written
+from tesserae.sources.scratch import small, written
 
 
 def ancestors(tokens: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def trim_span(tokens: DataFrame, key: list[str], noise: Column) -> DataFrame:
 def couple_filter(tokens: DataFrame, stop_words: DataFrame, word: str = "word") -> DataFrame:
     """Words that are neither empty, nor stop words, nor hold a digit."""
     fine = tokens.filter((F.col(word) != "") & ~F.col(word).rlike("[0-9]"))
-    return fine.join(F.broadcast(stop_words.select(F.col("stop").alias(word))), word, "left_anti")
+    return fine.join(small(stop_words.select(F.col("stop").alias(word))), word, "left_anti")
 
 
 def couple_triples(subjects: DataFrame, objects: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.sources.scratch import written
+from tesserae.sources.scratch import small, written
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -208,7 +208,7 @@ def formal_concepts(incidence: DataFrame, max_rounds: int = 20) -> DataFrame:
     known = written(base.unionByName(everything).distinct())
     front = known
     for _ in range(max_rounds):
-        met = front.alias("x").join(F.broadcast(base.alias("y")), F.col("x.intent") != F.col("y.intent")).select(F.array_sort(F.array_intersect("x.intent", "y.intent")).alias("intent")).distinct()
+        met = front.alias("x").join(small(base).alias("y"), F.col("x.intent") != F.col("y.intent")).select(F.array_sort(F.array_intersect("x.intent", "y.intent")).alias("intent")).distinct()
         front = written(met.join(known, "intent", "left_anti"))
         if front.isEmpty():
             break

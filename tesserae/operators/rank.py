@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tesserae.functions.text import word_tokens
 from tesserae.operators.sets import top_k
+from tesserae.sources.scratch import small
 
 
 def term_counts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,9 +45,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def dot_pairs(queries: DataFrame, vectors: DataFrame, dims: int | None = None) -> DataFrame:
+def dot_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(qid, vec_id, similarity) of a stated, small set of queries with all vectors."""
-    return vectors.join(F.broadcast(queries), F.col("qid") != F.col("vec_id")).select("qid", "vec_id", dot(F.col("q"), F.col("embedding")).alias("similarity"))
+    return vectors.join(small(queries, 20_000), F.col("qid") != F.col("vec_id")).select("qid", "vec_id", dot(F.col("q"), F.col("embedding")).alias("similarity"))
 
 
 def centred(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -48,8 +48,7 @@ def dots(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
     # the stated queries are a hundredth of the rows; beyond this bound they are not broadcast
-    q = F.broadcast(q) if q.count() <= 20_000 else q
-    pairs = v.join(q, F.col("qid") != F.col("vec_id")).select("qid", "vec_id", rank.dot(F.col("q"), F.col("embedding")).alias("similarity"))
+    pairs = rank.dot_pairs(q, v)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,8 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; otherwise as it is, so that its joins are shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
