@@ -21,7 +21,7 @@ OPEN_BINS = 256
 #: Left-over bins of a packer are packed again together with others', about so many pieces in a group.
 TAIL_PIECES = 50_000
 #: Encoded words that a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 350_000
 
 #: Characters whose normal form is themselves or their lower case, whatever stands beside them.
 _PLAIN = re.compile("[\n\r\t\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -151,7 +151,7 @@ def _packer(capacity: int, bins: int, tokenizer: str, end_id: int):
         def batch(rows: list[tuple], tail: bool) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=False)] + [pa.array([tail] * len(rows))], schema=schema)
 
-        for piece_rows in slices(iter(batches)):
+        for piece_rows in slices(iter(batches), limit=2 << 20):
             for doc_id, ids in zip(piece_rows.column(0).to_pylist(), encode(["" if t is None else t for t in piece_rows.column(1).to_pylist()]), strict=True):
                 ids += end
                 n = len(ids) // 4
