@@ -106,3 +106,45 @@ def test_vocabulary_counts_all_documents(docs):
     table = docs([(1, "x x x y"), (2, "Y z z"), (3, None)])
     words = lm.vocabulary(table, size=3)
     assert len(words) == 2
+
+
+def test_rare_words_have_probabilities_of_their_own(docs):
+    common = [(i, " ".join(f"c{j}" for j in range(1100) for _ in range(3))) for i in range(2)]
+    table = docs([*common, (10, "seldom"), (11, "seldom seldom"), (12, "seldom"), (13, "oddlym"), (14, "oddlym"), (15, "oncem")])
+    model = lm.train(table)
+    counts, _, totals = model[1].rest
+    assert totals.sum(axis=1).tolist() == [(1100 - 1023) * 6 + 7, 1100 - 1023 + 3]
+    assert sum(len(r["words"]) // 8 for r in counts.collect()) == 1103
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.pseudo_likelihood(docs([(1, "oddlym"), (2, "oncem"), (3, "neverm"), (4, "oddlym"), (5, None)]), model).collect()}
+    assert got[1] == got[4] and got[5] == 0 and got[3] < min(got[1], got[2]) - 20
+    # equal last letters, so one class, and no neighbours: only the counts 4 and 0 tell these apart
+    never = np.log((lm.DISCOUNT * totals[1][_class_of("xxom")] + 1) * lm._UNSEEN)
+    seen = {r["doc_id"]: r["log_likelihood"] for r in lm.pseudo_likelihood(docs([(1, "seldom"), (2, "xxom"), (3, "yyom")]), model).collect()}
+    assert seen[2] == pytest.approx(seen[3]) and seen[1] - seen[2] == pytest.approx(np.log(4 - lm.DISCOUNT) - never)
+
+
+def _class_of(word):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([word])], names=["text"])
+    return next(lm._texts([batch]))[1][0] & (lm.RARE_CLASSES - 1)
+
+
+def test_rare_neighbours_and_targets_reach_the_network():
+    net = lm.WindowNetwork()
+    rare = lm.VOCABULARY + 1
+    ids = np.array([rare + 5, 9, rare + 700])
+    ctx = net.contexts(ids, np.zeros(3, int))
+    assert ctx[lm._OFFSETS.index(1)].tolist() == [9, rare + 700, lm.VOCABULARY]
+    inner = [np.exp(net.forward(np.array([rare + c]), ctx[:, :1])[0]) for c in range(lm.RARE_CLASSES)]
+    assert sum(inner) == pytest.approx(np.exp(net.forward(np.array([0]), ctx[:, :1])[0]), rel=1e-4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    _, g = net.forward(ids, ctx, train=True)
+    for name, at in (("to_rare", (3, 5)), ("rare_bias", (700 % lm.RARE_CLASSES,)), ("embed", (lm._OFFSETS.index(1), rare + 700, 4))):
+        old, eps = net.p[name][at], 1e-5
+        net.p[name][at] = old + eps
+        up = -net.forward(ids, ctx).sum()
+        net.p[name][at] = old - eps
+        down = -net.forward(ids, ctx).sum()
+        net.p[name][at] = old
+        assert (up - down) / (2 * eps) == pytest.approx(g[name][at], rel=1e-3, abs=1e-6)
