@@ -104,7 +104,8 @@ def k_shortest_paths(tokens: DataFrame, k: int = 5, min_words: int = 4) -> DataF
     """(cluster, rank, words, cost): cheapest loopless paths through each cluster's word graph that have a verb.
 
     tokens: (cluster, sent, pos, word, tag). Equal (word, tag) pairs of a cluster are one node, but for a sentence
-    that uses one twice. A best-first search extends paths; clusters are sentences on one topic and small.
+    that uses one twice. A best-first search extends paths until k are found or
+    none is left, which may be exponential in the words; clusters are sentences on one topic and small.
     """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +132,7 @@ def k_shortest_paths(tokens: DataFrame, k: int = 5, min_words: int = 4) -> DataF
                 follows.setdefault(a, {})[b] = (count[a] + count[b]) / close[a, b] / (count[a] * count[b])
         found, seen, tick = [], set(), 0
         heap = [(0.0, 0, (("", "<", 0),))]
-        while heap and len(found) < k and tick < 200_000:
+        while heap and len(found) < k:
             cost, _, path = heapq.heappop(heap)
             if path[-1][1] == ">":
                 words = " ".join(n[0] for n in path[1:-1])

@@ -133,3 +133,10 @@ def test_label_similarity(spark):
 
     row = spark.range(1).select(similar(F.lit("obligation"), F.lit("obligations")).alias("a"), similar(F.lit("court"), F.lit("contract")).alias("b"), similar(F.lit(""), F.lit("")).alias("c")).first()
     assert (row["a"], row["b"], row["c"]) == (True, False, True)
+
+
+def test_concepts_are_complete_or_an_error(spark):
+    context = spark.createDataFrame([(f"o{i}", f"a{j}") for i in range(4) for j in range(4) if i != j], "object string, attribute string")
+    assert graph.formal_concepts(context).count() == 16
+    with pytest.raises(ValueError, match="after 1 rounds"):
+        graph.formal_concepts(context, max_rounds=1)

@@ -81,3 +81,13 @@ def test_k_shortest_paths(spark):
     assert len(got) == 3
     assert [r["cost"] for r in got] == sorted(r["cost"] for r in got)
     assert got[0]["words"].split()[1:4] == ["apply", "the", "law"]
+
+
+def test_path_search_ends_only_when_no_path_is_left(spark):
+    from tesserae.operators.summary import k_shortest_paths
+
+    plain = [[f"{'ab'[choice(i)]}{i}" for i in range(17)] for choice in (lambda i: 0, lambda i: 1, lambda i: i % 2, lambda i: 1 - i % 2)]
+    verbal = [f"v{i}" for i in range(40)]  # dearer than all of the 131,072 paths without a verb
+    rows = [(1, s, p, w, "VB" if w == "v3" else "NN") for s, line in enumerate([*plain, verbal]) for p, w in enumerate(line)]
+    got = k_shortest_paths(spark.createDataFrame(rows, "cluster long, sent int, pos int, word string, tag string"), k=3).collect()
+    assert [r["words"] for r in got] == [" ".join(verbal)]
