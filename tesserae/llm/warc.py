@@ -52,8 +52,10 @@ def assign_types(pages: DataFrame) -> DataFrame:
     large = keys.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
     # only digests that occur on more than one page need a place in the join
     shared = cut(large.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared-payloads")
-    copies = large.join(shared, "payload_digest").filter(F.col("page_id") != F.col("first_page")).select("page_id", "first_page").distinct()
-    return page.join(copies, "page_id", "left").select(
+    copies = large.join(shared, "payload_digest").filter(F.col("page_id") != F.col("first_page")).select("page_id", "payload_digest", "first_page").distinct()
+    # a page_id may stand with several payloads, each a record of its own
+    own = page.withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256))
+    return own.join(copies, ["page_id", "payload_digest"], "left").select(
         "page_id", "url", "html",
         F.octet_length("html").cast("long").alias("payload_bytes"),
         F.when(F.col("first_page").isNull(), "response").otherwise("revisit").alias("record_type"),

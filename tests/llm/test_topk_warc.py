@@ -83,3 +83,13 @@ def test_repeated_pages_and_null_ids(spark):
     got = sorted((str(r["page_id"]), r["record_type"]) for r in warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == [("1", "response"), ("1", "response"), ("2", "revisit"), ("None", "response")]
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_one_page_id_with_several_payloads(spark):
+    a, b, own = "a" * 200, "b" * 200, "c" * 200
+    rows = [(1, "u", a), (2, "u", b), (3, "u", a), (3, "u", b), (3, "u", own)]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, digest(a), "response", None), (2, digest(b), "response", None), (3, digest(a), "revisit", 1), (3, digest(b), "revisit", 2), (3, digest(own), "response", None)]
+    assert got == sorted(want)
