@@ -11,17 +11,20 @@ from tesserae.llm.common import cut
 _SPLIT = r"[\x20\x09-\x0D]+"
 #: A sketch counts values in buckets of relative width SKETCH_GAMMA - 1; counts of two sketches add up.
 SKETCH_GAMMA = 1.02
-#: Groups of fewer rows than this take the sketch of their language, and those the sketch of all rows.
-MIN_GROUP = 200
-#: Tukey's far-out fences: so many times the distance between the quartiles beyond them.
-FENCE = 3.0
-#: Each metric: the side on which it rejects and the least span (in the metric's own unit) between quartile and fence.
+#: A group's sketch is merged with its language's, which counts as so many rows, and that with the sketch of all rows.
+PRIOR_ROWS = 50
+#: Fences lie so many spreads beyond the quartiles.
+FENCE = 4.0
+#: Metrics, the side on which each rejects, and the share that one event has in a text, times the words of the text: a
+#: symbol; a window of three words that comes again; a line of ten words.
 METRICS = {
-    "symbol_share": ("high", 0.10),
-    "repeat_share": ("high", 0.45),
-    "dup_line_share": ("high", 0.30),
-    "mean_word": ("both", 3.0),
+    "symbol_share": ("high", 1),
+    "repeat_share": ("high", 6),
+    "dup_line_share": ("high", 10),
+    "mean_word": ("both", 0),
 }
+_QUANTILES = (25, 50, 75, 90)
+_COUNT = "decimal(38,0)"
 
 
 def _let(value: Column, body) -> Column:
@@ -33,7 +36,8 @@ def _repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window which is found twice or more among the windows of the array.
 
     Windows become longs: the high part is a hash of the three words, the low part the place. Sorted, equal
-    windows are neighbours; sorted again by place, the lengths of the covered runs add up without an index.
+    windows are neighbours, whose words are compared; sorted again by place, the lengths of the covered runs add up
+    without an index.
     """
     n = F.size(words)
     # words ** 3 windows: place p in the low bits, as many as the number of words needs
@@ -45,19 +49,22 @@ def _repeat_words(words: Column) -> Column:
         return F.sort_array(F.transform(full, lambda w, i: (F.xxhash64(w["a"], w["b"], w["c"]).bitwiseAND(-step)) + i.cast("long")))
 
     def repeated(keys: Column, step: Column) -> Column:
-        high = F.transform(keys, lambda k: k.bitwiseAND(-step))
-        return _let(high, lambda h: F.filter(
+        def same(x: Column, y: Column) -> Column:
+            p, q = (k.bitwiseAND(step - 1).cast("int") for k in (x, y))
+            words_too = [F.get(words, p + i) == F.get(words, q + i) for i in range(3)]
+            return F.coalesce((x.bitwiseAND(-step) == y.bitwiseAND(-step)) & words_too[0] & words_too[1] & words_too[2], F.lit(False))
+
+        return F.filter(
             F.transform(
                 F.arrays_zip(
-                    F.concat(F.array(F.lit(None).cast("long")), F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))).alias("a"),
-                    h.alias("b"),
-                    F.slice(h, 2, F.size(h)).alias("c"),
-                    keys.alias("k"),
+                    F.concat(F.array(F.lit(None).cast("long")), F.slice(keys, 1, F.greatest(F.size(keys) - 1, F.lit(0)))).alias("a"),
+                    keys.alias("b"),
+                    F.slice(keys, 2, F.size(keys)).alias("c"),
                 ),
-                lambda z: F.when((z["a"] == z["b"]) | (z["b"] == z["c"]), z["k"].bitwiseAND(step - 1)),
+                lambda z: F.when(same(z["a"], z["b"]) | same(z["b"], z["c"]), z["b"].bitwiseAND(step - 1)),
             ),
             lambda p: p.isNotNull(),
-        ))
+        )
 
     def covered(places: Column) -> Column:
         ordered = F.sort_array(places)
@@ -73,7 +80,10 @@ def _repeat_words(words: Column) -> Column:
 
 
 def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Append n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of whole texts; null counts as empty."""
+    """Append n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of whole texts.
+
+    A null text counts as empty and has zeros. Columns of these names in the input are replaced; no rows give no rows.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, _SPLIT), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -85,7 +95,7 @@ def text_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     dup_lines = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     with_all = documents.withColumn("_stats", stats).withColumn("_dup", dup_lines)
     return with_all.select(
-        *[F.col(f"`{c}`") for c in documents.columns],
+        *[F.col(f"`{c}`") for c in documents.columns if c not in STATISTICS],
         F.col("_stats.n_words").alias("n_words"),
         F.col("_stats.word_chars").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -101,6 +111,7 @@ def _metric(name: str) -> Column:
         "repeat_share": F.col("n_repeat_words") / words,
         "dup_line_share": F.col("n_dup_lines") * 10 / words,
         "mean_word": F.col("word_chars") / words,
+        "n_words": words,
     }[name]
 
 
@@ -119,56 +130,76 @@ def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def sketch_quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """(by, metric, q1, q3, size) of sketches: the upper ends of the buckets in which the quartiles lie."""
-    own = F.collect_list(F.struct("bucket", "n"))  # bounded: one entry a bucket
-    grouped = sketches.groupBy(*by, "metric").agg(F.sort_array(own).alias("b"), F.sum("n").alias("size"))
+def _entries(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, b, size): the sketch of each group as an array of at most some hundred buckets, and its rows."""
+    own = F.collect_list(F.struct("bucket", F.col("n").cast(_COUNT).alias("n")))
+    return sketches.groupBy(*by, "metric").agg(own.alias("b"), F.sum("n").cast(_COUNT).alias("size"))
+
+
+def _scaled(entries: Column, by: Column) -> Column:
+    return F.transform(entries, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] * by).cast(_COUNT).alias("n")))
+
+
+def _merged(own: str, size: str, above: str, total: str) -> tuple[Column, Column]:
+    """A sketch merged with PRIOR_ROWS rows of the one above it, in whole numbers: entries and their total."""
+    prior = F.lit(PRIOR_ROWS).cast(_COUNT)
+    entries = F.concat(_scaled(F.col(own), F.col(total)), _scaled(F.col(above), prior))
+    return entries, ((F.col(size) + prior) * F.col(total)).cast(_COUNT)
 
-    def at(share: float) -> Column:
-        need = F.col("size") * share
+
+def sketch_quantiles(entries: Column, total: Column) -> list[Column]:
+    """The upper ends of the buckets in which the _QUANTILES of a sketch lie."""
+
+    def at(ordered: Column, percent: int) -> Column:
         found = F.aggregate(
-            "b",
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bucket")),
+            ordered,
+            F.struct(F.lit(0).cast(_COUNT).alias("seen"), F.lit(None).cast("int").alias("bucket")),
             lambda a, x: F.struct(
-                (a["seen"] + x["n"]).alias("seen"),
-                F.when(a["bucket"].isNotNull(), a["bucket"]).when(a["seen"] + x["n"] >= need, x["bucket"]).alias("bucket"),
+                (a["seen"] + x["n"]).cast(_COUNT).alias("seen"),
+                F.when(a["bucket"].isNotNull(), a["bucket"]).when((a["seen"] + x["n"]) * 100 >= total * percent, x["bucket"]).alias("bucket"),
             ),
         )
         return F.pow(F.lit(SKETCH_GAMMA), found["bucket"])
 
-    return grouped.select(*by, "metric", at(0.25).alias("q1"), at(0.75).alias("q3"), "size")
+    ordered = F.sort_array(entries)
+    return [at(ordered, p).alias(f"q{p}") for p in _QUANTILES]
+
+
+def sketch_quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, q1, q3, size) of sketches by themselves."""
+    own = _entries(sketches, by).select(*by, "metric", "size", *sketch_quantiles(F.col("b"), F.col("size")))
+    return own.select(*by, "metric", F.col("q25").alias("q1"), F.col("q75").alias("q3"), F.col("size").cast("long").alias("size"))
 
 
 def adaptive_thresholds(stats: DataFrame) -> DataFrame:
     """(lang, source) -> lowest and highest value that each metric may take there.
 
-    Only rows that pass the base rules are sketched. A group with few rows takes its language's sketch, which is
-    the merge of its sources' sketches, and a small language that of all rows.
+    Only rows that pass the base rules are sketched. Each group's sketch is merged with PRIOR_ROWS rows of its language's
+    sketch, and that with as many of all rows', so that small groups lean on the larger ones and no size is a switch.
+    A fence lies FENCE spreads beyond a quartile. The spread is the largest of the distance between the quartiles,
+    that between median and ninth decile, the share of one event in a text of the group's median length (most
+    metrics are 0 in most texts, and the first two with them), and the width of the sketch's own buckets.
     """
-    names = list(METRICS)
+    names = [*METRICS, "n_words"]
     sound = stats.filter(~F.col("base_failed")).select("lang", "source", *[_metric(m).alias(m) for m in names])
     fine = cut(quantile_sketches(sound, ["lang", "source"], names), "sketches")
     by_lang = merge_sketches(fine, ["lang"])
-    everything = merge_sketches(by_lang, [])
-    q_fine = sketch_quartiles(fine, ["lang", "source"])
-    q_lang = sketch_quartiles(by_lang, ["lang"]).select("lang", "metric", F.struct("q1", "q3", "size").alias("l"))
-    q_all = sketch_quartiles(everything, []).select("metric", F.struct("q1", "q3", "size").alias("a"))
-    chosen = (
-        q_fine.alias("f")
-        .join(q_lang.alias("g"), (F.col("f.metric") == F.col("g.metric")) & F.col("f.lang").eqNullSafe(F.col("g.lang")), "left")
-        .join(F.broadcast(q_all.alias("h")), F.col("f.metric") == F.col("h.metric"))
-        .select(
-            "f.lang", "f.source", "f.metric",
-            F.when(F.col("f.size") >= MIN_GROUP, F.struct("f.q1", "f.q3"))
-            .when(F.col("l.size") >= MIN_GROUP, F.struct("l.q1", "l.q3"))
-            .otherwise(F.struct("a.q1", "a.q3")).alias("q"),
-        )
-    )
-    span = F.greatest((F.col("q.q3") - F.col("q.q1")) * FENCE, F.create_map(*[x for m, (_, least) in METRICS.items() for x in (F.lit(m), F.lit(least))])[F.col("metric")])
-    fences = chosen.select("lang", "source", "metric", (F.col("q.q1") - span).alias("low"), (F.col("q.q3") + span).alias("high"))
-    return fences.groupBy("lang", "source").agg(*[
-        F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in names for side in ("low", "high")
-    ])
+    everything = _entries(merge_sketches(by_lang, []), []).toDF("a_metric", "a_b", "a_size")  # a row for each metric
+    langs = _entries(by_lang, ["lang"]).join(F.broadcast(everything), F.col("metric") == F.col("a_metric"))
+    entries, total = _merged("b", "size", "a_b", "a_size")
+    langs = langs.select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), entries.alias("l_b"), total.alias("l_total"))
+    groups = _entries(fine, ["lang", "source"]).join(langs, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
+    entries, total = _merged("b", "size", "l_b", "l_total")
+    groups = groups.select("lang", "source", "metric", entries.alias("e"), total.alias("total"))
+    groups = groups.select("lang", "source", "metric", *sketch_quantiles(F.col("e"), F.col("total")))
+    pick = lambda m, q: F.max(F.when(F.col("metric") == m, F.col(q)))
+    wide = groups.groupBy("lang", "source").agg(pick("n_words", "q50").alias("length"), *[pick(m, f"q{p}").alias(f"{m}_{p}") for m in METRICS for p in _QUANTILES])
+    fences = []
+    for m, (_, event) in METRICS.items():
+        q = {p: F.col(f"{m}_{p}") for p in _QUANTILES}
+        span = F.greatest(q[75] - q[25], q[90] - q[50], F.lit(float(event)) / F.col("length"), q[75] * (SKETCH_GAMMA - 1)) * FENCE
+        fences += [(q[25] - span).alias(f"{m}_low"), (q[75] + span).alias(f"{m}_high")]
+    return wide.select("lang", "source", *fences)
 
 
 BASE_FAILED = "n_words < 50 or n_repeat_words * 100 > n_words * 50"
@@ -208,10 +239,11 @@ def quality_verdicts(documents: DataFrame) -> DataFrame:
 def reject_low_quality(documents: DataFrame) -> DataFrame:
     """The documents that quality_verdicts() keeps, with all of their columns.
 
-    The statistics are computed again for the filter, as texts are larger than a second pass is long.
+    Rows are judged as there: null or empty texts go, repeated rows each stay or go, an empty table stays empty. The
+    statistics are written beside the rows, so that texts are gone through once.
     """
-    rows = documents.select("lang", "source", "text")
-    stats = cut(text_statistics(rows).drop("text").withColumn("base_failed", F.expr(BASE_FAILED)), "quality-stats")
-    limits = cut(adaptive_thresholds(stats), "thresholds")
     whole = documents.select(F.struct("*").alias("row"), "lang", "source", "text")
-    return _judged(text_statistics(whole).withColumn("base_failed", F.expr(BASE_FAILED)), limits).filter("kept").select("row.*")
+    stats = text_statistics(whole).drop("text").withColumn("base_failed", F.expr(BASE_FAILED))
+    stats = cut(stats, "quality-rows")
+    limits = cut(adaptive_thresholds(stats.drop("row")), "thresholds")
+    return _judged(stats, limits).filter("kept").select("row.*")

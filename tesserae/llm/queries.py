@@ -129,19 +129,24 @@ s AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed, n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) AS symbol_share, n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE) AS repeat_share,
   n_dup_lines * 10 / CAST(greatest(n_words, 1) AS DOUBLE) AS dup_line_share, word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS mean_word FROM s),
-m AS (SELECT lang, source, unnest(['symbol_share', 'repeat_share', 'dup_line_share', 'mean_word']) AS metric, unnest([symbol_share, repeat_share, dup_line_share, mean_word]) AS v FROM b WHERE NOT base_failed),
+m AS (SELECT lang, source, unnest(['symbol_share', 'repeat_share', 'dup_line_share', 'mean_word', 'n_words']) AS metric, unnest([symbol_share, repeat_share, dup_line_share, mean_word, n_words]) AS v FROM b WHERE NOT base_failed),
 k AS (SELECT lang, source, metric, CAST(ceil(round(ln(greatest(v, 0.0001)) / ln(1.02), 6)) AS INTEGER) AS bucket FROM m),
-q AS (SELECT 1 AS level, lang, source, metric, bucket, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 2, lang, NULL, metric, bucket, count(*) FROM k GROUP BY ALL UNION ALL SELECT 3, NULL, NULL, metric, bucket, count(*) FROM k GROUP BY ALL),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS size FROM q),
-z AS (SELECT level, lang, source, metric, any_value(size) AS size, pow(1.02, min(CASE WHEN upto >= size * 0.25 THEN bucket END)) AS q1, pow(1.02, min(CASE WHEN upto >= size * 0.75 THEN bucket END)) AS q3 FROM c GROUP BY ALL),
-h AS (SELECT f.lang, f.source, f.metric, CASE WHEN f.size >= 200 THEN f.q1 WHEN l.size >= 200 THEN l.q1 ELSE a.q1 END AS q1, CASE WHEN f.size >= 200 THEN f.q3 WHEN l.size >= 200 THEN l.q3 ELSE a.q3 END AS q3
-  FROM z f JOIN z l ON l.level = 2 AND l.lang = f.lang AND l.metric = f.metric JOIN z a ON a.level = 3 AND a.metric = f.metric WHERE f.level = 1),
-t AS (SELECT lang, source, metric, greatest((q3 - q1) * 3, CASE metric WHEN 'symbol_share' THEN 0.1 WHEN 'repeat_share' THEN 0.45 WHEN 'dup_line_share' THEN 0.3 ELSE 3 END) AS span, q1, q3 FROM h),
-x AS (SELECT lang, source, max(CASE metric WHEN 'symbol_share' THEN q3 + span END) AS hs, max(CASE metric WHEN 'repeat_share' THEN q3 + span END) AS hr, max(CASE metric WHEN 'dup_line_share' THEN q3 + span END) AS hd,
-  max(CASE metric WHEN 'mean_word' THEN q3 + span END) AS hm, max(CASE metric WHEN 'mean_word' THEN q1 - span END) AS lm FROM t GROUP BY lang, source)
+f AS (SELECT lang, source, metric, bucket, CAST(count(*) AS HUGEINT) AS n FROM k GROUP BY ALL), fs AS (SELECT lang, source, metric, sum(n) AS size FROM f GROUP BY ALL),
+l AS (SELECT lang, metric, bucket, sum(n) AS n FROM f GROUP BY ALL), ls AS (SELECT lang, metric, sum(n) AS size FROM l GROUP BY ALL),
+a AS (SELECT metric, bucket, sum(n) AS n FROM l GROUP BY ALL), al AS (SELECT metric, sum(n) AS size FROM a GROUP BY ALL),
+lw AS (SELECT ls.lang, a.metric, a.bucket, coalesce(l.n, 0) * al.size + 50 * a.n AS w, (ls.size + 50) * al.size AS total
+  FROM ls JOIN al USING (metric) JOIN a USING (metric) LEFT JOIN l ON l.lang IS NOT DISTINCT FROM ls.lang AND l.metric = a.metric AND l.bucket = a.bucket),
+fw AS (SELECT fs.lang, fs.source, fs.metric, lw.bucket, coalesce(f.n, 0) * lw.total + 50 * lw.w AS w, (fs.size + 50) * lw.total AS total
+  FROM fs JOIN lw ON lw.lang IS NOT DISTINCT FROM fs.lang AND lw.metric = fs.metric LEFT JOIN f ON f.lang IS NOT DISTINCT FROM fs.lang AND f.source IS NOT DISTINCT FROM fs.source AND f.metric = fs.metric AND f.bucket = lw.bucket),
+c AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM fw),
+q AS (SELECT lang, source, metric, pow(1.02, min(CASE WHEN upto * 100 >= total * 25 THEN bucket END)) AS q25, pow(1.02, min(CASE WHEN upto * 100 >= total * 50 THEN bucket END)) AS q50, pow(1.02, min(CASE WHEN upto * 100 >= total * 75 THEN bucket END)) AS q75, pow(1.02, min(CASE WHEN upto * 100 >= total * 90 THEN bucket END)) AS q90 FROM c GROUP BY ALL),
+t AS (SELECT q.*, greatest(q.q75 - q.q25, q.q90 - q.q50, CASE q.metric WHEN 'symbol_share' THEN 1 WHEN 'repeat_share' THEN 6 WHEN 'dup_line_share' THEN 10 ELSE 0 END / n.q50, q.q75 * (1.02 - 1)) * 4 AS span
+  FROM q JOIN q n ON n.metric = 'n_words' AND n.lang IS NOT DISTINCT FROM q.lang AND n.source IS NOT DISTINCT FROM q.source),
+x AS (SELECT lang, source, max(CASE metric WHEN 'symbol_share' THEN q75 + span END) AS hs, max(CASE metric WHEN 'repeat_share' THEN q75 + span END) AS hr, max(CASE metric WHEN 'dup_line_share' THEN q75 + span END) AS hd,
+  max(CASE metric WHEN 'mean_word' THEN q75 + span END) AS hm, max(CASE metric WHEN 'mean_word' THEN q25 - span END) AS lm FROM t GROUP BY lang, source)
 SELECT doc_id, b.lang, b.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   CASE WHEN base_failed THEN false ELSE NOT (symbol_share > hs OR repeat_share > hr OR dup_line_share > hd OR mean_word > hm OR mean_word < lm) END AS kept
-FROM b LEFT JOIN x ON x.lang = b.lang AND x.source = b.source
+FROM b LEFT JOIN x ON x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DISTINCT FROM b.source
 """
 
 

@@ -47,3 +47,31 @@ def test_groups_of_null_and_few_rows(docs):
 def test_no_python_in_the_plan(docs, corpus):
     plan = quality.quality_verdicts(docs(corpus))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_group_has_fences_of_its_own(docs):
+    """Symbols that are common in one source are junk in another."""
+    texts = lambda n, at, mark: [(at + i, " ".join(f"word{(i * 7 + j * j) % 997}" + ("*" if j < mark(i) else "") for j in range(80))) for i in range(n)]
+    rows = docs(texts(120, 0, lambda i: i % 25) + texts(400, 1000, lambda i: 0) + texts(3, 2000, lambda i: 30))
+    source = F.when(F.col("doc_id") < 1000, "signs").otherwise("plain")
+    got = {r["doc_id"] for r in quality.quality_verdicts(rows.withColumn("source", source)).filter("kept").collect()}
+    assert got == {*range(120), *range(1000, 1400)}
+    moved = quality.quality_verdicts(rows.withColumn("source", F.when(F.col("doc_id") >= 2000, "signs").otherwise(source)))
+    assert {r["doc_id"] for r in moved.filter("kept").collect()} == {*range(120), *range(1000, 1400), 2000, 2001, 2002}
+
+
+def test_names_of_the_statistics_may_clash(docs, corpus):
+    table = docs(corpus).withColumn("n_words", F.lit("mine")).withColumn("base_failed", F.lit(1))
+    kept = quality.reject_low_quality(table)
+    assert kept.columns == table.columns
+    want = {r["doc_id"] for r in quality.quality_verdicts(docs(corpus)).filter("kept").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == want
+    assert {r["n_words"] for r in kept.collect()} <= {"mine"}
+
+
+def test_repeats_are_found_by_their_words(spark):
+    """A long text without any window twice, and one whose last window is its first."""
+    words = [f"w{i}" for i in range(60_000)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + words[:3]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.text_statistics(rows).collect()}
+    assert got == {1: 0, 2: 6}
