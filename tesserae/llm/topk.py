@@ -14,57 +14,85 @@ from tesserae.llm.common import cut
 
 #: Candidates whose sorted lists one task holds, and queries that it answers from them.
 CANDIDATE_BLOCK = 8192
-QUERY_BLOCK = 4096
-
-
-#: Queries whose bounds are computed together, and the shares of the lists after which bounds are looked at.
-TOGETHER, DEPTHS = 256, (1 / 8, 1 / 4, 1 / 2, 1)
+QUERY_BLOCK = 16_384
+#: Looks at the bounds; between two of them a 16th of an average list is read. Share of a block's rows that may be left
+#: for resolution when a query stops.
+LOOKS, LEFT_SHARE = 16, 1 / 16
 
 
 class SortedLists:
-    """The components of each dimension in order; queries read them in step, from the end that suits their sign."""
+    """A list for each dimension with (row, component, length of the row's vector) in order of the components.
+
+    A query reads each from the end that suits the sign of its component, the lists of its large components faster, and
+    keeps what it has read.
+    """
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors, self.values = vectors, np.sort(vectors, axis=0)
+        self.n, self.dims = vectors.shape
+        top = float(np.abs(vectors).max(initial=0))
+        self.scale = 2.0 ** np.ceil(np.log2(top)) if top > 0 else 1.0  # squares stay in range
+        scaled = vectors / self.scale
+        self.rows = np.ascontiguousarray(np.argsort(scaled, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.take_along_axis(scaled, self.rows.T.astype(np.int64), axis=0).T.copy()
+        self.squares = (scaled * scaled).sum(axis=1)
+        #: For each query the share of the lists that it read.
+        self.depths: list[float] = []
 
     def candidates(self, queries: np.ndarray, k: int, own: np.ndarray) -> list[np.ndarray]:
-        """For each query the rows that may be among its k best (its own row is not), found by sequential reads alone.
+        """For each query the rows that may be among its k best (its own row is not), found by sequential reads alone."""
+        if self.n <= k:
+            return [np.arange(self.n)] * len(queries)
+        return [self._read(q, k, int(o)) for q, o in zip(queries, own, strict=True)]
+
+    def _read(self, query: np.ndarray, k: int, own: int) -> np.ndarray:
+        """Read until rows of which nothing was read can't qualify and few of the others can; those are returned.
 
-        After a read to some depth the frontier of a list is its last value read. A component that was read
-        counts as it is. One that wasn't adds the frontier at most and the list's far end at least, which gives
-        each row an upper and a lower bound. A query stops once rows of which nothing was read can't reach its k-th
-        best lower bound and few rows in hand can; the scores of those are left to resolve. At full depth
-        both bounds are the score.
+        A row's score is the sum over its components read so far, plus a rest. The rest is at most, either way, the
+        product of the lengths of what is left of both vectors, and at most the sum of the lists' frontiers (the
+        last values read) where these add anything. The k-th best lower bound is the bar.
         """
-        v, n = self.vectors, len(self.vectors)
-        found: list[np.ndarray] = [np.arange(n)] * len(queries)
-        if n <= k:
-            return found
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        low, high = self.values[0], self.values[-1]
-        slack = 1e-9 * np.abs(queries) @ np.maximum(np.abs(low), np.abs(high))
-        active = np.arange(len(queries))
-        for share in DEPTHS:
-            depth = max(1, int(n * share))
-            top, bottom = self.values[n - depth], self.values[depth - 1]
-            if depth < n:
-                upper = plus[active] @ np.maximum(v, top).T + minus[active] @ np.minimum(v, bottom).T
-                lower = plus[active] @ np.where(v >= top, v, low).T + minus[active] @ np.where(v <= bottom, v, high).T
-            else:
-                upper = queries[active] @ v.T
-                lower = upper.copy()
-            mine = np.flatnonzero(own[active] >= 0)
-            lower[mine, own[active[mine]]] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k] - slack[active]
-            hits = upper >= bar[:, None]
-            outsider = plus[active] @ top + minus[active] @ bottom
-            stop = (outsider < bar) & (hits.sum(axis=1) <= max(4 * k, n // 32)) if depth < n else np.ones(len(active), bool)
-            for j in np.flatnonzero(stop):
-                found[active[j]] = np.flatnonzero(hits[j])
-            active = active[~stop]
-            if not len(active):
+        n = self.n
+        dims = np.flatnonzero(query)
+        if not len(dims):
+            self.depths.append(0.0)
+            return np.arange(n)
+        q = query[dims] / float(np.abs(query).max())
+        length = float(q @ q)
+        longest = np.sqrt(length * float(self.squares.max()))
+        slack = 1e-9 * (1 + longest)
+        speed = np.abs(q) * (n / LOOKS / np.abs(q).mean())
+        score, mass, used, seen = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+        read = np.zeros(len(dims), np.int64)
+        few = max(4 * k, n * LEFT_SHARE)
+        for look in range(1, LOOKS + 1):
+            to = np.minimum(n, np.ceil(speed * look).astype(np.int64)) if look < LOOKS else np.full(len(dims), n)
+            where, values = self._next(dims, q > 0, read, to)
+            weight = np.repeat(q, to - read)
+            score += np.bincount(where, values * weight, n)
+            mass += np.bincount(where, values * values, n)
+            used += np.bincount(where, weight * weight, n)
+            seen[where] = True
+            read = to
+            rest, frontier = np.zeros(n), 0.0
+            if look < LOOKS:
+                last = np.where(q > 0, self.values[dims, n - to], self.values[dims, to - 1])
+                frontier = float(np.maximum(last * q, 0)[to < n].sum())
+                rest = np.sqrt(np.maximum(length - used, 0) * np.maximum(self.squares - mass, 0))
+            lower = np.where(seen, score - rest, -np.inf)
+            if own >= 0:
+                lower[own] = -np.inf
+            bar = np.partition(lower, n - k)[n - k] - slack
+            hits = np.flatnonzero(seen & (score + np.minimum(rest, frontier) >= bar))
+            if min(frontier, longest) < bar and len(hits) <= few:
                 break
-        return found
+        self.depths.append(float(read.mean()) / n)
+        return hits
+
+    def _next(self, dims: np.ndarray, down: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places at to to - 1 of each list, from its end where the query's component is positive."""
+        parts = [slice(self.n - t, self.n - a) if d else slice(a, t) for a, t, d in zip(at.tolist(), to.tolist(), down.tolist(), strict=True)]
+        each = list(zip(dims.tolist(), parts, strict=True))
+        return np.concatenate([self.rows[d, p] for d, p in each]), np.concatenate([self.values[d, p] for d, p in each])
 
 
 def _exact_scores(vectors: np.ndarray, query: np.ndarray) -> list[int] | np.ndarray:
@@ -89,13 +117,11 @@ def _search(k: int):
             where = {u: i for i, u in enumerate(uid.tolist())}
             q_uid, q_id = queries.column("uid").to_pylist(), queries.column("vec_id").to_pylist()
             own = np.array([where.get(u, -1) for u in q_uid])
-            for at in range(0, len(wanted), TOGETHER):
-                part = slice(at, at + TOGETHER)
-                for u, i, q, rows_ in zip(q_uid[part], q_id[part], wanted[part], lists.candidates(wanted[part], k, own[part]), strict=True):
-                    rows_ = rows_[uid[rows_] != u]
-                    scores = _exact_scores(vectors[rows_], q)
-                    best = sorted(zip([-int(x) for x in scores], ids[rows_].tolist(), uid[rows_].tolist(), strict=True))[:k]
-                    out += [(u, i, v, w, -x) for x, v, w in best]
+            for u, i, q, rows_ in zip(q_uid, q_id, wanted, lists.candidates(wanted, k, own), strict=True):
+                rows_ = rows_[uid[rows_] != u]
+                scores = _exact_scores(vectors[rows_], q)
+                best = sorted(zip([-int(x) for x in scores], ids[rows_].tolist(), uid[rows_].tolist(), strict=True))[:k]
+                out += [(u, i, v, w, -x) for x, v, w in best]
         columns = list(zip(*out, strict=True)) or [[]] * 5
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_uid", "query_id", "vec_id", "uid", "score"])
 
