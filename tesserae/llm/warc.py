@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,11 +30,12 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def _head(kind: str, page_id: int, url: str | None, length: int, digest: str, refers_to: int | None) -> bytes:
+def _head(kind: str, page_id: int, url: str | None, date: str, length: int, digest: str, refers_to: int | None) -> bytes:
     body = len(_HTTP) + (length if kind == "response" else 0)
     fields = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Date", date),
         ("WARC-Target-URI", "".join(c for c in url or "" if c not in "\r\n")),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -46,7 +48,11 @@ def _head(kind: str, page_id: int, url: str | None, length: int, digest: str, re
 
 
 def assign_types(pages: DataFrame) -> DataFrame:
-    """Append payload_bytes, payload_digest, record_type and refers_to to (page_id, url, html); null html is empty."""
+    """Append payload_bytes, payload_digest, record_type and refers_to to (page_id, url, html).
+
+    Of equal payloads of at least MIN_REVISIT_BYTES the one of smallest page_id is a response, the others revisit it; rows
+    with that page_id and payload are responses too, and so are rows without page_id. Null html is an empty payload.
+    """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     keys = cut(page.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("payload_digest")), "payload-keys")
     large = keys.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
@@ -57,24 +63,23 @@ def assign_types(pages: DataFrame) -> DataFrame:
     own = page.withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256))
     return own.join(copies, ["page_id", "payload_digest"], "left").select(
         "page_id", "url", "html",
-        F.octet_length("html").cast("long").alias("payload_bytes"),
+        F.octet_length("html").cast("long").alias("payload_bytes"), "payload_digest",
         F.when(F.col("first_page").isNull(), "response").otherwise("revisit").alias("record_type"),
         F.col("first_page").alias("refers_to"),
     )
 
 
-def _writer(chunk_bytes: int):
+def _writer(chunk_bytes: int, date: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunk rows of records. A digest is the SHA-256 of the record's payload up to and including its chunk."""
         out: list[tuple] = []
         size, serial = 0, TaskContext.get().partitionId() << 40
         for b in batches:
-            ids, urls, payloads, kinds, refers = (b.column(b.schema.get_field_index(n)) for n in ("page_id", "url", "payload", "record_type", "refers_to"))
+            ids, urls, payloads, digests, kinds, refers = (b.column(b.schema.get_field_index(n)) for n in ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to"))
             for i in range(b.num_rows):
                 page_id, kind = ids[i].as_py(), kinds[i].as_py()
                 payload = memoryview(payloads[i].as_buffer() or b"")
-                whole = hashlib.sha256(payload)
-                head = _head(kind, page_id, urls[i].as_py(), len(payload), whole.hexdigest(), refers[i].as_py())
+                head = _head(kind, page_id, urls[i].as_py(), date, len(payload), digests[i].as_py(), refers[i].as_py())
                 if kind == "revisit":
                     payload = payload[:0]
                 running, name, serial = hashlib.sha256(), record_id(page_id), serial + 1
@@ -98,17 +103,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
-def write_archive(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def write_archive(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, date: str | None = None) -> DataFrame:
     """Write one WARC record per page and return the written chunk table (record_id, serial, chunk_no, last,
     block, digest). serial tells apart the records of pages that have the same page_id.
 
     The blocks of a record in chunk order are its bytes: header, HTTP head, payload, closing blank lines. A row
     holds chunk_bytes of payload at most, so neither writer nor reader needs a buffer as large as a record.
-    Repeated pages get records of their own; one without page_id is a response. Null html is an empty payload; no
+    date is every record's WARC-Date; without it, that of the call. Repeated pages get records of their own; one without page_id is a response. Null html is an empty payload; no
     pages give no records; other columns are ignored.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     typed = assign_types(pages).withColumn("payload", F.col("html").cast("binary")).drop("html", "payload_bytes")
-    return cut(typed.mapInArrow(_writer(chunk_bytes), CHUNKS), "archive")
+    return cut(typed.mapInArrow(_writer(chunk_bytes, date), CHUNKS), "archive")
 
 
 class _Reader:
@@ -120,7 +126,7 @@ class _Reader:
     def feed(self, serial: int, number: int, last: bool, block, digest: str) -> tuple | None:
         block = memoryview(block)
         if number == 0:
-            head, _, _ = bytes(block[: 64 << 10]).partition(b"\r\n\r\n")
+            head, _, _ = bytes(block).partition(b"\r\n\r\n")  # the first chunk holds the header, however long
             lines = head.decode().split("\r\n")
             self.fields = dict(x.split(": ", 1) for x in lines[1:])
             at = len(head) + 4 + len(_HTTP)
@@ -180,7 +186,10 @@ def archive_pages(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
 
 
 def record_payloads(chunks: DataFrame) -> DataFrame:
-    """Chunk rows with the payload bytes alone and their offset in the record's payload, headers and ends cut off."""
+    """Chunk rows with the payload bytes alone and their offset in the record's payload, headers and ends cut off.
+
+    A revisit has one row with no bytes; no records give no rows.
+    """
     head = F.expr("locate('\r\n\r\n', decode(block, 'ISO-8859-1'))") + 3 + len(_HTTP)
     start = F.when(F.col("chunk_no") == 0, head).otherwise(F.lit(0))
     size = F.octet_length("block") - start - F.when(F.col("last"), 4).otherwise(0)

@@ -93,3 +93,28 @@ def test_one_page_id_with_several_payloads(spark):
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     want = [(1, digest(a), "response", None), (2, digest(b), "response", None), (3, digest(a), "revisit", 1), (3, digest(b), "revisit", 2), (3, digest(own), "response", None)]
     assert got == sorted(want)
+
+
+def test_long_addresses_and_dates(spark):
+    rows = [(1, "http://a/" + "y" * 300_000, "z" * 500), (2, "http://b/\u00e9", "z" * 500)]
+    chunks = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), 64, date="2020-01-02T03:04:05Z")
+    heads = [bytes(r["block"]) for r in chunks.filter("chunk_no = 0").collect()]
+    assert all(b"\r\nWARC-Date: 2020-01-02T03:04:05Z\r\n" in h for h in heads)
+    got = sorted((r["page_id"], r["record_type"], r["intact"]) for r in warc.read_archive(chunks).collect())
+    assert got == [(1, "response", True), (2, "revisit", True)]
+
+
+def test_reads_stop_early_where_lists_allow_it():
+    """Vectors of a few large components are told apart near the ends of the lists."""
+    rng = np.random.default_rng(5)
+    v = np.zeros((2000, 12))
+    for row in v:
+        row[rng.integers(0, 12, 2)] = np.floor(256 * rng.random(2) ** 0.25)
+    lists = topk.SortedLists(v)
+    found = lists.candidates(v[:30], 5, np.arange(30))
+    assert np.mean(lists.depths) < 0.6
+    assert max(map(len, found)) < 1000
+    for i, rows in enumerate(found):
+        score = np.delete(v @ v[i], i)
+        kept = rows[rows != i]
+        assert sorted((v[kept] @ v[i]).tolist())[-5:] == sorted(score.tolist())[-5:]
