@@ -18,8 +18,9 @@ from tesserae.llm.common import cut, slices
 TOKENIZER = "word_bpe_49k.json"
 #: Bins that one packer keeps open. Memory and time of a packer depend on it, not on the rows.
 OPEN_BINS = 256
-#: Left-over bins of a packer are packed again together with others', about so many pieces in a group.
-TAIL_PIECES = 50_000
+#: Bins that a packer holds at the end stay as they are from this fill on; the others are packed again together with
+#: other packers', about so many pieces in a group.
+FULL_ENOUGH, TAIL_PIECES = 0.98, 2_500
 #: Encoded words that a worker remembers.
 CACHE_WORDS = 350_000
 
@@ -42,7 +43,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts with these strings go to the tokenizer whole, which gives them ids of their own.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]] = True
@@ -62,7 +64,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > CACHE_WORDS:  # words that came early are the frequent ones
             self.seen = dict(itertools.islice(self.seen.items(), CACHE_WORDS // 4))
-        split = [_PRETOKENS.findall(t.lower()) if _PLAIN.fullmatch(t) else None for t in texts]
+        split = [_PRETOKENS.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
         known = self.seen.get
         ids = [None if w is None else list(map(known, w)) for w in split]
         unseen: dict[str, None] = {}
@@ -146,6 +148,7 @@ def _packer(capacity: int, bins: int, tokenizer: str, end_id: int):
         packer = BestFit(capacity, bins, itertools.count(part << 40))
         encode = encoder(tokenizer).encode
         held: dict[int, list[tuple]] = {}
+        full = lambda own: sum(r[3] for r in own) >= FULL_ENOUGH * capacity
         schema = pa.schema([(n, pa.int32() if n == "piece" else pa.int64()) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")] + [("tail", pa.bool_())])
 
         def batch(rows: list[tuple], tail: bool) -> pa.RecordBatch:
@@ -163,17 +166,19 @@ def _packer(capacity: int, bins: int, tokenizer: str, end_id: int):
             closed = [b for b in held if b not in still]
             if closed:
                 yield batch([r for b in closed for r in held.pop(b)], False)
-        if held:
-            yield batch([r for own in held.values() for r in own], True)
+        for tail in (False, True):
+            rest = [r for own in held.values() if full(own) != tail for r in own]
+            if rest:
+                yield batch(rest, tail)
 
     return run
 
 
-def _repack(capacity: int):
+def _repack(capacity: int, bins: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """Offline best fit, longest first, over the left-over bins of some packers."""
+        """The same bounded packer over the left-over bins of some packers, longest pieces first."""
         lengths = rows.column("length").to_pylist()
-        packer = BestFit(capacity, 1 << 62, itertools.count((1 << 62) + (key[0].as_py() << 40)))
+        packer = BestFit(capacity, bins, itertools.count((1 << 62) + (key[0].as_py() << 40)))
         ids, offsets = [0] * len(lengths), [0] * len(lengths)
         for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
             ids[i], offsets[i] = packer.place(lengths[i])
@@ -185,14 +190,15 @@ def _repack(capacity: int):
 def pack_documents(documents: DataFrame, capacity: int = 4096, bins: int = OPEN_BINS, tokenizer: str = TOKENIZER, end_id: int = 1) -> DataFrame:
     """One row per piece: where it starts in its document, and its sequence and offset there.
 
-    A document's ids are those of its whole text (null: none) and `end_id`; special tokens' strings in a text are
-    ordinary text. Only documents of more than `capacity` ids are cut. Each partition is packed as it streams
-    by; the bins that its packer still holds at the end, a bounded number, are packed again with others'.
+    A document's ids are those that the tokenizer gives its whole text (null: none), and `end_id`. Only documents of
+    more than `capacity` ids are cut. Each partition is packed as it streams by; of the bins that its packer still
+    holds at the end, a bounded number, those that are not nearly full are packed again with others', by the same
+    bounded packer.
     Rows with equal or null doc_id are packed one by one; no rows give no rows; other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     placed = cut(rows.mapInArrow(_packer(capacity, bins, tokenizer, end_id), PIECES + ", tail boolean"), "packed")
     tails = placed.filter("tail").drop("tail")
     groups = max(1, round(tails.count() / TAIL_PIECES))
-    again = tails.groupBy(F.expr(f"cast(pmod(sequence_id >> 40, {groups}) as long)").alias("g")).applyInArrow(_repack(capacity), PIECES)
+    again = tails.groupBy(F.expr(f"cast(pmod(sequence_id >> 40, {groups}) as long)").alias("g")).applyInArrow(_repack(capacity, bins), PIECES)
     return placed.filter("not tail").drop("tail").unionByName(again)

@@ -10,12 +10,10 @@ from tesserae.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
 
 
-@pytest.mark.parametrize("text", ["", "it's don't we're 'story ''s !!'s x'", "<|endoftext|> a", "a1b22 ...;; É", "ß STRASSE ÀÉ", "é  x İ ﬁ 中文", "a\r\nb\tc"])
+@pytest.mark.parametrize("text", ["", "it's don't we're 'story ''s !!'s x'", "<|endoftext|> a", "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|>", "é <|endoftext|>中", "a1b22 ...;; É", "ß STRASSE ÀÉ", "é  x İ ﬁ 中文", "a\r\nb\tc"])
 def test_word_cache_equals_the_tokenizer(tokenizer, text):
     got = np.frombuffer(packing.encoder(packing.TOKENIZER).encode([text])[0], "<u4").tolist()
     assert got == tokenizer.encode(text, add_special_tokens=False).ids
@@ -56,3 +54,12 @@ def test_fullest_bin_closes_first():
     assert [p.place(n)[0] for n in (6, 7, 8)] == [0, 1, 2]  # bin 1 was fuller than 0 and closed
     assert p.place(4) == (0, 6)
     assert p.place(2) == (2, 8)
+
+
+def test_left_over_bins_share_sequences(spark):
+    """Many small partitions, each far from filling a bin, still give nearly the fewest sequences."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["word"] * int(n)), "x") for i, n in enumerate(rng.integers(1, 40, 600))]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, tail string").repartition(8), capacity=64, bins=16)
+    tokens, used = out.selectExpr("sum(length)", "count(distinct sequence_id)").first()
+    assert used <= 1.12 * -(-tokens // 64) + 1
