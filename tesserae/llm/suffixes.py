@@ -16,14 +16,14 @@ from tesserae.llm.common import cut, mix64, powers, prefix_hashes, slices, utf8_
 #: Bytes of the strings that may not repeat, and of the grams by which their places are found.
 LENGTH, GRAM = 100, 24
 REACH = LENGTH - GRAM + 1  # grams in one string
-#: Segments that one construction takes in; a larger group of one anchor goes to the other way.
-COLLECTION = 60_000
+#: Segments that one construction takes in, and those of one anchor for which it has one more part.
+COLLECTION, GROUP = 60_000, 1_000
 #: Stands for a null doc_id, which sorts before all others.
 NO_DOC = -(1 << 63)
 
 ANCHORS = "f long, h long, doc long, pos long, mark boolean"
 FOUND = "kind int, f long, doc long, pos long"
-MARK, SEGMENT, CROWD = 0, 1, 2
+MARK, SEGMENT = 0, 1
 
 
 def pack(tag: np.ndarray, start: np.ndarray, run: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -196,9 +196,14 @@ def _construct(length: int, collection: int):
     return run
 
 
-def _cut_out(length: int, single: bool):
-    """Bytes of segments, from rows of a text and its packed segments; with single, of each window by itself."""
+def _cut_out(length: int):
+    """Bytes of segments, from rows of a text and its packed segments, each cut into `parts` by the place of the anchor.
+
+    The windows of a part hold the anchor at one of some neighbouring places, so that equal ones agree in all bytes
+    between the first's end and the last's start. Parts are dealt by the hash of these bytes (f).
+    """
     schema = pa.schema([("f", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
+    reach = length - GRAM + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -206,12 +211,15 @@ def _cut_out(length: int, single: bool):
             for doc, text, own in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc", "text", "own")), strict=True):
                 data = text.encode()
                 for x in own:
-                    tag, start, run_, anchor = (int(v) for v in unpack(np.int64(x["pos"])))
-                    if single:
-                        for s in range(start, start + run_ + 1):
-                            out.append((0, doc, int(pack(np.int64(tag), np.int64(s), np.int64(0), np.int64(0))), data[s : s + length]))
-                    else:
-                        out.append((x["f"], doc, x["pos"], data[start : start + run_ + length]))
+                    tag, start, more, anchor = (int(v) for v in unpack(np.int64(x["pos"])))
+                    width = -(-reach // x["parts"])
+                    for low in range((anchor - more) // width * width, anchor + 1, width):
+                        first, last = start + max(0, anchor - low - width + 1), start + min(more, anchor - low)
+                        at = start + anchor
+                        shared = data[at - low : max(at + GRAM, at - low - width + 1 + length)]
+                        f = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=low.to_bytes(2, "little")).digest(), "little", signed=True)
+                        pos = pack(*(np.int64(v) for v in (tag, first, last - first, at - first)))
+                        out.append((f, doc, int(pos), data[first : last + length]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                     out = []
@@ -234,21 +242,21 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ranges, pa.binary())], names=["r_doc", "r_tag", "ranges"])
 
 
-#: Tables of more rows than this are joined by a shuffle; those below hold some MB at most and are broadcast.
-BROADCAST_ROWS = 400_000
+#: Tables of more bytes than this are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def repeated_ranges(keyed: DataFrame, length: int = LENGTH, collection: int = COLLECTION, crowd: int = 4 * COLLECTION) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, length: int = LENGTH, collection: int = COLLECTION, group: float = GROUP) -> DataFrame:
     """(r_doc, r_tag, ranges): first and last start of each run of windows that also start earlier.
 
     keyed: doc, tag, text. Segments meet by the hash of their anchor. Of equal segments all but the first
     are repeats throughout; one string stands for them in the construction, which the segments that share
-    an anchor with a different one enter. An anchor of more than `crowd` different segments is not
-    brought together: its windows are compared one by one, by partial aggregation of their bytes.
+    an anchor with a different one enter. They enter it in parts, the more parts the more there are: equal windows
+    lie in parts that also agree in the symbols beside the anchor, so a common anchor is split by these.
     """
     anchors = keyed.filter(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_anchors(length), ANCHORS)
     equal = Window.partitionBy("f", "h").orderBy("doc", "pos")
@@ -258,29 +266,16 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, collection: int = CO
         .withColumn("first", ((F.row_number().over(equal) == 1) & ~F.col("mark")).cast("int"))
         .withColumn("others", F.sum("first").over(Window.partitionBy("f")))
     )
-    kind = (
-        F.when(F.col("mark") | (F.col("place") > 1), MARK)
-        .when((F.col("first") == 1) & (F.col("others") > crowd), CROWD)
-        .when((F.col("first") == 1) & (F.col("others") > 1), SEGMENT)
-    )
-    found = cut(ranked.select(kind.alias("kind"), "f", "doc", "pos").filter("kind is not null"), "found", ["kind"])
+    kind = F.when(F.col("mark") | (F.col("place") > 1), MARK).when((F.col("first") == 1) & (F.col("others") > 1), SEGMENT)
+    parts = F.least(F.lit(length - GRAM + 1), 2 + F.col("others") / group).cast("int")
+    found = cut(ranked.select(kind.alias("kind"), "doc", "pos", parts.alias("parts")).filter("kind is not null"), "found", ["kind"])
     marks = found.filter(F.col("kind") == MARK).select("doc", "pos")
-
-    def texts_of(kind: int) -> DataFrame:
-        own = found.filter(F.col("kind") == kind).groupBy("doc", F.shiftright("pos", 46).alias("tag")).agg(F.collect_list(F.struct("f", "pos")).alias("own"))
-        needed = cut(own, "needed")
-        ids = needed.select("doc").distinct()
-        some = keyed.join(_small(ids, needed.count()), "doc", "left_semi")
-        return some.join(needed, ["doc", "tag"])
-
-    strings = texts_of(SEGMENT).mapInArrow(_cut_out(length, False), "f long, doc long, pos long, bytes binary")
+    own = found.filter(F.col("kind") == SEGMENT).groupBy("doc", F.shiftright("pos", 46).alias("tag")).agg(F.collect_list(F.struct("pos", "parts")).alias("own"))
+    needed = cut(own, "needed")
+    some = keyed.join(_small(needed.select("doc").distinct(), 16 * needed.count()), "doc", "left_semi")
+    strings = some.join(needed, ["doc", "tag"]).mapInArrow(_cut_out(length), "f long, doc long, pos long, bytes binary")
     ordered = strings.repartition("f").sortWithinPartitions("f")
     marks = marks.unionByName(ordered.mapInArrow(_construct(length, collection), "doc long, pos long"))
-    if not found.filter(F.col("kind") == CROWD).isEmpty():
-        windows = texts_of(CROWD).mapInArrow(_cut_out(length, True), "f long, doc long, pos long, bytes binary")
-        windows = cut(windows.select("doc", "pos", F.xxhash64("bytes").alias("a"), F.hash("bytes").alias("b")), "windows")
-        firsts = cut(windows.groupBy("a", "b").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-windows")
-        marks = marks.unionByName(windows.join(firsts, ["a", "b"]).filter(F.struct("doc", "pos") > F.col("first")).select("doc", "pos"))
     each = marks.groupBy("doc", F.shiftright("pos", 46).alias("tag")).agg(F.collect_list("pos").alias("own"))
     return cut(each.mapInArrow(_merge, "r_doc long, r_tag long, ranges binary"), "ranges")
 
@@ -328,7 +323,8 @@ def _without_repeats(documents: DataFrame, rest: list[str], length: int) -> Data
         row.alias("row"),
     ).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 17)))
     ranges = repeated_ranges(keyed.select("doc", "tag", "text"), length)
-    joined = keyed.join(_small(ranges, ranges.count()), (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")), "left")
+    rows, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ranges")), F.lit(0))).first()
+    joined = keyed.join(_small(ranges, 32 * rows + size), (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")), "left")
     return joined.select("doc", "row", "text", "ranges").mapInArrow(_remove(length), f"doc long, row {keyed.schema['row'].dataType.simpleString()}, {RESULT}")
 
 

@@ -29,20 +29,20 @@ def result(df):
 @pytest.fixture(scope="module")
 def repeats(corpus):
     rows = [*corpus, (500, "ab" * 300), (501, "ab" * 120 + "c"), (502, "z" * 99), (503, "z" * 100), (504, "z" * 101), (505, "€uro " * 50)]
-    return [(i, t) for i, t in rows if t is None or len(t) < 20_000]
+    return rows
 
 
 def test_against_brute_force(docs, repeats):
     assert result(suffixes.remove_repeats(docs(repeats))) == brute(repeats, 100)
 
 
-def test_crowded_anchors_take_the_other_way(docs, repeats, spark):
+def test_common_anchors_are_split(docs, repeats):
     from pyspark.sql import functions as F
 
     table = docs(repeats)
     keyed = table.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 17)))
-    read = lambda crowd: {(r["r_doc"], bytes(r["ranges"])) for r in suffixes.repeated_ranges(keyed, crowd=crowd).collect()}
-    assert read(1) == read(10_000)
+    read = lambda group: {(r["r_doc"], bytes(r["ranges"])) for r in suffixes.repeated_ranges(keyed, group=group).collect()}
+    assert read(0.01) == read(0.2) == read(10_000)
 
 
 def test_small_collections(docs, repeats):
