@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import readable_key, sentence, similar
 from tesserae.operators import graph, rank
 from tesserae.operators.sets import keep_first
+from tesserae.functions import text as X
 from tesserae.sources import triples as V
 from tesserae.sources.scratch import written
 
@@ -184,25 +185,15 @@ def couple_clusters(labelled_triples: DataFrame) -> DataFrame:
 
 
 def remove_similar(labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Greedy order-dependent dedup in each group (group, ord, label): a label goes if one that stays is alike."""
-    import pandas as pd
-
-    def distance(a: str, b: str) -> float:
-        if len(a) < len(b):
-            a, b = b, a
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1] / len(a) if a else 0.0
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        ordered = group.sort_values("ord").reset_index(drop=True)
-        for i, label in enumerate(ordered["label"]):
-            if all(distance(label, ordered["label"][j]) >= threshold for j in kept):
-                kept.append(i)
-        return ordered.iloc[kept]
-
-    return labels.groupBy("group").applyInPandas(one, labels.schema)
+    """Greedy order-dependent dedup in each group (group, ord, label): a label goes if one that stays is alike.
+
+    The labels of one group meet in one row, as each decision depends on those before it.
+    """
+    ordered = labels.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("ord", "label"))).alias("all"))
+    kind = labels.select(F.array(F.struct("ord", "label"))).schema[0].dataType.simpleString()
+    kept = F.aggregate(
+        "all",
+        F.array().cast(kind),
+        lambda held, x: F.when(F.exists(held, lambda y: X.edit_distance(x["label"], y["label"]) < threshold), held).otherwise(F.concat(held, F.array(x))),
+    )
+    return ordered.select("group", F.explode(kept).alias("x")).select("group", "x.ord", "x.label").select(labels.columns)

@@ -181,7 +181,11 @@ def pattern_typing(spark, sf):
     return direct.join(above, ["node", "cls"], "left_anti")
 
 
-@query()
+@query(f"""{SUB}, e AS (SELECT DISTINCT s, o FROM (SELECT s, o FROM sub WHERE s LIKE 'nation:%' OR s LIKE 'name:%' UNION ALL SELECT s, o FROM triples WHERE p = 'my:next') WHERE s <> o), n AS (SELECT s AS node FROM e UNION SELECT o FROM e),
+f(src, node, hops, path) AS (SELECT s, o, 1, [s, o] FROM e UNION ALL SELECT src, e.o, hops + 1, list_append(path, e.o) FROM f JOIN e ON e.s = f.node WHERE NOT list_contains(path, e.o)),
+b AS (SELECT *, min(hops) OVER (PARTITION BY src, node) AS least FROM f), g AS (SELECT *, count(*) OVER (PARTITION BY src, node) AS sigma FROM b WHERE hops = least),
+t AS (SELECT node, sum(d) AS raw FROM (SELECT unnest(path[2:len(path) - 1]) AS node, 1.0 / sigma AS d FROM g) GROUP BY node), c AS (SELECT count(*) AS n FROM n)
+SELECT node, round(coalesce(raw, 0.0), 6) AS raw, round(coalesce(raw, 0.0) / ((n - 1) * (n - 2)), 9) AS normalised FROM n LEFT JOIN t USING (node), c""")
 def betweenness(spark, sf):
     found = graph.betweenness(small(spark, sf).filter("s not like 'supp:%'").unionByName(next_edges(spark, sf)))
     return found.select("node", F.round("raw", 6).alias("raw"), F.round("normalised", 9).alias("normalised"))
@@ -192,13 +196,18 @@ def _name_words(spark, sf):
     return table(spark, sf, "part").select(F.col("p_name").alias("object"), F.explode(F.split("p_name", " ")).alias("attribute")).distinct()
 
 
-@query()
+_CONTEXT = """w AS (SELECT DISTINCT p_name AS object, unnest(string_split(p_name, ' ')) AS attribute FROM part), o AS (SELECT object, list_sort(list(DISTINCT attribute)) AS own FROM w GROUP BY object), b AS (SELECT DISTINCT own FROM o),
+i(intent) AS (SELECT own FROM b UNION SELECT list_sort(list(DISTINCT attribute)) FROM w UNION SELECT list_sort(list_intersect(i.intent, b.own)) FROM i, b)"""
+
+
+@query(f"WITH RECURSIVE {_CONTEXT} SELECT array_to_string(intent, '|') AS intent, coalesce(string_agg(object, '|' ORDER BY object), '') AS extent FROM i LEFT JOIN o ON list_has_all(own, intent) GROUP BY intent")
 def fca_concepts(spark, sf):
     concepts = graph.formal_concepts(_name_words(spark, sf))
     return concepts.select(F.array_join("intent", "|").alias("intent"), F.array_join("extent", "|").alias("extent"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CONTEXT}, l AS (SELECT u.intent AS upper, d.intent AS lower FROM i u, i d WHERE len(u.intent) < len(d.intent) AND list_has_all(d.intent, u.intent))
+SELECT array_to_string(upper, '|') AS upper, array_to_string(lower, '|') AS lower FROM l WHERE NOT EXISTS (SELECT 1 FROM l x JOIN l y ON x.lower = y.upper WHERE x.upper = l.upper AND y.lower = l.lower)""")
 def lattice_edges(spark, sf):
     from tesserae.sources.scratch import written
 

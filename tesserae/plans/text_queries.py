@@ -125,7 +125,8 @@ def jsonld_shred(spark, sf):
     return markup.flat_json_triples(table(spark, sf, "events"), F.expr("'event:' || event_id"), "props")
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey, '_:' || l_orderkey || '_' || k AS node, 3 * k AS ord, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'part:' || l_partkey) - 1 AS k FROM lineitem))
+SELECT l_orderkey, CAST(ord AS INTEGER) AS ord, 'order:' || l_orderkey AS s, 'my:contains' AS p, node AS o FROM l UNION ALL SELECT l_orderkey, CAST(ord + 1 AS INTEGER), node, 'my:line', CAST(l_linenumber AS VARCHAR) FROM l UNION ALL SELECT l_orderkey, CAST(ord + 2 AS INTEGER), node, 'my:part', 'part:' || l_partkey FROM l""")
 def jsonld_nested(spark, sf):
     """Nested objects: an order with its lines, the lines without ids of their own."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("my:line"), F.expr("'part:' || l_partkey").alias("my:part")))).alias("lines"))
@@ -177,7 +178,10 @@ def most_similar_label(spark, sf):
     return both.groupBy(F.col("a").alias("label")).agg(F.min("d").alias("distance"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT g, label, row_number() OVER (PARTITION BY g ORDER BY label) AS ord FROM (SELECT DISTINCT split_part(p_name, ' ', -1) AS g, p_name AS label FROM part)),
+k(g, ord, label, kept) AS (SELECT g, ord, label, [label] FROM n WHERE ord = 1 UNION ALL SELECT n.g, n.ord, CASE WHEN alike THEN NULL ELSE n.label END, CASE WHEN alike THEN kept ELSE list_append(kept, n.label) END
+  FROM (SELECT n.*, k.kept, len(list_filter(k.kept, lambda x: levenshtein(x, n.label) / CAST(greatest(length(x), length(n.label)) AS DOUBLE) < 0.3)) > 0 AS alike FROM k JOIN n ON n.g = k.g AND n.ord = k.ord + 1) n)
+SELECT g AS "group", ord, label FROM k WHERE label IS NOT NULL""")
 def greedy_dedup(spark, sf):
     names = table(spark, sf, "part").select(F.expr("substring_index(p_name, ' ', -1)").alias("group"), F.col("p_name").alias("label")).distinct()
     from tesserae.operators.graph import ordered_ranks

@@ -29,8 +29,15 @@ class _Node:
         return [x for x in self.parts if isinstance(x, _Node)]
 
     def text(self) -> str:
-        raw = "".join(x if isinstance(x, str) else x.text() for x in self.parts)
-        return raw
+        """All text below, in order; nesting may be deeper than Python's stack."""
+        out, rest = [], [self]
+        while rest:
+            x = rest.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                rest.extend(reversed(x.parts))
+        return "".join(out)
 
     def clean(self) -> str:
         return _BLANK.sub(" ", html.unescape(self.text())).strip()
@@ -76,10 +83,13 @@ def parse(markup: str) -> _Node:
     return tree.root
 
 
-def _walk(node: _Node, parent: _Node | None = None) -> Iterator[tuple[_Node, _Node | None]]:
-    for child in node.children():
-        yield child, node
-        yield from _walk(child, node)
+def _walk(node: _Node) -> Iterator[tuple[_Node, _Node]]:
+    """The elements below a node in document order, each with its parent."""
+    rest = [(child, node) for child in reversed(node.children())]
+    while rest:
+        own, above = rest.pop()
+        yield own, above
+        rest.extend((child, own) for child in reversed(own.children()))
 
 
 def _leaf_texts(node: _Node) -> list[str]:
@@ -91,16 +101,18 @@ def _leaf_texts(node: _Node) -> list[str]:
 def paragraphs(markup: str) -> list[str]:
     """Distinct texts of the p elements in order; lists and tables that follow one come under it, a row for each item."""
     seen: dict[str, None] = {}
+    following: dict[int, list[_Node]] = {}
     for node, parent in _walk(parse(markup)):
+        if id(parent) not in following:  # for each child of the parent the lists and tables right behind it
+            behind: list[_Node] = []
+            for x in reversed(parent.children()):
+                following[id(x)] = behind
+                behind = [x, *behind] if x.name in ("table", "ul", "ol") else []
+            following[id(parent)] = following.get(id(parent), [])
         if node.name != "p":
             continue
         own = node.clean()
-        siblings = parent.children()
-        after = []
-        for x in siblings[siblings.index(node) + 1 :]:
-            if x.name not in ("table", "ul", "ol"):
-                break
-            after += _leaf_texts(x)
+        after = [t for x in following.get(id(node), []) for t in _leaf_texts(x)]
         for text in [f"{own} {x}".strip() for x in after] or [own]:
             if text:
                 seen.setdefault(text)
@@ -130,8 +142,17 @@ def legal_paragraphs(documents: DataFrame, key: str, markup: str = "xml") -> Dat
     """
 
     def rows_of(text: str) -> Iterator[tuple]:
-        def visit(node: _Node, trail: list[_Node]) -> Iterator[tuple]:
-            for child in node.children():
+        def visit(root: _Node) -> Iterator[tuple]:
+            rest: list[tuple[_Node, tuple]] = [(x, ()) for x in reversed(root.children())]
+            while rest:
+                child, above = rest.pop()
+                if child.name == "p":
+                    trail: list[_Node] = []  # from the innermost link of the chain outwards
+                    link = above
+                    while link:
+                        trail.append(link[0])
+                        link = link[1]
+                    trail.reverse()
                 if child.name == "p" and not any(x.name in ("intro", "listintroduction") for x in trail):
                     lists = [x for x in trail if x.name in ("list", "blocklist")]
                     intro = [y.clean() for x in lists for y in x.children() if y.name in ("intro", "listintroduction")]
@@ -139,9 +160,9 @@ def legal_paragraphs(documents: DataFrame, key: str, markup: str = "xml") -> Dat
                     part = lambda n: next((y.clean() for y in place.children() if y.name == n), None) if place else None  # noqa: E731,B023
                     yield " ".join([*intro, child.clean()]).strip(), place.name if place else None, place.attrs.get("eid") if place else None, part("num"), part("heading")
                 else:
-                    yield from visit(child, [*trail, child])
+                    rest.extend((x, (child, above)) for x in reversed(child.children()))
 
-        return visit(parse(text), [])
+        return visit(parse(text))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,30 +196,46 @@ def _shred(doc, base: str) -> list[tuple[str, str, str]]:
             return str(x["@id"]) if "@id" in x else f"_:{base}_{next(fresh)}"
         return json.dumps(x) if isinstance(x, bool) or x is None else str(x)
 
-    def visit(node: dict, own: str) -> None:
-        for p, value in node.items():
-            if p == "@id":
-                continue
-            for x in value if isinstance(value, list) else [value]:
-                o = name(x)
-                out.append((own, p, o))
-                if isinstance(x, dict) and "@value" not in x:
-                    visit(x, o)
+    def parts(node: dict) -> Iterator[tuple[str, object]]:
+        return ((p, x) for p, value in node.items() if p != "@id" for x in (value if isinstance(value, list) else [value]))
 
-    for x in doc if isinstance(doc, list) else [doc]:
-        if isinstance(x, dict):
-            visit(x, name(x))
+    for top in doc if isinstance(doc, list) else [doc]:
+        if not isinstance(top, dict):
+            continue
+        inside = name(top)
+        rest = [(inside, parts(top))]
+        while rest:  # depth first, without recursion
+            own, more = rest[-1]
+            p, x = next(more, (None, None))
+            if p is None:
+                rest.pop()
+                continue
+            o = name(x)
+            out.append((own, p, o))
+            if isinstance(x, dict) and "@value" not in x:
+                rest.append((o, parts(x)))
     return out
 
 
+def _parsed(text: str | None):
+    """The value of a JSON text; None for null, for what isn't JSON, and for nesting beyond the parser's."""
+    try:
+        return None if text is None else json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
 def jsonld_triples(documents: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, ord, s, p, o): nested objects shredded once each, those without @id named in the order of traversal."""
+    """(key, ord, s, p, o): nested objects shredded once each, those without @id named in the order of traversal.
+
+    Null documents and those that are no JSON give no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(k, i, *t) for i, t in enumerate(_shred(json.loads(text), str(k)))]
+                rows += [(k, i, *t) for i, t in enumerate(_shred(_parsed(text), str(k)))]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [b.schema.types[0], pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "ord", "s", "p", "o"])

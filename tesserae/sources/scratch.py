@@ -14,6 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests, local mode), a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

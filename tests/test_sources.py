@@ -91,3 +91,20 @@ def test_path_search_ends_only_when_no_path_is_left(spark):
     rows = [(1, s, p, w, "VB" if w == "v3" else "NN") for s, line in enumerate([*plain, verbal]) for p, w in enumerate(line)]
     got = k_shortest_paths(spark.createDataFrame(rows, "cluster long, sent int, pos int, word string, tag string"), k=3).collect()
     assert [r["words"] for r in got] == [" ".join(verbal)]
+
+
+def test_deep_nesting_and_broken_json(spark):
+    from tesserae.sources import markup
+
+    deep = "<div>" * 3000 + "<p>inside</p>" + "</div>" * 3000
+    assert markup.paragraphs(deep) == ["inside"]
+    nested = {"@id": "top"}
+    for i in range(400):
+        nested = {"@id": f"n{i}", "in": nested}
+    import json
+
+    rows = [(1, json.dumps(nested)), (2, None), (3, "{broken"), (4, "[" * 100_000)]
+    got = markup.jsonld_triples(spark.createDataFrame(rows, "k long, doc string"), "k", "doc").collect()
+    assert {r["k"] for r in got} == {1} and len(got) == 400
+    legal = "<section eId='s'>" + "<block>" * 2000 + "<p>text</p>" + "</block>" * 2000 + "</section>"
+    assert markup.legal_paragraphs(spark.createDataFrame([(1, legal)], "k long, xml string"), "k").first()["text"] == "text"
