@@ -321,7 +321,8 @@ def train(documents: DataFrame) -> tuple[np.ndarray, WindowNetwork]:
     """The vocabulary and a network trained on all documents, with the counts of all other words.
 
     Each partition trains from the same start by Adagrad over all of its tokens, predicting each from
-    both sides; the networks are averaged by their number of tokens, FAN_IN at a time, up a tree.
+    both sides; the networks are averaged by their number of tokens, FAN_IN at a time, up a tree. So the network
+    depends on how documents are dealt over partitions (counts of words don't): other partitions, other scores.
     """
     counts, shards = word_counts(documents)
     words = _most_frequent(counts, VOCABULARY)

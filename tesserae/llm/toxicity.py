@@ -192,6 +192,8 @@ def _scorer(model: OrdinalModel):
 def severity(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None = None) -> DataFrame:
     """One row per document: expected_severity, p_toxic (any grade above 0), the median grade, and kept (grade 0).
 
+    Labels tell toxic from clean alone, so the order among toxic grades is the model's own reading: without other evidence
+    a toxic sample's grade is its third by the features that the regression then weighs (see train()).
     Whole texts are scored. Null and empty texts have no features and are kept; rows with equal doc_id
     are scored one by one; no rows give no rows; columns of other names are ignored.
     """
@@ -202,7 +204,10 @@ def severity(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, model: OrdinalModel | None = None) -> DataFrame:
-    """The documents that severity() keeps, with all of their columns."""
+    """The documents that severity() keeps, with all of their columns.
+
+    Null and empty texts stay, repeated rows each stay or go, an empty table stays empty.
+    """
     bound_batches(documents.sparkSession)
     model = model or train(documents, labels)
 
