@@ -16,22 +16,27 @@ from tesserae.llm.toxicity import reject_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of severity grade 0; null and empty texts stay. Other columns pass."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass base rules and fences; null and empty texts go. Other columns pass."""
     return reject_low_quality(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies; those without words are in none. Other columns pass."""
     return reject_near_duplicates(docs, shingle=2, percent=80)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated 100-byte strings, null ones empty; no row goes. Other columns pass."""
     return cut_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of at most 4096 tokens; an empty text is the end token alone."""
     return pack_documents(docs, capacity=4096)
 
 
