@@ -16,10 +16,10 @@ PRIOR_ROWS = 50
 #: Fences lie so many spreads beyond the quartiles.
 FENCE = 4.0
 #: Metrics, the side on which each rejects, and the share that one event has in a text, times the words of the text: a
-#: symbol; a window of three words that comes again; a line of ten words.
+#: symbol; the words in repeated windows, and the repeated line, of a line of ten words that comes twice.
 METRICS = {
     "symbol_share": ("high", 1),
-    "repeat_share": ("high", 6),
+    "repeat_share": ("high", 20),
     "dup_line_share": ("high", 10),
     "mean_word": ("both", 0),
 }

@@ -140,7 +140,7 @@ fw AS (SELECT fs.lang, fs.source, fs.metric, lw.bucket, coalesce(f.n, 0) * lw.to
   FROM fs JOIN lw ON lw.lang IS NOT DISTINCT FROM fs.lang AND lw.metric = fs.metric LEFT JOIN f ON f.lang IS NOT DISTINCT FROM fs.lang AND f.source IS NOT DISTINCT FROM fs.source AND f.metric = fs.metric AND f.bucket = lw.bucket),
 c AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM fw),
 q AS (SELECT lang, source, metric, pow(1.02, min(CASE WHEN upto * 100 >= total * 25 THEN bucket END)) AS q25, pow(1.02, min(CASE WHEN upto * 100 >= total * 50 THEN bucket END)) AS q50, pow(1.02, min(CASE WHEN upto * 100 >= total * 75 THEN bucket END)) AS q75, pow(1.02, min(CASE WHEN upto * 100 >= total * 90 THEN bucket END)) AS q90 FROM c GROUP BY ALL),
-t AS (SELECT q.*, greatest(q.q75 - q.q25, q.q90 - q.q50, CASE q.metric WHEN 'symbol_share' THEN 1 WHEN 'repeat_share' THEN 6 WHEN 'dup_line_share' THEN 10 ELSE 0 END / n.q50, q.q75 * (1.02 - 1)) * 4 AS span
+t AS (SELECT q.*, greatest(q.q75 - q.q25, q.q90 - q.q50, CASE q.metric WHEN 'symbol_share' THEN 1 WHEN 'repeat_share' THEN 20 WHEN 'dup_line_share' THEN 10 ELSE 0 END / n.q50, q.q75 * (1.02 - 1)) * 4 AS span
   FROM q JOIN q n ON n.metric = 'n_words' AND n.lang IS NOT DISTINCT FROM q.lang AND n.source IS NOT DISTINCT FROM q.source),
 x AS (SELECT lang, source, max(CASE metric WHEN 'symbol_share' THEN q75 + span END) AS hs, max(CASE metric WHEN 'repeat_share' THEN q75 + span END) AS hr, max(CASE metric WHEN 'dup_line_share' THEN q75 + span END) AS hd,
   max(CASE metric WHEN 'mean_word' THEN q75 + span END) AS hm, max(CASE metric WHEN 'mean_word' THEN q25 - span END) AS lm FROM t GROUP BY lang, source)
