@@ -26,9 +26,9 @@ WIDTH = 16
 REACH = 2
 BATCH = 16_384
 #: Tokens of a training step, and the step size.
-STEP_TOKENS, RATE = 4096, 0.15
-#: A partition of fewer tokens than so many steps take is gone through again.
-LEAST_STEPS = 200
+STEP_TOKENS, RATE = 1024, 0.15
+#: Documents are dealt over groups of about so many tokens, each of which trains a network of its own.
+GROUP_TOKENS = 1 << 21
 FAN_IN = 32
 
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
@@ -111,7 +111,9 @@ def word_counts(documents: DataFrame) -> tuple[DataFrame, int]:
     return cut(counts, "word-counts"), shards
 
 
-def _most_frequent(counts: DataFrame, size: int) -> np.ndarray:
+def _most_frequent(counts: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """The most frequent words, and how many tokens they are."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for words, n in zip(_unpacked(b.column(1), np.int64), _unpacked(b.column(2), np.int64), strict=True):
@@ -119,12 +121,12 @@ def _most_frequent(counts: DataFrame, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(words[order]), pa.array(n[order])], names=["word", "n"])
 
     top = counts.mapInArrow(run, "word long, n long").orderBy(F.desc("n"), "word").limit(size - 1).collect()
-    return np.array([r["word"] for r in top], np.int64)
+    return np.array([r["word"] for r in top], np.int64), sum(r["n"] for r in top)
 
 
 def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> np.ndarray:
     """Hashes of the size - 1 most frequent words of all documents, most frequent first (ties by hash)."""
-    return _most_frequent(word_counts(documents)[0], size)
+    return _most_frequent(word_counts(documents)[0], size)[0]
 
 
 def _class_totals(counts: DataFrame, known: np.ndarray) -> np.ndarray:
@@ -222,19 +224,21 @@ class WindowNetwork:
             return log, e
 
         log, d_class = softmax(h @ p["to_class"] + p["class_bias"], kind)
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+        edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        spans = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        z = p["word_bias"][kind]
+        for c, at in spans:
+            z[at] += h[at] @ p["to_word"][c]
+        own, d_word = softmax(z, word)
+        log += own
         g = {}
         if train:
             g = {"to_class": h.T @ d_class, "class_bias": d_class.sum(axis=0), "to_word": np.zeros_like(p["to_word"]), "word_bias": np.zeros_like(p["word_bias"])}
             dh = d_class @ p["to_class"].T
-        for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if a == b:
-                continue
-            own, d_word = softmax(h[a:b] @ p["to_word"][c] + p["word_bias"][c], word[a:b])
-            log[a:b] += own
-            if train:
-                g["to_word"][c], g["word_bias"][c] = h[a:b].T @ d_word, d_word.sum(axis=0)
-                dh[a:b] += d_word @ p["to_word"][c].T
+            for c, at in spans:
+                g["to_word"][c] = h[at].T @ d_word[at]
+                dh[at] += d_word[at] @ p["to_word"][c].T
+            g["word_bias"][[c for c, _ in spans]] = np.add.reduceat(d_word, [at.start for _, at in spans], axis=0)
         own, d_rare = softmax(h[rare] @ p["to_rare"] + p["rare_bias"], rare_class)
         log[rare] += own
         if not train:
@@ -270,46 +274,84 @@ def _ids(words: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.where(known[at] == words, rank[at], rare)
 
 
-def _trainer(known: np.ndarray, rank: np.ndarray):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = WindowNetwork(), 0
-        squares = {k: np.full_like(v, 1e-2) for k, v in net.p.items()}
-
-        def learn(ids: np.ndarray, ctx: np.ndarray) -> int:
-            steps = range(0, len(ids), STEP_TOKENS)
-            for a in steps:
-                order = a + np.argsort(_kinds(ids[a : a + STEP_TOKENS]).astype(np.uint16), kind="stable")
-                _, g = net.forward(ids[order], ctx[:, order], train=True)
-                for k, d in g.items():
-                    d /= len(order)
-                    squares[k] += d * d
-                    net.p[k] -= RATE * d / np.sqrt(squares[k])
-            return len(steps)
+def _numbered(known: np.ndarray, rank: np.ndarray):
+    """Rows (group, key, text) to (group, key, ids of the words, 16 bits each), where there are words."""
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        steps = 0
-        for _, words, doc in _texts(batches):
-            ids = _ids(words, known, rank)
-            ctx = net.contexts(ids, doc)
-            seen += len(ids)
-            steps += learn(ids, ctx)
-            if steps < LEAST_STEPS:
-                held.append((ids, ctx))
-            else:
-                held.clear()
-        while seen and steps < LEAST_STEPS:
-            steps += sum(learn(*x) for x in held)
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([net.flat()], pa.list_(pa.float32()))],
-                names=["part", "n", "weights"],
-            )
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, words, doc in _texts(batches):
+            ids = _ids(words, known, rank).astype(np.uint16)
+            ends = 2 * np.searchsorted(doc, np.arange(b.num_rows + 1))
+            own = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+            at = [b.schema.get_field_index(name) for name in ("group", "key")]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), own], names=["group", "key", "ids"]).filter(pa.array(np.diff(ends) > 0))
 
     return run
 
 
+class _Training:
+    """Adagrad on a network, STEP_TOKENS tokens a step however they come in."""
+
+    def __init__(self):
+        self.net, self.seen = WindowNetwork(), 0
+        self.squares = {k: np.full_like(v, 1e-2) for k, v in self.net.p.items()}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, ids: np.ndarray, doc: np.ndarray) -> None:
+        self.held.append((ids, self.net.contexts(ids, doc)))
+        self.waiting, self.seen = self.waiting + len(ids), self.seen + len(ids)
+        if self.waiting >= STEP_TOKENS:
+            self._learn(self.waiting // STEP_TOKENS * STEP_TOKENS)
+
+    def _learn(self, tokens: int) -> None:
+        ids, ctx = np.concatenate([x for x, _ in self.held]), np.concatenate([x for _, x in self.held], axis=1)
+        for a in range(0, tokens, STEP_TOKENS):
+            self._step(ids[a : a + STEP_TOKENS], ctx[:, a : a + STEP_TOKENS])
+        self.held, self.waiting = [(ids[tokens:], ctx[:, tokens:])], len(ids) - min(tokens, len(ids))
+
+    def _step(self, ids: np.ndarray, ctx: np.ndarray) -> None:
+        order = np.argsort(_kinds(ids).astype(np.uint16), kind="stable")
+        _, g = self.net.forward(ids[order], ctx[:, order], train=True)
+        rows = {"embed": [np.unique(c) for c in ctx]}
+        for k, d in g.items():
+            d /= STEP_TOKENS
+            # embeddings that no token has as a neighbour stay as they are
+            parts = [((i, own), d[i, own]) for i, own in enumerate(rows[k])] if k in rows else [(..., d)]
+            for at, part in parts:
+                self.squares[k][at] += part * part
+                self.net.p[k][at] -= RATE * part / np.sqrt(self.squares[k][at])
+
+    def finish(self) -> np.ndarray:
+        """The weights, after a last and lighter step over what is left."""
+        if self.waiting:
+            self._learn(self.waiting)
+        return self.net.flat()
+
+
+def _train_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A network for each group of rows (group, key, ids) that come in order of their group."""
+
+    def network() -> pa.RecordBatch:
+        weights = pa.array([own.finish()], pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([float(own.seen)]), weights], names=["part", "n", "weights"])
+
+    group, own = None, _Training()
+    for b in slices(iter(batches), "ids"):
+        found, heads = np.unique(b.column(0).to_numpy(), return_index=True)
+        for g, a, n in zip(found.tolist(), heads.tolist(), np.diff(heads, append=b.num_rows).tolist(), strict=True):
+            if g != group:
+                if group is not None:
+                    yield network()
+                group, own = g, _Training()
+            raw, offsets = utf8_buffer(b.column(2).slice(a, n))
+            own.add(raw.view(np.uint16).astype(np.int64), np.repeat(np.arange(n), np.diff(offsets) // 2))
+    if group is not None:
+        yield network()
+
+
 def _average(key: tuple, rows: pa.Table) -> pa.Table:
     total, mean = 0.0, None
+    rows = rows.sort_by("part")
     for n, w in zip(rows.column("n").to_pylist(), rows.column("weights"), strict=True):
         own = np.asarray(w.values, dtype=np.float64)
         mean = own if mean is None else mean + (own - mean) * (n / (total + n))
@@ -320,26 +362,32 @@ def _average(key: tuple, rows: pa.Table) -> pa.Table:
 def train(documents: DataFrame) -> tuple[np.ndarray, WindowNetwork]:
     """The vocabulary and a network trained on all documents, with the counts of all other words.
 
-    Each partition trains from the same start by Adagrad over all of its tokens, predicting each from
-    both sides; the networks are averaged by their number of tokens, FAN_IN at a time, up a tree. So the network
-    depends on how documents are dealt over partitions (counts of words don't): other partitions, other scores.
+    Documents are dealt over groups of about GROUP_TOKENS tokens by a hash of doc_id and text (without doc_id: by their
+    place). Each group trains from the same start by Adagrad once over all of its tokens, in order of that hash,
+    predicting each from both sides; the networks are averaged by their number of tokens, FAN_IN at a time, up a tree.
+    So the network does not depend on how documents with ids are dealt over partitions.
     """
     counts, shards = word_counts(documents)
-    words = _most_frequent(counts, VOCABULARY)
+    words, tokens = _most_frequent(counts, VOCABULARY)
     order = np.argsort(words)
     known, rank = words[order], order + 1
+    totals = _class_totals(counts, known)
+    groups = max(1, math.ceil((tokens + int(totals[0].sum())) / GROUP_TOKENS))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "text")
+    texts = documents.filter("text is not null").select("text", key.alias("key")).withColumn("group", F.pmod("key", F.lit(groups)).cast("long"))
+    ids = texts.mapInArrow(_numbered(known, rank), "group long, key long, ids binary")
+    ids = ids.repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group", "key")
     schema = "part long, n double, weights array<float>"
-    nets = cut(documents.select("text").mapInArrow(_trainer(known, rank), schema), "networks")
-    highest = nets.agg(F.max("part")).first()[0] or 0
-    for _ in range(max(1, math.ceil(math.log(highest + 2, FAN_IN)))):
+    nets = cut(ids.mapInArrow(_train_groups, schema), "networks")
+    for _ in range(max(1, math.ceil(math.log(groups + 1, FAN_IN)))):
         nets = nets.groupBy(F.floor(F.col("part") / FAN_IN).cast("long").alias("up")).applyInArrow(_average, schema)
     nets = cut(nets, "network")
-    last = nets.collect()
+    last = nets.orderBy("part").collect()
     net = WindowNetwork()
     if last:
         n = np.array([r["n"] for r in last])
         net.load(np.average(np.array([r["weights"] for r in last]), axis=0, weights=n))
-    net.rest = counts, shards, _class_totals(counts, known)
+    net.rest = counts, shards, totals
     return words, net
 
 

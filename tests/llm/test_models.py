@@ -148,3 +148,30 @@ def test_rare_neighbours_and_targets_reach_the_network():
         down = -net.forward(ids, ctx).sum()
         net.p[name][at] = old
         assert (up - down) / (2 * eps) == pytest.approx(g[name][at], rel=1e-3, abs=1e-6)
+
+
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 3000)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(rng.choices(words, range(1500, 0, -1), k=60))) for i in range(150)] + [(200, None), (201, ""), (202, "w1 " * 9000)]
+    table = docs(rows)
+    few, many = lm.train(table.repartition(4)), lm.train(table.repartition(32, "doc_id"))
+    assert (few[0] == many[0]).all()
+    assert np.allclose(few[1].flat(), many[1].flat(), rtol=0, atol=1e-5)
+    assert not np.allclose(few[1].flat(), lm.WindowNetwork().flat(), rtol=0, atol=0.05)
+    scores = [{r["doc_id"]: r["log_likelihood"] for r in lm.pseudo_likelihood(table.repartition(n), model).collect()} for n, model in ((5, few), (17, many))]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-4) and scores[0][200] == scores[0][201] == 0
+
+
+def test_steps_do_not_depend_on_batches():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 900, 40)
+    ids, doc = rng.integers(0, lm.VOCABULARY, lengths.sum()), np.repeat(np.arange(40), lengths)
+    ids += (lm.VOCABULARY + 1) * (rng.random(len(ids)) < 0.4)
+    whole, pieces = lm._Training(), lm._Training()
+    whole.add(ids, doc)
+    for a in range(0, 40, 7):
+        own = (doc >= a) & (doc < a + 7)
+        pieces.add(ids[own], doc[own] - a)
+    assert (whole.finish() == pieces.finish()).all() and whole.seen == pieces.seen == len(ids)
