@@ -312,14 +312,19 @@ class _Training:
     def _step(self, ids: np.ndarray, ctx: np.ndarray) -> None:
         order = np.argsort(_kinds(ids).astype(np.uint16), kind="stable")
         _, g = self.net.forward(ids[order], ctx[:, order], train=True)
-        rows = {"embed": [np.unique(c) for c in ctx]}
+        # embeddings that no token has as a neighbour stay as they are
+        near = np.concatenate([i * (VOCABULARY + 1 + RARE_CONTEXTS) + np.flatnonzero(np.bincount(c)) for i, c in enumerate(ctx)])
         for k, d in g.items():
-            d /= STEP_TOKENS
-            # embeddings that no token has as a neighbour stay as they are
-            parts = [((i, own), d[i, own]) for i, own in enumerate(rows[k])] if k in rows else [(..., d)]
-            for at, part in parts:
-                self.squares[k][at] += part * part
-                self.net.p[k][at] -= RATE * part / np.sqrt(self.squares[k][at])
+            p, squares = self.net.p[k], self.squares[k]
+            if k == "embed":
+                own, sums = d.reshape(-1, WIDTH)[near] / STEP_TOKENS, squares.reshape(-1, WIDTH)
+                total = sums[near] + own * own
+                sums[near] = total
+                p.reshape(-1, WIDTH)[near] -= RATE * own / np.sqrt(total)
+            else:
+                d /= STEP_TOKENS
+                squares += d * d
+                p -= RATE * d / np.sqrt(squares)
 
     def finish(self) -> np.ndarray:
         """The weights, after a last and lighter step over what is left."""
