@@ -73,8 +73,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op5_minhash_dedup, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op5_minhash_dedup, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules, op11_vector_codes)}
 
 
 OP6_SQL = """
@@ -150,5 +156,26 @@ FROM b LEFT JOIN x ON x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DIS
 """
 
 
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Each round twice: the nearest entries n, then the codebook b of their parts' means."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS uid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"x AS MATERIALIZED (SELECT uid, p AS part, e[p * len(e) // {parts} + 1:(p + 1) * len(e) // {parts}] AS x FROM v, range({parts}) AS r(p))",
+        f"b0 AS (SELECT part, uid - 1 AS entry, x AS c FROM x WHERE uid <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""n{i} AS MATERIALIZED (SELECT uid, x.part, min(struct_pack(d := list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), entry := entry)) AS best
+  FROM x JOIN b{i} ON b{i}.part = x.part GROUP BY uid, x.part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, entry, place, CAST(floor(sum(y) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS mean FROM (SELECT n.part, n.best.entry AS entry, unnest(x.x) AS y, unnest(range(len(x.x))) AS place FROM n{i} n JOIN x USING (uid, part)) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{i} b LEFT JOIN (SELECT part, entry, list(mean ORDER BY place) AS c FROM m{i} GROUP BY ALL) m USING (part, entry))""")
+    steps.append(f"d AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})")
+    steps.append(f"r AS (SELECT uid, lower(string_agg(printf('%02x', best.entry), '' ORDER BY part)) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM n{rounds} GROUP BY uid)")
+    ctes = ",\n".join(steps)
+    return f"WITH {ctes}\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (uid), d"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": OP3_SQL, "op5_minhash_dedup": OP5_SQL, "op6_topk_search": OP6_SQL, "op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op11_vector_codes": _op11_sql(), "op3_sharding": OP3_SQL, "op5_minhash_dedup": OP5_SQL, "op6_topk_search": OP6_SQL, "op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
