@@ -154,10 +154,10 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, offsets: np.ndarray, separates: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in the texts of a buffer, and for each the index of its text."""
     inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = ~_IS_SPACE[raw]
+    inside[1:-1] = ~separates[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[offsets] = True
     opens = inside[1:] & (~inside[:-1] | cut)

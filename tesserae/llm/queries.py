@@ -79,8 +79,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.resample import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op5_minhash_dedup, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op5_minhash_dedup, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules, op11_vector_codes, op12_importance_resampling)}
 
 
 OP6_SQL = """
@@ -157,6 +163,23 @@ FROM b LEFT JOIN x ON x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DIS
 
 
 
+OP12_SQL = r"""
+WITH bits AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS UBIGINT), CAST(range(8) AS UBIGINT[])),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crc_table),
+t AS (SELECT doc_id, text, true AS own FROM documents UNION ALL SELECT NULL, text, false FROM benchmark),
+w AS MATERIALIZED (SELECT doc_id, own, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM t),
+h AS MATERIALIZED (SELECT w, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: CAST('0x' || h AS UBIGINT))),
+  lambda s, x: xor(s >> 8, crc_table[CAST(xor(s & 255, x) AS BIGINT) + 1]))) % 10000 AS bucket FROM (SELECT DISTINCT w FROM w), bits),
+c AS (SELECT bucket, CAST(count(*) FILTER (own) AS DOUBLE) AS s, CAST(count(*) FILTER (NOT own) AS DOUBLE) AS t FROM w JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000)))) AS BIGINT) AS gain FROM c),
+f AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN h USING (w) JOIN g USING (bucket) WHERE own GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS UBIGINT) AS h FROM documents LEFT JOIN f USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+
 def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """Each round twice: the nearest entries n, then the codebook b of their parts' means."""
     steps = [
@@ -178,4 +201,4 @@ b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": _op11_sql(), "op3_sharding": OP3_SQL, "op5_minhash_dedup": OP5_SQL, "op6_topk_search": OP6_SQL, "op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op11_vector_codes": _op11_sql(), "op12_importance_resampling": OP12_SQL, "op3_sharding": OP3_SQL, "op5_minhash_dedup": OP5_SQL, "op6_topk_search": OP6_SQL, "op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
