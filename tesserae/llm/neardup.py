@@ -72,37 +72,28 @@ def set_keys(sets: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.add.reduceat(mix64(sets), heads).view(np.int64), np.add.reduceat(mix64(sets ^ _ONE), heads).view(np.int64)
 
 
-def _signatures(k: int):
+SIGNED = "uid long, doc_id long, text_hash long, n long, k1 long, k2 long, sig binary, bands array<long>, packed binary"
+
+
+def _signatures(sketch):
+    """Over rows (doc_id, text, text_hash): SIGNED, with what the sketch says of the sets of a slice of texts."""
     schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for b in slices(iter(batches)):
-            sets, counts = shingle_sets(*utf8_buffer(b.column(1)), k)
+            sets, counts = shingle_sets(*utf8_buffer(b.column(1)), sketch.k)
             some = np.flatnonzero(counts)
             heads = (np.cumsum(counts) - counts)[some]
             keys = np.zeros((2, b.num_rows), np.int64)
             keys[:, some] = set_keys(sets, heads)
-            least = np.empty((_HASHES, len(some)), np.uint32)
-            for i in range(_HASHES if len(some) else 0):
-                least[i] = np.minimum.reduceat(((sets * _A[i] + _B[i]) >> np.uint64(32)).astype(np.uint32), heads)
-            bands = np.empty((len(some), BANDS), np.int64)
-            for j in range(BANDS):
-                h = np.full(len(some), j + 1, np.uint64)
-                for r in range(ROWS):
-                    h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + least[j * ROWS + r])
-                bands[:, j] = h.view(np.int64)
-            short = np.ascontiguousarray((least & np.uint32(255)).astype(np.uint8).T)
-            sig: list = [None] * b.num_rows
-            band: list = [None] * b.num_rows
-            packed: list = [None] * b.num_rows
-            for i, d in enumerate(some.tolist()):
-                sig[d], band[d], packed[d] = short[i].tobytes(), bands[i], bands[i].tobytes()
+            out: list[list] = [[None] * b.num_rows for _ in range(3)]
+            for d, own in zip(some.tolist(), sketch.describe(sets, heads, counts[some]), strict=True):
+                out[0][d], out[1][d], out[2][d] = own
             ids = np.arange(uid, uid + b.num_rows)
             uid += b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), b.column(0), b.column(2), pa.array(counts), pa.array(keys[0]), pa.array(keys[1]), pa.array(sig, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(packed, pa.binary())], schema=schema
-            )
+            columns = [pa.array(ids), b.column(0), b.column(2), pa.array(counts), pa.array(keys[0]), pa.array(keys[1])]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(c, f.type) for c, f in zip(out, list(schema)[6:], strict=True)], schema=schema)
 
     return run
 
@@ -150,30 +141,51 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def _survivors(a: np.ndarray, b: np.ndarray, need: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two signature tables that no batch of comparisons gives up, and their matches."""
-    alive, found = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for n, least in need.items():
-        found = found + (a[alive, n - STEP : n] == b[alive, n - STEP : n]).sum(axis=1)
-        keep = found >= least
-        alive, found = alive[keep], found[keep]
-        if not len(alive):
-            break
-    return alive, found
+class MinHashes:
+    """Min-hash signatures, banded, compared batch by batch until the posterior says that a pair isn't similar."""
+
+    width = _HASHES
+
+    def __init__(self, k: int, percent: int):
+        self.k, self.percent, self.need = k, percent, least_matches(percent)
 
+    def describe(self, sets: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        """For each set its signature (a byte of each least hash), its bands, and these as bytes."""
+        least = np.empty((_HASHES, len(heads)), np.uint32)
+        for i in range(_HASHES if len(heads) else 0):
+            least[i] = np.minimum.reduceat(((sets * _A[i] + _B[i]) >> np.uint64(32)).astype(np.uint32), heads)
+        bands = np.empty((len(heads), BANDS), np.int64)
+        for j in range(BANDS):
+            h = np.full(len(heads), j + 1, np.uint64)
+            for r in range(ROWS):
+                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + least[j * ROWS + r])
+            bands[:, j] = h.view(np.int64)
+        short = np.ascontiguousarray((least & np.uint32(255)).astype(np.uint8).T)
+        return ((s.tobytes(), b, b.tobytes()) for s, b in zip(short, bands, strict=True))
 
-def _signature_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _HASHES)
+    def survivors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of two signature tables that no batch of comparisons gives up, and their matches."""
+        alive, found = np.arange(len(a)), np.zeros(len(a), np.int64)
+        for n, least in self.need.items():
+            found = found + (a[alive, n - STEP : n] == b[alive, n - STEP : n]).sum(axis=1)
+            keep = found >= least
+            alive, found = alive[keep], found[keep]
+            if not len(alive):
+                break
+        return alive, found
 
 
-def _screen(percent: int, tries: int):
+def _signature_matrix(signatures: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, width)
+
+
+def _screen(sketch, tries: int):
     """Over rows (a, b, salts, sig_a, sig_b): pairs that may be similar, for each a in a batch the `tries` most promising."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = least_matches(percent)
         for b in batches:
             if b.num_rows:
-                alive, found = _survivors(_signature_matrix(b.column(3)), _signature_matrix(b.column(4)), need)
+                alive, found = sketch.survivors(*(_signature_matrix(b.column(i).to_pylist(), sketch.width) for i in (3, 4)))
                 who = np.asarray(b.column(0))[alive]
                 order = np.lexsort((np.asarray(b.column(1))[alive], -found, who))
                 alive, who = alive[order], who[order]
@@ -206,28 +218,27 @@ def _confirm(percent: int):
     return run
 
 
-def _compare_blocks(percent: int):
+def _compare_blocks(sketch):
     """Over rows (band, block, part, kind, uid, root, sig, bands) in that order: pairs of unlike roots that may be similar.
 
-    A pair of several common bands is given in the first of them alone.
+    A pair of several common bands is given in the first of them alone, where the sketch gives bands as bytes.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = least_matches(percent)
-
         def pairs(band: int, rows: list[tuple]) -> pa.RecordBatch | None:
             kind, uid, root = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-            sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, _HASHES)
-            bands = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(-1, BANDS)
+            sig = _signature_matrix([r[3] for r in rows], sketch.width)
+            bands = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(len(rows), -1)
             left = np.flatnonzero(kind == 1)
             out: dict[str, list] = {"a": [], "b": [], "matches": []}
             for i in np.flatnonzero(kind == 0):
                 others = left[(root[left] != root[i])]
                 if len(others):
-                    alive, found = _survivors(sig[others], np.broadcast_to(sig[i], (len(others), _HASHES)), need)
-                    common = bands[others[alive]] == bands[i]
-                    first = bands[i][common.argmax(axis=1)] == band
-                    alive, found = alive[first], found[first]
+                    alive, found = sketch.survivors(sig[others], np.broadcast_to(sig[i], (len(others), sketch.width)))
+                    if bands.shape[1]:
+                        common = bands[others[alive]] == bands[i]
+                        first = bands[i][common.argmax(axis=1)] == band
+                        alive, found = alive[first], found[first]
                     out["a"].append(uid[others[alive]])
                     out["b"].append(np.full(len(alive), uid[i]))
                     out["matches"].append(found)
@@ -249,12 +260,11 @@ def _compare_blocks(percent: int):
     return run
 
 
-def _meet_component(percent: int):
+def _meet_component(sketch):
     """Over rows (component, block, part, kind, uid, sig, members) in that order, a block of a component first: for each
     other document (kind 1) one link to the block if there is any. Likely partners are tried first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = least_matches(percent)
         key, own, table = None, [], None
         for batch in batches:
             links = []
@@ -266,10 +276,10 @@ def _meet_component(percent: int):
                     own.append((uid, sig, shingles))
                     continue
                 if table is None:
-                    table = np.frombuffer(b"".join(s for _, s, _ in own), np.uint8).reshape(-1, _HASHES)
-                alive, found = _survivors(table, np.broadcast_to(np.frombuffer(sig, np.uint8), table.shape), need)
+                    table = _signature_matrix([s for _, s, _ in own], sketch.width)
+                alive, found = sketch.survivors(table, np.broadcast_to(np.frombuffer(sig, np.uint8), table.shape))
                 for i in alive[np.argsort(-found, kind="stable")].tolist():
-                    if _similar(own[i][2], shingles, percent):
+                    if _similar(own[i][2], shingles, sketch.percent):
                         links.append((uid, own[i][0]))
                         break
             if links:
@@ -291,12 +301,14 @@ def _small(df: DataFrame, rows: int, width: int = 40) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
-class _Search:
-    def __init__(self, documents: DataFrame, k: int, percent: int):
-        self.k, self.percent = k, percent
+class Search:
+    """Classes of equal sets, and links between classes whose sketches share a band."""
+
+    def __init__(self, documents: DataFrame, sketch):
+        self.sketch = sketch
         self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         hashed = self.texts.withColumn("text_hash", F.xxhash64("text"))
-        self.signed = cut(hashed.mapInArrow(_signatures(k), "uid long, doc_id long, text_hash long, n long, k1 long, k2 long, sig binary, bands array<long>, packed binary"), "signatures")
+        self.signed = cut(hashed.mapInArrow(_signatures(sketch), SIGNED), "signatures")
         least = self.signed.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "uid")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
         #: One row for each different set; equal sets have equal signatures.
         self.classes = cut(least.select("k1", "k2", "rep.uid", "rep.doc_id", "least", "copies", "sig", "bands", "packed"), "classes")
@@ -308,15 +320,15 @@ class _Search:
         keys = self.sigs.select("uid", F.col("doc_id").alias("d"), F.col("k1").alias("n1"), F.col("k2").alias("n2"))
         # null ids are told apart by the set alone
         read = self.texts.join(_small(keys.select("d").distinct(), rows), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-        sets = read.mapInArrow(_sets(self.k), "doc_id long, k1 long, k2 long, members binary")
+        sets = read.mapInArrow(_sets(self.sketch.k), "doc_id long, k1 long, k2 long, members binary")
         same = (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("d"))
         self.sets, self.active = cut(sets.join(_small(keys, rows), same).select("uid", "members"), "sets"), rows
 
     def screen(self, pairs: DataFrame, tries: int) -> DataFrame:
         """pairs (a, b, salts) that may be similar by their signatures."""
-        left, right = (_small(self.sigs.select(F.col("uid").alias(c), F.col("sig").alias(f"sig_{c}")), self.active, 40 + _HASHES) for c in "ab")
+        left, right = (_small(self.sigs.select(F.col("uid").alias(c), F.col("sig").alias(f"sig_{c}")), self.active, 40 + self.sketch.width) for c in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "salts", "sig_a", "sig_b")
-        return both.mapInArrow(_screen(self.percent, tries), "a long, b long, salts long")
+        return both.mapInArrow(_screen(self.sketch, tries), "a long, b long, salts long")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, salts) whose full sets are similar enough. The partners of b are dealt over so many groups,
@@ -326,7 +338,7 @@ class _Search:
         wanted = groups.select("b", "salt", F.explode(seats).alias("s")).select("b", "salt", "s.kind", "s.uid")
         rows = wanted.join(self.sets, "uid").select("b", "salt", "kind", F.col("uid").alias("a"), "members")
         dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
-        return cut(dealt.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
+        return cut(dealt.mapInArrow(_confirm(self.sketch.percent), "a long, b long"), "links")
 
     def with_roots(self, df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
         own = _small(roots.select(F.col("uid").alias(column), F.col("root").alias("_root")), roots.count())
@@ -349,7 +361,7 @@ class _Search:
         tried = cut(self.screen(stars, FIRST_TRIES), "screened")
         links = self.confirm(tried)
         roots = components(links)
-        rooted = cut(self.with_roots(members.filter("size > 2").select("band", "uid"), roots, "uid", "root"), "rooted")
+        rooted = cut(self.with_roots(members.select("band", "uid"), roots, "uid", "root"), "rooted")
         mixed = self.mixed_buckets(rooted, roots)
         n_mixed = mixed.count()
         if not n_mixed:
@@ -393,10 +405,10 @@ class _Search:
         everyone = roots.select(F.col("root").alias("component"), "uid").unionByName(dealt.select("component", F.col("component").alias("uid")))
         own = everyone.join(_small(dealt, n_mains), "component").select("component", seat("blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("kind"), "uid")
         guests = meets.join(_small(dealt, n_mains), "component").select("component", every("blocks").alias("block"), seat("parts").alias("part"), F.lit(1).alias("kind"), "uid")
-        rows = own.unionByName(guests).join(_small(self.sigs.select("uid", "sig"), self.active, 40 + _HASHES), "uid").join(self.sets, "uid")
+        rows = own.unionByName(guests).join(_small(self.sigs.select("uid", "sig"), self.active, 40 + self.sketch.width), "uid").join(self.sets, "uid")
         keys = ["component", "block", "part"]
         rows = rows.select(*keys, "kind", "uid", "sig", "members").repartition(*keys).sortWithinPartitions(*keys, "kind")
-        return cut(rows.mapInArrow(_meet_component(self.percent), "a long, b long"), "met")
+        return cut(rows.mapInArrow(_meet_component(self.sketch), "a long, b long"), "met")
 
     def screen_buckets(self, rooted: DataFrame, mixed: DataFrame, n_mixed: int) -> DataFrame:
         """Pairs of one bucket and unlike components that may be similar, but for those with a large main component.
@@ -421,12 +433,30 @@ class _Search:
         seats = F.filter(seats, lambda s: ~F.col("large") | (s["block"] < 0))
         # a lone straggler beside a large component has no one to meet here
         seated = own.withColumn("own", block).filter("not large or all - mains > 1").select("band", F.explode(seats).alias("s"), "uid", "root")
-        seated = seated.join(_small(sigs, self.active, 40 + _HASHES + 8 * BANDS), "uid")
+        seated = seated.join(_small(sigs, self.active, 40 + self.sketch.width + 8 * BANDS), "uid")
         dealt = seated.select("band", "s.block", "s.part", "s.kind", "uid", "root", "sig", "packed").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "kind")
-        pairs = dealt.mapInArrow(_compare_blocks(self.percent), "a long, b long, matches long")
+        pairs = dealt.mapInArrow(_compare_blocks(self.sketch), "a long, b long, matches long")
         # pairs of one part stand in it both ways
         return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
+    def named(self) -> DataFrame:
+        """doc_id, n_shingles, component_id and text_hash of every document."""
+        roots = self.links()
+        nodes = self.with_roots(self.classes.select("uid", "k1", "k2", "least", "copies"), roots, "uid", "root")
+        linked = nodes.join(_small(roots.select("root").distinct(), roots.count()), "root", "left_semi")
+        linked = cut(linked.select("k1", "k2", "root", "least"), "linked")
+        rows = linked.count()
+        least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+        named = linked.join(_small(least, rows), "root").select("k1", "k2", "component_id")
+        # copies of one set that is linked with no other
+        alone = nodes.filter("copies > 1").join(_small(least.select("root"), rows), "root", "left_anti").select("k1", "k2", F.col("least").alias("component_id"))
+        named = cut(named.unionByName(alone), "named")
+        own = self.signed.filter("n > 0").select("doc_id", "n", "k1", "k2", "text_hash")
+        out = own.join(_small(named.withColumn("known", F.lit(True)), named.count()), ["k1", "k2"], "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+        bare = self.signed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
+        return out.unionByName(bare)
+
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every document.
@@ -437,23 +467,9 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     node, however many; null texts have no words; null doc_ids are never a component's id unless it has no other;
     rows with one doc_id are told apart; no rows give no rows; columns of other names are ignored.
     """
-    search = _Search(documents, shingle, percent)
-    roots = search.links()
-    nodes = search.with_roots(search.classes.select("uid", "k1", "k2", "least", "copies"), roots, "uid", "root")
-    linked = nodes.join(_small(roots.select("root").distinct(), roots.count()), "root", "left_semi")
-    linked = cut(linked.select("k1", "k2", "root", "least"), "linked")
-    rows = linked.count()
-    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = linked.join(_small(least, rows), "root").select("k1", "k2", "component_id")
-    # copies of one set that is linked with no other
-    alone = nodes.filter("copies > 1").join(_small(least.select("root"), rows), "root", "left_anti").select("k1", "k2", F.col("least").alias("component_id"))
-    named = cut(named.unionByName(alone), "named")
-    own = search.signed.filter("n > 0").select("doc_id", "n", "k1", "k2", "text_hash")
-    rows = own.join(_small(named.withColumn("known", F.lit(True)), named.count()), ["k1", "k2"], "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
-    bare = search.signed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
+    rows = Search(documents, MinHashes(shingle, percent)).named()
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return rows.unionByName(bare).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
+    return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
 def reject_near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

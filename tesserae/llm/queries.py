@@ -85,8 +85,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op5_minhash_dedup, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules, op11_vector_codes, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm_scoring, op3_sharding, op4_packing, op5_minhash_dedup, op6_topk_search, op7_warc, op8_suffix_array_dedup, op9_toxicity, op10_quality_rules, op11_vector_codes, op12_importance_resampling, op13_jaccard_join)}
 
 
 OP6_SQL = """
@@ -125,6 +131,17 @@ k AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b.b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b.b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, a FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
@@ -201,4 +218,4 @@ b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": _op11_sql(), "op12_importance_resampling": OP12_SQL, "op3_sharding": OP3_SQL, "op5_minhash_dedup": OP5_SQL, "op6_topk_search": OP6_SQL, "op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op11_vector_codes": _op11_sql(), "op12_importance_resampling": OP12_SQL, "op13_jaccard_join": OP13_SQL, "op3_sharding": OP3_SQL, "op5_minhash_dedup": OP5_SQL, "op6_topk_search": OP6_SQL, "op7_warc": OP7_SQL, "op10_quality_rules": OP10_SQL}
