@@ -21,18 +21,17 @@ COLLECTION, GROUP = 60_000, 1_000
 #: Stands for a null doc_id, which sorts before all others.
 NO_DOC = -(1 << 63)
 
-ANCHORS = "f long, h long, doc long, pos long, mark boolean"
-FOUND = "kind int, f long, doc long, pos long"
+ANCHORS = "f long, h long, doc long, tag long, pos long, mark boolean"
 MARK, SEGMENT = 0, 1
 
 
-def pack(tag: np.ndarray, start: np.ndarray, run: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    """Text tag (17 bits), start (32), windows - 1 (7) and anchor - start (7) in one long that sorts by tag and start."""
-    return (tag << 46) | (start << 14) | (run << 7) | anchor
+def pack(start: np.ndarray, run: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Start, windows - 1 (7 bits) and anchor - start (7 bits) in one long that sorts by start."""
+    return (start << 14) | (run << 7) | anchor
 
 
-def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return pos >> 46, (pos >> 14) & 0xFFFFFFFF, (pos >> 7) & 127, pos & 127
+def unpack(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pos >> 14, (pos >> 7) & 127, pos & 127
 
 
 def _sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
@@ -83,20 +82,20 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def _anchors(length: int):
-    schema = pa.schema([(n, pa.int64()) for n in ("f", "h", "doc", "pos")] + [("mark", pa.bool_())])
+    schema = pa.schema([(n, pa.int64()) for n in ("f", "h", "doc", "tag", "pos")] + [("mark", pa.bool_())])
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """Of equal segments in this task the first one competes with other tasks'; the rest do repeat it."""
-        f, h, doc, pos = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((pos, doc, h, f))
-        f, h, doc, pos = f[order], h[order], doc[order], pos[order]
+        f, h, doc, tag, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((pos, tag, doc, h, f))
+        f, h, doc, tag, pos = f[order], h[order], doc[order], tag[order], pos[order]
         lead = np.flatnonzero(_changes(f, h))
         leader = np.repeat(lead, np.diff(np.append(lead, len(f))))
-        mark = (doc != doc[leader]) | (pos != pos[leader])
+        mark = (doc != doc[leader]) | (tag != tag[leader]) | (pos != pos[leader])
         keep = mark.copy()
         keep[lead] = True  # a repeated row with the same doc_id and text is the same occurrence
-        f = np.where(mark, mix64(doc.astype(np.uint64) + pos.astype(np.uint64)).view(np.int64), f)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (f, np.where(mark, 0, h), doc, pos)] + [pa.array(mark[keep])], schema=schema)
+        f = np.where(mark, mix64(tag.astype(np.uint64) + pos.astype(np.uint64)).view(np.int64), f)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (f, np.where(mark, 0, h), doc, tag, pos)] + [pa.array(mark[keep])], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -106,7 +105,7 @@ def _anchors(length: int):
             docs, tags = (np.asarray(b.column(b.schema.get_field_index(n)), dtype=np.int64) for n in ("doc", "tag"))
             f, h, text, first, last, anchor = segments(raw, offsets, length)
             if len(f):
-                held.append((f, h, docs[text], pack(tags[text], first - offsets[text], last - first, anchor - first)))
+                held.append((f, h, docs[text], tags[text], pack(first - offsets[text], last - first, anchor - first)))
                 size += len(f)
             if size > 300_000:
                 yield flush(held)
@@ -166,11 +165,11 @@ def repeated_windows(strings: list[bytes], anchors: np.ndarray, rank: np.ndarray
 
 def _construct(length: int, collection: int):
     reach = length - GRAM + 1
-    schema = pa.schema([("doc", pa.int64()), ("pos", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64())])
 
-    def solve(f: list, docs: list, poss: list, strings: list) -> pa.RecordBatch:
-        doc, pos = np.array(docs, np.int64), np.array(poss, np.int64)
-        tag, start, _, anchor = unpack(pos)
+    def solve(f: list, docs: list, tags: list, poss: list, strings: list) -> pa.RecordBatch:
+        doc, tag, pos = (np.array(x, np.int64) for x in (docs, tags, poss))
+        start, _, anchor = unpack(pos)
         rank = np.empty(len(doc), np.int64)
         rank[np.lexsort((start + anchor, tag, doc))] = np.arange(len(doc))
         again = repeated_windows(strings, anchor, rank, length)
@@ -179,15 +178,17 @@ def _construct(length: int, collection: int):
         who, first = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
         begin = start[who] + anchor[who] - (reach - 1) + first
-        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(pack(tag[who], begin, end - first - 1, np.zeros(len(who), np.int64)))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(tag[who]), pa.array(pack(begin, end - first - 1, np.zeros(len(who), np.int64)))], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if held[0] and row[:4] == tuple(own[-1] for own in held[:4]):  # repeated rows, of several tasks
+                    continue
                 if len(held[0]) >= collection and row[0] != held[0][-1]:
                     yield solve(*held)
-                    held = ([], [], [], [])
+                    held = ([], [], [], [], [])
                 for own, x in zip(held, row, strict=True):
                     own.append(x)
         if held[0]:
@@ -202,24 +203,27 @@ def _cut_out(length: int):
     The windows of a part hold the anchor at one of some neighbouring places, so that equal ones agree in all bytes
     between the first's end and the last's start. Parts are dealt by the hash of these bytes (f).
     """
-    schema = pa.schema([("f", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("f", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("bytes", pa.binary())])
     reach = length - GRAM + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in slices(batches):
             out: list[tuple] = []
-            for doc, text, own in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc", "text", "own")), strict=True):
+            for doc, tag, text, own in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("doc", "tag", "text", "own")), strict=True):
+                if (doc, tag) in seen:  # a repeated row
+                    continue
+                seen.add((doc, tag))
                 data = text.encode()
                 for x in own:
-                    tag, start, more, anchor = (int(v) for v in unpack(np.int64(x["pos"])))
+                    start, more, anchor = unpack(x["pos"])
                     width = -(-reach // x["parts"])
                     for low in range((anchor - more) // width * width, anchor + 1, width):
                         first, last = start + max(0, anchor - low - width + 1), start + min(more, anchor - low)
                         at = start + anchor
                         shared = data[at - low : max(at + GRAM, at - low - width + 1 + length)]
                         f = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=low.to_bytes(2, "little")).digest(), "little", signed=True)
-                        pos = pack(*(np.int64(v) for v in (tag, first, last - first, at - first)))
-                        out.append((f, doc, int(pos), data[first : last + length]))
+                        out.append((f, doc, tag, pack(first, last - first, at - first), data[first : last + length]))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                     out = []
@@ -234,7 +238,7 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ranges = []
         for own in b.column(2).to_pylist():
-            _, start, run_, _ = unpack(np.sort(np.array(own, np.int64)))
+            start, run_, _ = unpack(np.sort(np.array(own, np.int64)))
             reach = np.maximum.accumulate(start + run_)
             heads = np.concatenate([[True], start[1:] > reach[:-1] + 1])
             lead = np.flatnonzero(heads)
@@ -253,13 +257,13 @@ def _small(df: DataFrame, size: int) -> DataFrame:
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, collection: int = COLLECTION, group: float = GROUP) -> DataFrame:
     """(r_doc, r_tag, ranges): first and last start of each run of windows that also start earlier.
 
-    keyed: doc, tag, text. Segments meet by the hash of their anchor. Of equal segments all but the first
+    keyed: doc, tag, text; rows with one doc and tag are one text. Segments meet by the hash of their anchor. Of equal segments all but the first
     are repeats throughout; one string stands for them in the construction, which the segments that share
     an anchor with a different one enter. They enter it in parts, the more parts the more there are: equal windows
     lie in parts that also agree in the symbols beside the anchor, so a common anchor is split by these.
     """
     anchors = keyed.filter(F.octet_length("text") >= length).select("doc", "tag", "text").mapInArrow(_anchors(length), ANCHORS)
-    equal = Window.partitionBy("f", "h").orderBy("doc", "pos")
+    equal = Window.partitionBy("f", "h").orderBy("doc", "tag", "pos")
     ranked = (
         anchors.repartition("f")
         .withColumn("place", F.dense_rank().over(equal))
@@ -268,15 +272,15 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, collection: int = CO
     )
     kind = F.when(F.col("mark") | (F.col("place") > 1), MARK).when((F.col("first") == 1) & (F.col("others") > 1), SEGMENT)
     parts = F.least(F.lit(length - GRAM + 1), 2 + F.col("others") / group).cast("int")
-    found = cut(ranked.select(kind.alias("kind"), "doc", "pos", parts.alias("parts")).filter("kind is not null"), "found", ["kind"])
-    marks = found.filter(F.col("kind") == MARK).select("doc", "pos")
-    own = found.filter(F.col("kind") == SEGMENT).groupBy("doc", F.shiftright("pos", 46).alias("tag")).agg(F.collect_list(F.struct("pos", "parts")).alias("own"))
+    found = cut(ranked.select(kind.alias("kind"), "doc", "tag", "pos", parts.alias("parts")).filter("kind is not null"), "found", ["kind"])
+    marks = found.filter(F.col("kind") == MARK).select("doc", "tag", "pos")
+    own = found.filter(F.col("kind") == SEGMENT).groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "parts")).alias("own"))
     needed = cut(own, "needed")
     some = keyed.join(_small(needed.select("doc").distinct(), 16 * needed.count()), "doc", "left_semi")
-    strings = some.join(needed, ["doc", "tag"]).mapInArrow(_cut_out(length), "f long, doc long, pos long, bytes binary")
-    ordered = strings.repartition("f").sortWithinPartitions("f")
-    marks = marks.unionByName(ordered.mapInArrow(_construct(length, collection), "doc long, pos long"))
-    each = marks.groupBy("doc", F.shiftright("pos", 46).alias("tag")).agg(F.collect_list("pos").alias("own"))
+    strings = some.join(needed, ["doc", "tag"]).mapInArrow(_cut_out(length), "f long, doc long, tag long, pos long, bytes binary")
+    ordered = strings.repartition("f").sortWithinPartitions("f", "doc", "tag", "pos")
+    marks = marks.unionByName(ordered.mapInArrow(_construct(length, collection), "doc long, tag long, pos long"))
+    each = marks.groupBy("doc", "tag").agg(F.collect_list("pos").alias("own"))
     return cut(each.mapInArrow(_merge, "r_doc long, r_tag long, ranges binary"), "ranges")
 
 
@@ -321,7 +325,7 @@ def _without_repeats(documents: DataFrame, rest: list[str], length: int) -> Data
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         row.alias("row"),
-    ).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 17)))
+    ).withColumn("tag", F.xxhash64("text"))
     ranges = repeated_ranges(keyed.select("doc", "tag", "text"), length)
     rows, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ranges")), F.lit(0))).first()
     joined = keyed.join(_small(ranges, 32 * rows + size), (F.col("doc") == F.col("r_doc")) & (F.col("tag") == F.col("r_tag")), "left")

@@ -36,11 +36,29 @@ def test_against_brute_force(docs, repeats):
     assert result(suffixes.remove_repeats(docs(repeats))) == brute(repeats, 100)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_thousands_of_texts_of_one_doc_id(spark, docs, doc_id):
+    """Each is a document of its own: what is removed from all of them, told by the texts, is what one order gives."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    passages = [word(int(rng.integers(100, 140))) for _ in range(40)]
+    texts = list({word(int(rng.integers(1, 80))) + passages[rng.integers(40)] + word(int(rng.integers(1, 80))) for _ in range(4000)})
+    table = docs([(doc_id, t) for t in texts + texts[:300]])
+    order = {r["text"]: r["tag"] for r in table.select("text", F.xxhash64("text").alias("tag")).distinct().collect()}
+    want = brute([(order[t], t) for t in texts], 100)
+    done = suffixes._without_repeats(table.withColumn("whole", F.col("text")), ["whole"], 100).select("row.whole", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert len(done) == len(texts) + 300
+    for r in done:
+        assert tuple(r)[1:] == want[order[r["whole"]]]
+
+
 def test_common_anchors_are_split(docs, repeats):
     from pyspark.sql import functions as F
 
     table = docs(repeats)
-    keyed = table.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 17)))
+    keyed = table.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     read = lambda group: {(r["r_doc"], bytes(r["ranges"])) for r in suffixes.repeated_ranges(keyed, group=group).collect()}
     assert read(0.01) == read(0.2) == read(10_000)
 
@@ -48,7 +66,7 @@ def test_common_anchors_are_split(docs, repeats):
 def test_small_collections(docs, repeats):
     from pyspark.sql import functions as F
 
-    keyed = docs(repeats).select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 17)))
+    keyed = docs(repeats).select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     read = lambda n: {(r["r_doc"], bytes(r["ranges"])) for r in suffixes.repeated_ranges(keyed, collection=n).collect()}
     assert read(5) == read(60_000)
 
