@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserae.llm.common import cut, mix64, slices, utf8_buffer, word_hashes, words_of
 from tesserae.llm.graph import components
@@ -24,6 +25,8 @@ PIVOT_ROWS, BLOCK_ROWS = 256, 512
 FIRST_TRIES = 2
 #: Components of more members meet other documents by full sets, block by block.
 LARGE = 32
+#: One class in so many is counted, and a band with so many of these is large.
+HOT_SAMPLE = 64
 #: Tables of more bytes than this (their rows are counted, their rows' width is bounded) are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -344,12 +347,28 @@ class Search:
         own = _small(roots.select(F.col("uid").alias(column), F.col("root").alias("_root")), roots.count())
         return df.join(own, column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
 
-    def links(self) -> DataFrame:
-        """Roots of the connected representatives: every similar pair that shares a bucket is connected in it."""
+    def members(self) -> DataFrame:
+        """(band, uid, size, pivot) of the bands that several classes share.
+
+        Most bands have one class and are never needed again, so all rows are dealt by band once, and counted
+        there. Bands that a sample shows to be large are known to be shared; their rows aren't dealt.
+        """
         in_bands = self.classes.select("uid", F.explode("bands").alias("band"))
+        sample = in_bands.filter(F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(HOT_SAMPLE)) == 0)
+        hot = cut(sample.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SAMPLE).select("band"), "hot-bands")
+        n_hot = hot.count()
+        cold = in_bands.join(_small(hot, n_hot), "band", "left_anti") if n_hot else in_bands
+        shared = cold.withColumn("n", F.count("*").over(Window.partitionBy("band"))).filter("n > 1").select("band", "uid")
+        if n_hot:
+            shared = shared.unionByName(in_bands.join(_small(hot, n_hot), "band", "left_semi").select("band", "uid"))
+        shared = cut(shared, "shared")
         pivot = F.min_by("uid", F.xxhash64("uid", F.pmod("band", F.lit(4)))).alias("pivot")
-        shared = cut(in_bands.groupBy("band").agg(F.count("*").alias("size"), pivot).filter("size > 1"), "buckets")
-        members = cut(in_bands.join(_small(shared, shared.count()), "band"), "members")
+        buckets = cut(shared.groupBy("band").agg(F.count("*").alias("size"), pivot), "buckets")
+        return cut(shared.join(_small(buckets, buckets.count()), "band"), "members")
+
+    def links(self) -> DataFrame:
+        """Roots of the connected representatives: every similar pair that shares a bucket is connected in it."""
+        members = self.members()
         # each member of a bucket meets the bucket's pivot
         met = F.collect_set(F.when(F.col("uid") != F.col("pivot"), F.col("pivot"))).alias("pivots")  # one for each band at most
         active = cut(members.groupBy("uid").agg(met, F.max("size").alias("size")), "active")

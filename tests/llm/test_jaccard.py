@@ -19,6 +19,7 @@ def test_large_groups_take_every_way(docs, monkeypatch, seed):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
     monkeypatch.setattr(neardup, "LARGE", 4)
     monkeypatch.setattr(neardup, "PIVOT_ROWS", 3)
+    monkeypatch.setattr(neardup, "HOT_SAMPLE", 3)
     rng = random.Random(seed)
     rows = []
     for group in range(5):

@@ -41,6 +41,7 @@ def test_large_groups_take_every_way(docs, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
     monkeypatch.setattr(neardup, "LARGE", 4)
     monkeypatch.setattr(neardup, "PIVOT_ROWS", 3)
+    monkeypatch.setattr(neardup, "HOT_SAMPLE", 3)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(60)]
     rows = []
