@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.functions import text as X
 from tesserae.operators.graph import closure
+from tesserae.sources.scratch import small
 
 CLIPPED = "[...]"  # fixed value: what clients read
 
@@ -40,22 +41,11 @@ def stop_word_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.filter(~F.col(line).startswith("#") & (word != "")).select(word.alias("stop")).distinct()
 
 
-def load_or_create(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path; if it isn't there or has no rows it is made and written first."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        found = spark.read.parquet(path)
-        if not found.isEmpty():
-            return found
-    make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def lemma_tokens(tokens: DataFrame, stop_words: DataFrame | None = None) -> DataFrame:
     """(sent_id, lemmas): folded lemmas in order, without punctuation and pronouns, and without stop words if these are given."""
     kept = tokens.filter((F.col("pos") != "PUNCT") & (F.lower("lemma") != "-pron-"))
     if stop_words is not None:
-        kept = kept.withColumn("stop", F.lower("text")).join(F.broadcast(stop_words), "stop", "left_anti")
+        kept = kept.withColumn("stop", F.lower("text")).join(small(stop_words), "stop", "left_anti")
     each = F.struct("i", F.trim(F.lower("lemma")).alias("lemma"))
     return kept.groupBy("sent_id").agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["lemma"]).alias("lemmas"))
 

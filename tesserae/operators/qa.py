@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import readable_key, sentence, similar
 from tesserae.operators import graph, rank
+from tesserae.operators import corpus as K
 from tesserae.operators.sets import keep_first
 from tesserae.functions import text as X
 from tesserae.sources import triples as V
-from tesserae.sources.scratch import written
+from tesserae.sources.scratch import complete, shared_dir, shared_path, small, written
 
 
 def out_edges(nodes: DataFrame, triples: DataFrame) -> DataFrame:
@@ -96,15 +101,40 @@ def texts_of(labelled_triples: DataFrame) -> DataFrame:
     return each.select("s", "p", "o", "sentence", F.explode(kinds).alias("t")).select("s", "p", "o", "sentence", "t.kind", "t.text").filter("text <> ''").distinct()
 
 
-def answers(candidates: DataFrame, questions: DataFrame, threshold: float = 0.1, tfidf_share: float = 1.0) -> DataFrame:
-    """(qid, rank, abstract, sentence, confidence, s, p, o) of candidates (s, p, o, sentence, text).
+@dataclass
+class AnswerIndex:
+    """facts: text, s, p, o, sentence, where a triple is found under its texts; corpus: the texts."""
+
+    facts: DataFrame
+    corpus: K.Corpus
+
+
+def _open_answers(spark: SparkSession, path: str) -> AnswerIndex:
+    return AnswerIndex(spark.read.parquet(f"{path}/facts"), K.open_corpus(spark, path))
+
+
+def register_answers(path: str, candidates: DataFrame) -> AnswerIndex:
+    """Write candidates (s, p, o, sentence, text) and the corpus of their texts below path and open them."""
+    spark = candidates.sparkSession
+    keep_first(candidates.select("text", "s", "p", "o", "sentence"), ["text", "s", "p", "o"], ["sentence"]).write.mode("overwrite").parquet(f"{path}/facts")
+    K.register(path, spark.read.parquet(f"{path}/facts").select("text").distinct(), "text", "text")
+    return _open_answers(spark, path)
+
+
+def registered_answers(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> AnswerIndex:
+    """The index of that name for these input files as they are now, made if it isn't there yet."""
+    path = shared_path(spark, f"answers-{name}", inputs)
+    return _open_answers(spark, path) if complete(spark, f"{path}/terms") else register_answers(path, make())
+
+
+def answers(index: AnswerIndex, questions: DataFrame, threshold: float = 0.1, tfidf_share: float = 1.0) -> DataFrame:
+    """(qid, rank, abstract, sentence, confidence, s, p, o) of registered triples.
 
     Each text is scored against each question; the best text stands for a triple, the best triple for a sentence.
     """
-    corpus = written(keep_first(candidates.select("text", "s", "p", "o", "sentence"), ["text", "s", "p", "o"], ["sentence"]))
-    docs = written(corpus.select("text").distinct().withColumn("doc_id", F.col("text")))
-    scores = rank.tfidf_similarity(docs, questions).withColumn("confidence", F.round(F.col("similarity") * tfidf_share, 6))
-    hits = corpus.join(scores.filter(F.col("confidence") >= threshold), corpus.text == F.col("doc_id"))
+    found = K.similarities(index.corpus, questions, threshold / tfidf_share if tfidf_share else None)
+    scores = found.withColumn("confidence", F.round(F.col("similarity") * tfidf_share, 6)).filter(F.col("confidence") >= threshold)
+    hits = index.facts.join(scores, F.col("text") == F.col("key"))
     hits = hits.select("qid", F.col("text").alias("abstract"), "sentence", "confidence", "s", "p", "o")
     # of equal confidences the later sort key wins, as in rankings
     by_triple = hits.groupBy("qid", "s", "p", "o").agg(F.max(F.struct("confidence", "abstract", "sentence")).alias("b")).select("qid", "s", "p", "o", "b.*")
@@ -113,21 +143,23 @@ def answers(candidates: DataFrame, questions: DataFrame, threshold: float = 0.1,
     return ordered.select("qid", "rank", "abstract", "sentence", "confidence", "s", "p", "o")
 
 
-def align(labels: DataFrame, questions: DataFrame, threshold: float, n: int = 1) -> DataFrame:
-    """(qid, concept, label, similarity): the n concepts whose labels are nearest to each question; labels: (node, label)."""
-    names = written(labels.select("label", F.col("label").alias("text")).distinct())
-    scores = rank.tfidf_similarity(names, questions, "label").withColumn("similarity", F.round("similarity", 6)).filter(F.col("similarity") >= threshold)
-    concepts = scores.join(labels, "label").select("qid", F.col("node").alias("concept"), "label", "similarity")
+def align(labels: DataFrame, corpus: K.Corpus, questions: DataFrame, threshold: float, n: int = 1) -> DataFrame:
+    """(qid, concept, label, similarity, rank): the n concepts whose labels are nearest to each question.
+
+    labels: (node, label); corpus: the registered labels, under themselves.
+    """
+    scores = K.similarities(corpus, questions, threshold)
+    concepts = scores.join(labels, F.col("key") == F.col("label")).select("qid", F.col("node").alias("concept"), "label", "similarity")
     return rank.ranked(concepts, "qid", "concept", k=n)
 
 
-def ask(triples: DataFrame, labels: DataFrame, questions: DataFrame, concept_threshold: float = 0.55, threshold: float = 0.1, n_concepts: int = 1) -> DataFrame:
-    """Answers to each question from the graph around the concepts that it is aligned with.
+def ask(triples: DataFrame, labels: DataFrame, corpus: K.Corpus, questions: DataFrame, concept_threshold: float = 0.55, threshold: float = 0.1, n_concepts: int = 1) -> DataFrame:
+    """Answers to each question from the graph around the concepts that it is aligned with; corpus: the registered labels.
 
     The closure below all concepts is found at once, as (seed, node) pairs; triples out of and into those nodes are
     labelled once whatever number of questions want them.
     """
-    aligned = written(align(labels, questions, concept_threshold, n_concepts).select("qid", F.col("concept").alias("seed")))
+    aligned = written(align(labels, corpus, questions, concept_threshold, n_concepts).select("qid", F.col("concept").alias("seed")))
     up = triples.filter(F.col("p") == V.SUBCLASS).select("s", "o")
     found = front = written(aligned.select("seed", F.col("seed").alias("node")).distinct())
     while True:
@@ -140,11 +172,9 @@ def ask(triples: DataFrame, labels: DataFrame, questions: DataFrame, concept_thr
     out = found.join(relations, F.col("node") == F.col("s")).select("seed", "s", "p", "o")
     into = found.join(relations, F.col("node") == F.col("o")).select("seed", "s", "p", "o")
     seen = written(out.unionByName(into).distinct())
-    texts = written(texts_of(labelled(seen.select("s", "p", "o").distinct(), labels)))
-    corpus = written(keep_first(texts.select("text", "s", "p", "o", "sentence"), ["text", "s", "p", "o"], ["sentence"]))
-    docs = written(corpus.select("text").distinct().withColumn("doc_id", F.col("text")))
-    scores = rank.tfidf_similarity(docs, questions).withColumn("confidence", F.round("similarity", 6)).filter(F.col("confidence") >= threshold)
-    hits = corpus.join(scores, corpus.text == F.col("doc_id")).join(seen, ["s", "p", "o"]).join(aligned, ["qid", "seed"])
+    index = register_answers(f"{shared_dir(triples.sparkSession)}/asked-{uuid.uuid4().hex}", texts_of(labelled(seen.select("s", "p", "o").distinct(), labels)))
+    scores = K.similarities(index.corpus, questions, threshold).select("qid", F.col("key").alias("text"), F.col("similarity").alias("confidence"))
+    hits = index.facts.join(scores, "text").join(seen, ["s", "p", "o"]).join(aligned, ["qid", "seed"])
     hits = hits.select("qid", F.col("text").alias("abstract"), "sentence", "confidence", "s", "p", "o")
     by_sentence = hits.groupBy("qid", "sentence").agg(F.max(F.struct("confidence", "abstract", "s", "p", "o")).alias("b")).select("qid", "sentence", "b.*")
     return rank.ranked(by_sentence, "qid", "sentence", "confidence").select("qid", "rank", "abstract", "sentence", "confidence", "s", "p", "o")

@@ -9,7 +9,8 @@ from tesserae.operators import concepts as C
 from tesserae.plans import extract_queries as E
 from tesserae.plans.registry import query, table
 from tesserae.plans.text_queries import _clean_sql, _readable_sql
-from tesserae.sources.scratch import shared_dir
+from tesserae.sources.scratch import load_or_create as load_or_create_table
+from tesserae.sources.scratch import shared_path
 
 
 @query(f"SELECT CASE WHEN doc_id % 3 = 0 THEN text ELSE 'doc:' || doc_id END AS id, text, {_clean_sql('text')} AS normalised_text FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL")
@@ -38,10 +39,10 @@ def stop_word_lines(spark, sf):
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def load_or_create(spark, sf):
-    path = f"{shared_dir(spark)}/nations-{abs(hash(sf))}"
+    path = shared_path(spark, "nations", [f"{sf}/nation.parquet", f"{sf}/region.parquet"])
     make = lambda: table(spark, sf, "nation").select("n_nationkey", "n_name")
-    A.load_or_create(spark, path, make)
-    return A.load_or_create(spark, path, lambda: spark.range(0).select(F.lit("never made")))
+    load_or_create_table(spark, path, make)
+    return load_or_create_table(spark, path, lambda: spark.range(0).select(F.lit("never made")))
 
 
 @query(f"WITH RECURSIVE {E._TOK} SELECT sent_id, string_agg(trim(lower(lemma)), ' ' ORDER BY i) AS lemmas FROM rt WHERE pos <> 'PUNCT' AND lower(text) NOT IN ('the', 'of', 'and', 'is', 'by') GROUP BY sent_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.operators import corpus as K
 from tesserae.operators import qa, rank, sets, summary
 from tesserae.plans.graph_queries import CONCEPT_GRAPH
 from tesserae.plans.registry import query, table
@@ -39,9 +40,16 @@ DOTS = """p AS (SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(CAST(q.
 FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"""
 
 
-def doc_similarity(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return rank.tfidf_similarity(docs, questions(spark)).withColumn("similarity", F.round("similarity", 6))
+def document_corpus(spark, sf):
+    return K.registered(spark, "documents", [f"{sf}/documents.parquet"], lambda: table(spark, sf, "documents"))
+
+
+def part_name_corpus(spark, sf):
+    return K.registered(spark, "part-names", [f"{sf}/part.parquet"], lambda: table(spark, sf, "part").select("p_name").distinct(), key="p_name", text="p_name")
+
+
+def doc_similarity(spark, sf, **limits):
+    return K.similarities(document_corpus(spark, sf), questions(spark), **limits).withColumnRenamed("key", "doc_id")
 
 
 def dots(spark, sf):
@@ -54,14 +62,13 @@ def dots(spark, sf):
 
 @query(f"WITH {tfidf_sql(DOCS)} SELECT key AS doc_id, term, tf, df, round(weight, 6) AS weight FROM w")
 def tfidf_weights(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return rank.tfidf(docs).withColumn("weight", F.round("weight", 6))
+    return document_corpus(spark, sf).postings.select(F.col("key").alias("doc_id"), "term", "tf", "df", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {tfidf_sql(DOCS)}, r AS (SELECT qid, key AS doc_id, similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, key DESC) AS INTEGER) AS rank FROM sim)
 SELECT qid, doc_id, similarity, rank FROM r WHERE rank <= 5""")
 def tfidf_topk(spark, sf):
-    return rank.ranked(doc_similarity(spark, sf), "qid", "doc_id", k=5)
+    return K.search(document_corpus(spark, sf), questions(spark), k=5).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {DOTS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id DESC) AS INTEGER) AS rank FROM p) SELECT qid, vec_id, similarity, rank FROM r WHERE rank <= 3")
@@ -103,10 +110,24 @@ def weighted_similarity(spark, sf):
     return both.select("qid", "doc_id", F.round(rank.weighted(F.col("similarity"), F.col("d"), 0.5), 7).alias("weighted"))
 
 
+@query(f"""WITH {tfidf_sql(DOCS)}, v AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sem AS (SELECT q.qid, v.key, round(list_dot_product(x.e, v.e), 6) AS semantic FROM q JOIN v x ON x.key = q.qid JOIN v ON true),
+b AS (SELECT qid, key, coalesce(similarity, 0) AS syntactic, semantic, 0.5 * coalesce(similarity, 0) + 0.5 * semantic AS w FROM sem LEFT JOIN sim USING (qid, key)), m AS (SELECT avg(w) AS m FROM b)
+SELECT qid, key, syntactic, semantic, round(greatest(w - m, 0), 5) AS weighted FROM b, m""")
+def corpus_weighted(spark, sf):
+    """Similarities by terms and by vectors of all texts, centred; a question has the vector of its number."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("e"))
+    asked = questions(spark)
+    own = asked.select("qid").join(v.select(F.col("key").alias("qid"), F.col("e").alias("q")), "qid")
+    semantic = v.crossJoin(F.broadcast(own.limit(len(QUESTIONS)))).select("qid", "key", F.round(rank.dot(F.col("q"), F.col("e")), 6).alias("semantic"))
+    out = K.weighted(document_corpus(spark, sf), asked, semantic, 0.5, centre=True)
+    return out.withColumn("weighted", F.round("weighted", 5))
+
+
 @query(f"""WITH {tfidf_sql(DOCS)}, r AS (SELECT qid, key, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, key DESC) AS rank FROM sim WHERE similarity >= 0.05)
 SELECT qid, count(*) AS n_answers, max(CASE WHEN rank = 1 THEN key END) AS first_doc, max(CASE WHEN rank = 1 THEN similarity END) AS first_similarity FROM r GROUP BY qid""")
 def answer_quality(spark, sf):
-    r = rank.ranked(doc_similarity(spark, sf), "qid", "doc_id", threshold=0.05)
+    r = rank.ranked(doc_similarity(spark, sf, threshold=0.05), "qid", "doc_id", threshold=0.05)
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     return r.groupBy("qid").agg(F.count("*").alias("n_answers"), first("doc_id").alias("first_doc"), first("similarity").alias("first_similarity"))
 
@@ -118,9 +139,8 @@ NAMES = "SELECT DISTINCT p_name AS key, p_name AS text FROM part"
 SELECT qid, key AS label, similarity, rank FROM r WHERE rank <= 3""")
 def annotate(spark, sf):
     """The labels nearest to each text, best first."""
-    labels = table(spark, sf, "part").select(F.col("p_name").alias("label"), F.col("p_name").alias("text")).distinct()
-    found = rank.tfidf_similarity(labels, questions(spark), "label").withColumn("similarity", F.round("similarity", 6))
-    return rank.ranked(found, "qid", "label", threshold=0.3, k=3).select("qid", "label", "similarity", "rank")
+    found = K.search(part_name_corpus(spark, sf), questions(spark), threshold=0.3, k=3)
+    return found.select("qid", F.col("key").alias("label"), "similarity", "rank")
 
 
 @query("""WITH x AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -155,6 +175,19 @@ def labelled_triples(spark, sf):
     return labelled_graph(spark, sf)
 
 
+def answer_index(spark, sf):
+    """The texts of the graph below and around one concept."""
+    inputs = [f"{sf}/{t}.parquet" for t in ("customer", "supplier", "nation", "region", "part", "orders", "lineitem", "documents")]
+    return qa.registered_answers(spark, "region-0", inputs, lambda: qa.texts_of(written(labelled_graph(spark, sf))))
+
+
+def node_labels(spark, sf, triples):
+    """The labels of all nodes, and their corpus."""
+    labels = written(triples.filter(F.col("p") == V.LABEL).select(F.col("s").alias("node"), F.col("o").alias("label")))
+    inputs = [f"{sf}/{t}.parquet" for t in ("customer", "supplier", "nation", "region", "part")]
+    return labels, K.registered(spark, "labels", inputs, lambda: labels.select("label").distinct(), key="label", text="label")
+
+
 #: The predicates of this concept graph are '{subj} verb {obj}', so a sentence is two replacements.
 ANSWER_TEXTS = f"""{LABELLED}, st AS (SELECT s, p, o, label_s, label_o,
  CASE WHEN contains(label_s, label_o) AND label_s <> label_o AND false THEN '' ELSE replace(replace(p, '{{subj}}', rtrim(ltrim(label_s, '.'), '.')), '{{obj}}', rtrim(ltrim(label_o, '.'), '.')) END AS sentence FROM l),
@@ -169,7 +202,7 @@ bs AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY qid, sentence OR
 SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, sentence DESC) AS INTEGER) AS rank, abstract, sentence, confidence, s, p, o FROM bs""")
 def answers(spark, sf):
     """From a seed concept to ranked answers: closure, edges, labels, sentences, scores, two deduplications."""
-    return qa.answers(qa.texts_of(written(labelled_graph(spark, sf))), questions(spark))
+    return qa.answers(answer_index(spark, sf), questions(spark))
 
 
 WORDS = "tokens AS (SELECT conv_id AS cluster, turn AS sent, pos, word FROM (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]'), lambda x: x <> '')) AS word, unnest(range(len(list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]'), lambda x: x <> '')))) AS pos FROM conversations))"
@@ -279,8 +312,7 @@ LAB = f"lab AS (SELECT s AS node, o AS label FROM triples WHERE p = '{V.LABEL}')
 def ask(spark, sf):
     """Questions to ranked answers by the concepts that they name."""
     t = V.from_tables(spark, sf)
-    labels = written(t.filter(F.col("p") == V.LABEL).select(F.col("s").alias("node"), F.col("o").alias("label")))
-    return qa.ask(t, labels, questions(spark), concept_threshold=0.3)
+    return qa.ask(t, *node_labels(spark, sf, t), questions(spark), concept_threshold=0.3)
 
 
 @query(f"""{TRIPLES}, {LAB}, {tfidf_sql('SELECT DISTINCT label AS key, label AS text FROM lab')},
@@ -288,8 +320,7 @@ c AS (SELECT qid, node AS concept, label, similarity FROM sim JOIN lab ON lab.la
 SELECT qid, concept, label, similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, concept DESC) AS INTEGER) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, concept DESC) <= 3""")
 def concept_alignment(spark, sf):
     t = V.from_tables(spark, sf)
-    labels = written(t.filter(F.col("p") == V.LABEL).select(F.col("s").alias("node"), F.col("o").alias("label")))
-    return qa.align(labels, questions(spark), 0.3, 3)
+    return qa.align(*node_labels(spark, sf, t), questions(spark), 0.3, 3)
 
 
 # fixed values: what an overview of a concept asks
@@ -306,7 +337,7 @@ def overview_questions(spark, sf):
 def concept_overview(spark, sf):
     """Answers to the overview questions of one concept over its graph."""
     asked = qa.fill_templates(OVERVIEW, spark.createDataFrame([("region:0", "the region")], "concept string, label string")).select("qid", "question")
-    return qa.answers(qa.texts_of(written(labelled_graph(spark, sf))), asked, threshold=0.02)
+    return qa.answers(answer_index(spark, sf), asked, threshold=0.02)
 
 
 @query()

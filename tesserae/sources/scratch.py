@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,44 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: Spark leaves a mark there."""
+    system, target = _path(spark, f"{path}/_SUCCESS")
+    return system.exists(target)
+
+
+def version(spark: SparkSession, inputs: list[str]) -> str:
+    """A digest of the names, sizes, numbers of files and times of change of some files or folders."""
+    seen = []
+    for name in sorted(inputs):
+        system, target = _path(spark, name)
+        summary = system.getContentSummary(target)
+        seen.append((name, summary.getLength(), summary.getFileCount(), system.getFileStatus(target).getModificationTime()))
+    return hashlib.sha256(repr(seen).encode()).hexdigest()[:16]
+
+
+def shared_path(spark: SparkSession, name: str, inputs: list[str]) -> str:
+    """The place in the session's shared folder of something made of these inputs as they are now. It goes with the driver."""
+    path = f"{shared_dir(spark)}/{name}-{version(spark, inputs)}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def load_or_create(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; if it isn't there, wasn't written to its end or has no rows, it is made and written first."""
+    if complete(spark, path):
+        found = spark.read.parquet(path)
+        if not found.isEmpty():
+            return found
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if it has at most so many rows; otherwise as it is, so that its joins are shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
