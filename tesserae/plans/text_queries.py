@@ -139,11 +139,6 @@ def html_paragraphs(spark, sf):
     return markup.html_paragraphs(table(spark, sf, "pages"))
 
 
-@query()
-def annotate_spans(spark, sf):
-    return markup.annotate_spans(table(spark, sf, "documents"), ["the", "of the", "and", "que", "und die", "les"])
-
-
 @query("""WITH f AS (SELECT page_id, 'dir/doc' || (page_id // 3) || list_value('.akn', '.html', '.htm', '.pdf', '.json', '.txt')[(page_id * 7) % 6 + 1] AS path FROM pages),
 k AS (SELECT regexp_extract(path, '([^/]*)\\.[a-z]+$', 1) AS base, path, list_position(list_value('.akn', '.html', '.htm', '.pdf', '.json'), regexp_extract(path, '(\\.[a-z]+)$', 1)) AS o FROM f)
 SELECT base, arg_min(path, o) AS path FROM k WHERE o > 0 GROUP BY base""")

@@ -265,23 +265,6 @@ def subclass_tables(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select(own.alias("concept"), own.alias("label")).unionByName(rows.filter("SubClasses is not null").select(F.col("SubClasses").alias("concept"), F.col("SubClasses").alias("label"))).distinct()
 
 
-def annotate_spans(texts: DataFrame, labels: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, stop, label): greedy matches at word boundaries, the longest label first, none inside another."""
-    ordered = sorted(set(labels), key=lambda x: (-len(x), x))
-    pattern = re.compile("|".join(rf"(?<![^\W_]){re.escape(x)}(?![^\W_])" for x in ordered), re.IGNORECASE) if ordered else None
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(k, m.start(), m.end(), m[0].lower()) for m in pattern.finditer(t or "")] if pattern else []
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, [b.schema.types[0], pa.int32(), pa.int32(), pa.string()], strict=True)], names=[key, "start", "stop", "label"])
-
-    kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInArrow(run, f"{key} {kind}, start int, stop int, label string")
-
-
 def memoised(rows: DataFrame, key: list[str], compute, name: str) -> DataFrame:
     """Append compute(key columns), evaluated once for each distinct key."""
     once = rows.select(*key).distinct().withColumn(name, compute)

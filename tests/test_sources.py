@@ -65,12 +65,6 @@ def test_subclass_tables(spark, tmp_path):
     assert got == {("Thing", "Thing"), ("Part", "Part")}
 
 
-def test_annotations_prefer_the_longest(spark):
-    texts = spark.createDataFrame([(1, "The Law of contract, lawful"), (2, None)], "doc_id long, text string")
-    got = [(r["start"], r["label"]) for r in markup.annotate_spans(texts, ["law", "law of contract"]).collect()]
-    assert got == [(4, "law of contract")]
-
-
 def test_k_shortest_paths(spark):
     from tesserae.operators.summary import k_shortest_paths
 
