@@ -216,6 +216,6 @@ def unique_elements(spark, sf):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_key_values(spark, sf):
-    from tesserae.sources.markup import json_values
+    from tesserae.sources.jsonld import json_values
 
     return json_values(table(spark, sf, "events"), "event_id", "props", "k").select("event_id", "value")

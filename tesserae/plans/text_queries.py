@@ -8,7 +8,7 @@ from tesserae.functions import text as X
 from tesserae.operators import qa
 from tesserae.plans.registry import query, table
 from tesserae.plans.set_queries import TRIPLES
-from tesserae.sources import markup
+from tesserae.sources import jsonld, markup
 from tesserae.sources import triples as V
 
 
@@ -131,7 +131,20 @@ def jsonld_nested(spark, sf):
     """Nested objects: an order with its lines, the lines without ids of their own."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("my:line"), F.expr("'part:' || l_partkey").alias("my:part")))).alias("lines"))
     docs = lines.select("l_orderkey", F.to_json(F.struct(F.expr("'order:' || l_orderkey").alias("@id"), F.col("lines").alias("my:contains"))).alias("doc"))
-    return markup.jsonld_triples(docs, "l_orderkey", "doc")
+    return jsonld.jsonld_triples(docs, "l_orderkey", "doc")
+
+
+@query("""WITH h AS (SELECT conv_id, list({'role': role, 'text': text, 'turn': turn} ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+x AS (SELECT conv_id, unnest(t) AS t, unnest(range(len(t))) AS k FROM h), v AS (SELECT conv_id, unnest([{'i': 1, 'x': t.role}, {'i': 2, 'x': t.text}, {'i': 3, 'x': CAST(t.turn AS VARCHAR)}]) AS v, k FROM x)
+SELECT CAST(conv_id AS VARCHAR) AS id, CAST(4 * k + v.i AS INTEGER) AS ord, v.x AS text FROM v
+WHERE v.x IS NOT NULL AND NOT (starts_with(trim(lower(v.x)), '../') OR starts_with(trim(lower(v.x)), './') OR regexp_matches(trim(lower(v.x)), '^[A-Za-z0-9_]+:') OR regexp_matches(trim(lower(v.x)), '^//[a-z0-9$-_@.&+!*(),%]'))""")
+def jsonld_texts(spark, sf):
+    """The literal texts of nested documents: a conversation with its turns, each told by a value object."""
+    value = F.struct(F.col("text").alias("@value"), F.lit("xx").alias("@language"))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", value.alias("text")))), lambda x: F.struct(x["role"].alias("my:role"), x["text"].alias("my:text"), x["turn"].alias("my:turn")))
+    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("my:turns"))
+    docs = docs.select("conv_id", F.to_json(F.struct(F.expr("'conv:' || conv_id").alias("@id"), "`my:turns`")).alias("doc"))
+    return jsonld.literal_texts(jsonld.jsonld_triples(docs, "conv_id", "doc"), "conv_id")
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Readers of marked-up documents: HTML, nested legal XML, JSON-LD, separated text, paragraphs."""
+"""Readers of marked-up documents: HTML, nested legal XML, separated text, paragraphs."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources import triples as V
+from tesserae.sources.jsonld import jsonld_triples
+
 #: Formats of a document in order of preference.
 FORMATS = (".akn", ".html", ".htm", ".pdf", ".json")
 
@@ -132,47 +135,79 @@ def html_paragraphs(pages: DataFrame, key: str = "page_id", markup: str = "html"
     return pages.select(key, markup).mapInArrow(run, f"{key} {kind}, pos int, text string")
 
 
-_LEVELS = ("block", "paragraph", "article", "section", "chapter")
+#: Parents of a paragraph that are told, each with its property; those of the second kind with their headings.
+_NUMBERED = (("paragraph", "my:paragraph_id"), ("article", "my:article_id"))
+_HEADED = (("section", "my:section_id"), ("chapter", "my:chapter_id"))
 
 
-def legal_paragraphs(documents: DataFrame, key: str, markup: str = "xml") -> DataFrame:
-    """(key, pos, text, level, eid, num, heading): p elements of nested legal XML, each with its nearest numbered parent.
+def _child_text(node: _Node, name: str) -> str:
+    return next((x.clean() for x in node.children() if x.name == name), "")
+
+
+def _named(node: _Node, base: str, heading: bool) -> dict | None:
+    """A numbered element as a nested object: its id, its number as label, and its heading if that is wanted."""
+    num, title = _child_text(node, "num"), _child_text(node, "heading") if heading else ""
+    out = {"@id": f"{base}:{node.attrs.get('eid') or ''}"} | ({V.LABEL: num} if num else {}) | ({"my:heading": title} if title else {})
+    return out if len(out) > 1 else None
 
-    An introduction of the list that a paragraph lies in is put before it and gives no row of its own.
-    """
 
-    def rows_of(text: str) -> Iterator[tuple]:
-        def visit(root: _Node) -> Iterator[tuple]:
-            rest: list[tuple[_Node, tuple]] = [(x, ()) for x in reversed(root.children())]
-            while rest:
-                child, above = rest.pop()
-                if child.name == "p":
-                    trail: list[_Node] = []  # from the innermost link of the chain outwards
-                    link = above
-                    while link:
-                        trail.append(link[0])
-                        link = link[1]
-                    trail.reverse()
-                if child.name == "p" and not any(x.name in ("intro", "listintroduction") for x in trail):
-                    lists = [x for x in trail if x.name in ("list", "blocklist")]
-                    intro = [y.clean() for x in lists for y in x.children() if y.name in ("intro", "listintroduction")]
-                    place = next((x for x in reversed(trail) if x.name in _LEVELS), None)
-                    part = lambda n: next((y.clean() for y in place.children() if y.name == n), None) if place else None  # noqa: E731,B023
-                    yield " ".join([*intro, child.clean()]).strip(), place.name if place else None, place.attrs.get("eid") if place else None, part("num"), part("heading")
-                else:
-                    rest.extend((x, (child, above)) for x in reversed(child.children()))
-
-        return visit(parse(text))
+def _legal_rows(text: str, base: str) -> Iterator[tuple[int, str, str]]:
+    """(number, text, annotation) of the p elements of nested legal XML that are no introductions of lists."""
+    rest: list[tuple[_Node, tuple]] = [(x, ()) for x in reversed(parse(text).children())]
+    number = -1
+    while rest:
+        child, above = rest.pop()
+        if child.name != "p":
+            rest.extend((x, (child, above)) for x in reversed(child.children()))
+            continue
+        number += 1
+        nearest: dict[str, _Node] = {}  # of each name the innermost parent
+        link = above
+        while link:
+            nearest.setdefault(link[0].name, link[0])
+            link = link[1]
+        intro, found = "", {}
+        if (block := nearest.get("blocklist")) is not None:
+            intro = _child_text(block, "listintroduction")
+            if (item := nearest.get("item")) is not None:
+                found["my:block_id"] = _named(item, base, False)
+        elif "intro" in nearest:
+            continue
+        elif "list" in nearest:
+            intro = _child_text(nearest["list"], "intro")
+        for kinds, heading in ((_NUMBERED, False), (_HEADED, True)):
+            found |= {p: _named(nearest[name], base, heading) for name, p in kinds if name in nearest}
+        annotation = {p: x for p, x in found.items() if x}
+        refs = [{"@id": f"{base}:{x.attrs.get('href') or ''}", V.LABEL: x.clean()} for x in child.children() if x.name == "ref"]
+        yield number, f"{intro} {child.clean()}".strip(), json.dumps(annotation | {"my:reference_id": refs}, ensure_ascii=False)
+
+
+def legal_paragraphs(documents: DataFrame, key: str, markup: str = "xml", base: Column | None = None) -> DataFrame:
+    """(key, pos, text, annotation): paragraphs of nested legal XML, with a JSON-LD object of where each stands.
+
+    The introduction of the nearest list is put before a paragraph and gives no row of its own. The annotation
+    has the number of the nearest item, paragraph and article, number and heading of section and chapter, and the
+    references in the paragraph. base is the document's name in their ids, the key if none is given. pos counts
+    all p elements; null documents have none.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i, *r) for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, r in enumerate(x for x in rows_of(m) if x[0])]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [b.schema.types[0], pa.int32()] + [pa.string()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "pos", "text", "level", "eid", "num", "heading"])
+            rows = [(k, *r) for k, m, own in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for r in _legal_rows(m, own)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [b.schema.types[0], pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "pos", "text", "annotation"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, markup).mapInArrow(run, f"{key} {kind}, pos int, text string, level string, eid string, num string, heading string")
+    own = F.coalesce((F.col(key) if base is None else base).cast("string"), F.lit(""))
+    return documents.select(key, markup, own.alias("_base")).mapInArrow(run, f"{key} {kind}, pos int, text string, annotation string")
+
+
+def legal_annotations(paragraphs: DataFrame, key: str) -> DataFrame:
+    """(id, ord, s, p, o) of the annotations of legal paragraphs; id is the document's key and the paragraph's number,
+    _:<id>_0 the paragraph itself."""
+    own = paragraphs.select(F.concat_ws("_", F.col(key).cast("string"), "pos").alias("id"), "annotation")
+    return jsonld_triples(own, "id", "annotation")
 
 
 def split_paragraphs(text: Column) -> Column:
@@ -185,65 +220,6 @@ def flat_json_triples(rows: DataFrame, subject: Column, document: str) -> DataFr
     return rows.select(subject.alias("s"), pairs).select("s", F.col("key").alias("p"), F.col("value").alias("o"))
 
 
-def _shred(doc, base: str) -> list[tuple[str, str, str]]:
-    out: list[tuple[str, str, str]] = []
-    fresh = iter(range(1 << 62))
-
-    def name(x) -> str:
-        if isinstance(x, dict):
-            if "@value" in x:
-                return str(x["@value"])
-            return str(x["@id"]) if "@id" in x else f"_:{base}_{next(fresh)}"
-        return json.dumps(x) if isinstance(x, bool) or x is None else str(x)
-
-    def parts(node: dict) -> Iterator[tuple[str, object]]:
-        return ((p, x) for p, value in node.items() if p != "@id" for x in (value if isinstance(value, list) else [value]))
-
-    for top in doc if isinstance(doc, list) else [doc]:
-        if not isinstance(top, dict):
-            continue
-        inside = name(top)
-        rest = [(inside, parts(top))]
-        while rest:  # depth first, without recursion
-            own, more = rest[-1]
-            p, x = next(more, (None, None))
-            if p is None:
-                rest.pop()
-                continue
-            o = name(x)
-            out.append((own, p, o))
-            if isinstance(x, dict) and "@value" not in x:
-                rest.append((o, parts(x)))
-    return out
-
-
-def _parsed(text: str | None):
-    """The value of a JSON text; None for null, for what isn't JSON, and for nesting beyond the parser's."""
-    try:
-        return None if text is None else json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-
-
-def jsonld_triples(documents: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, ord, s, p, o): nested objects shredded once each, those without @id named in the order of traversal.
-
-    Null documents and those that are no JSON give no rows.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(k, i, *t) for i, t in enumerate(_shred(_parsed(text), str(k)))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [b.schema.types[0], pa.int32(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "ord", "s", "p", "o"])
-
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, document).mapInArrow(run, f"{key} {kind}, ord int, s string, p string, o string")
-
-
 def preferred_files(files: DataFrame, path: str = "path") -> DataFrame:
     """(base, path): for each base name the file of the most preferred format; other formats are left out."""
     ext = F.lower(F.regexp_extract(F.col(path), r"(\.[A-Za-z]+)$", 1))
@@ -269,28 +245,3 @@ def memoised(rows: DataFrame, key: list[str], compute, name: str) -> DataFrame:
     """Append compute(key columns), evaluated once for each distinct key."""
     once = rows.select(*key).distinct().withColumn(name, compute)
     return rows.join(once, key, "left")
-
-
-def _values_of(node, key: str) -> Iterator[str]:
-    """Values under a key; a branch is not searched below its first hit."""
-    if isinstance(node, dict):
-        if key in node:
-            yield node[key] if isinstance(node[key], str) else json.dumps(node[key], sort_keys=True)
-            return
-        node = list(node.values())
-    if isinstance(node, list):
-        for x in node:
-            yield from _values_of(x, key)
-
-
-def json_values(documents: DataFrame, key: str, document: str, wanted: str) -> DataFrame:
-    """(key, ord, value) of a JSON key at any depth of a document."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, i, v) for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text for i, v in enumerate(_values_of(json.loads(text), wanted))]
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [b.schema.types[0], pa.int32(), pa.string()], strict=True)], names=[key, "ord", "value"])
-
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, document).mapInArrow(run, f"{key} {kind}, ord int, value string")
