@@ -24,7 +24,7 @@ _UNSEEN = RARE_CLASSES * 2.0**-64
 WIDTH = 16
 #: A token is predicted from so many on either side.
 REACH = 2
-BATCH = 16_384
+BATCH = 8192
 #: Tokens of a training step, and the step size.
 STEP_TOKENS, RATE = 1024, 0.15
 #: Documents are dealt over groups of about so many tokens, each of which trains a network of its own.
@@ -204,8 +204,11 @@ class WindowNetwork:
             h += self.p["embed"][k][ctx[k]]
         return np.tanh(h)
 
-    def forward(self, ids: np.ndarray, ctx: np.ndarray, train: bool = False):
-        """Log-probabilities of tokens that lie in order of their class; with train, the gradients too."""
+    def forward(self, ids: np.ndarray, ctx: np.ndarray, train: bool = False, whole: bool = True):
+        """Log-probabilities of tokens that lie in order of their class; with train, the gradients too.
+
+        Without whole, the embeddings' gradient is (rows, their gradients) of those that tokens have as neighbours.
+        """
         p = self.p
         h = self._hidden(ctx)
         rare = np.flatnonzero(ids > VOCABULARY)
@@ -214,10 +217,11 @@ class WindowNetwork:
         n = np.arange(len(ids))
 
         def softmax(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1)
-            log = z[n[: len(y)], y] - np.log(total)
+            np.minimum(z, 60, out=z)  # sums stay in range
+            log = z[n[: len(y)], y]
+            e = np.exp(z, out=z)
+            total = e @ np.ones(e.shape[1], np.float32)
+            log -= np.log(total)
             if train:
                 e /= total[:, None]
                 e[n[: len(y)], y] -= 1
@@ -247,12 +251,18 @@ class WindowNetwork:
         dh[rare] += d_rare @ p["to_rare"].T
         d = dh * (1 - h * h)
         g["bias"] = d.sum(axis=0)
-        g["embed"] = np.zeros_like(p["embed"])
+        near, sums = [], []
         for k in range(len(_OFFSETS)):
             order = np.argsort(ctx[k], kind="stable")
             own = ctx[k][order]
             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            g["embed"][k, own[heads]] = np.add.reduceat(d[order], heads, axis=0)
+            near.append(own[heads].astype(np.int64) + k * p["embed"].shape[1])
+            sums.append(np.add.reduceat(d[order], heads, axis=0))
+        g["embed"] = np.concatenate(near), np.concatenate(sums)
+        if whole:
+            rows, own = g["embed"]
+            g["embed"] = np.zeros_like(p["embed"])
+            g["embed"].reshape(-1, WIDTH)[rows] = own
         return log, g
 
     def score(self, ids: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -311,13 +321,13 @@ class _Training:
 
     def _step(self, ids: np.ndarray, ctx: np.ndarray) -> None:
         order = np.argsort(_kinds(ids).astype(np.uint16), kind="stable")
-        _, g = self.net.forward(ids[order], ctx[:, order], train=True)
-        # embeddings that no token has as a neighbour stay as they are
-        near = np.concatenate([i * (VOCABULARY + 1 + RARE_CONTEXTS) + np.flatnonzero(np.bincount(c)) for i, c in enumerate(ctx)])
+        _, g = self.net.forward(ids[order], ctx[:, order], train=True, whole=False)
         for k, d in g.items():
             p, squares = self.net.p[k], self.squares[k]
             if k == "embed":
-                own, sums = d.reshape(-1, WIDTH)[near] / STEP_TOKENS, squares.reshape(-1, WIDTH)
+                # embeddings that no token has as a neighbour stay as they are
+                (near, own), sums = d, squares.reshape(-1, WIDTH)
+                own /= STEP_TOKENS
                 total = sums[near] + own * own
                 sums[near] = total
                 p.reshape(-1, WIDTH)[near] -= RATE * own / np.sqrt(total)
