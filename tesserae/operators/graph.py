@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.sources.scratch import small, written
+from tesserae.operators.lattice import formal_concepts  # noqa: F401
+from tesserae.sources.scratch import written
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -197,39 +197,6 @@ def deanonymise(edges: DataFrame, is_anonymous: Column) -> DataFrame:
     return done.distinct().join(unnamed, "s", "left_anti").select("s", "p", "o")
 
 
-def formal_concepts(incidence: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(intent, extent) of all concepts of a context (object, attribute).
-
-    Closed intents are the intersections of object intents: distinct sets are intersected with the objects' own
-    until none is new, and an error is raised if that takes more than max_rounds (None: any number). The lattice may
-    be exponential in the attributes, so contexts are to be small.
-    """
-    own = incidence.distinct().groupBy("object").agg(F.array_sort(F.collect_list("attribute")).alias("intent"))
-    base = written(own.select("intent").distinct())
-    everything = incidence.agg(F.array_sort(F.collect_set("attribute")).alias("intent"))
-    known = written(base.unionByName(everything).distinct())
-    front = known
-    for done in itertools.count():
-        met = front.alias("x").join(small(base).alias("y"), F.col("x.intent") != F.col("y.intent")).select(F.array_sort(F.array_intersect("x.intent", "y.intent")).alias("intent")).distinct()
-        front = written(met.join(known, "intent", "left_anti"))
-        if front.isEmpty():
-            break
-        if done == max_rounds:
-            raise ValueError(f"intents are still new after {max_rounds} rounds")
-        known = written(known.unionByName(front))
-    holds = F.size(F.array_except("k.intent", "w.intent")) == 0
-    extent = known.alias("k").join(own.alias("w"), holds, "left").groupBy("k.intent").agg(F.array_sort(F.collect_list("w.object")).alias("extent"))
-    return extent.select("intent", "extent")
-
-
-def lattice_edges(concepts: DataFrame) -> DataFrame:
-    """(upper, lower) intents where lower is a smallest proper superset of upper."""
-    inside = (F.size(F.array_except("u.intent", "l.intent")) == 0) & (F.size("u.intent") < F.size("l.intent"))
-    below = written(concepts.alias("u").join(concepts.alias("l"), inside).select(F.col("u.intent").alias("upper"), F.col("l.intent").alias("lower")))
-    longer = below.alias("a").join(below.alias("b"), F.col("a.lower") == F.col("b.upper")).select("a.upper", "b.lower").distinct()
-    return below.join(longer, ["upper", "lower"], "left_anti")
-
-
 def biggest_component(edges: DataFrame) -> DataFrame:
     """Edges of the weak component that has most (ties to the least node)."""
     own = written(edges.join(weak_components(edges), edges.s == F.col("node")).select("component", "s", "p", "o"))

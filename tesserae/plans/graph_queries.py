@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tesserae.operators import entity, graph, qa, sets
+from tesserae.operators import assembly, entity, graph, lattice, qa, sets
 from tesserae.plans.registry import query, table
 from tesserae.plans.set_queries import SUB, TRIPLES, subclass
 from tesserae.sources import triples as V
@@ -202,19 +203,71 @@ i(intent) AS (SELECT own FROM b UNION SELECT list_sort(list(DISTINCT attribute))
 
 @query(f"WITH RECURSIVE {_CONTEXT} SELECT array_to_string(intent, '|') AS intent, coalesce(string_agg(object, '|' ORDER BY object), '') AS extent FROM i LEFT JOIN o ON list_has_all(own, intent) GROUP BY intent")
 def fca_concepts(spark, sf):
-    concepts = graph.formal_concepts(_name_words(spark, sf))
+    concepts = lattice.formal_concepts(_name_words(spark, sf))
     return concepts.select(F.array_join("intent", "|").alias("intent"), F.array_join("extent", "|").alias("extent"))
 
 
 @query(f"""WITH RECURSIVE {_CONTEXT}, l AS (SELECT u.intent AS upper, d.intent AS lower FROM i u, i d WHERE len(u.intent) < len(d.intent) AND list_has_all(d.intent, u.intent))
 SELECT array_to_string(upper, '|') AS upper, array_to_string(lower, '|') AS lower FROM l WHERE NOT EXISTS (SELECT 1 FROM l x JOIN l y ON x.lower = y.upper WHERE x.upper = l.upper AND y.lower = l.lower)""")
 def lattice_edges(spark, sf):
-    from tesserae.sources.scratch import written
-
-    edges = graph.lattice_edges(written(graph.formal_concepts(_name_words(spark, sf))))
+    edges = lattice.Lattices(_name_words(spark, sf).withColumn("context", F.lit(0))).edges()
     return edges.select(F.array_join("upper", "|").alias("upper"), F.array_join("lower", "|").alias("lower"))
 
 
+#: What nations do above the average: customers' accounts by segment, orders by priority.
+_DEEDS = """a AS (SELECT n_name AS s, c_mktsegment AS o, avg(c_acctbal) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+b AS (SELECT n_name AS s, o_orderpriority AS o, count(*) AS x FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+e AS (SELECT s, 'hold' AS p, o FROM a QUALIFY x > avg(x) OVER (PARTITION BY o) UNION ALL SELECT s, 'send', o FROM b QUALIFY x > avg(x) OVER (PARTITION BY o)),
+w AS (SELECT p AS c, s AS object, 'that can ' || p || ' ' || o || ' is' AS attribute FROM e UNION SELECT p, o, 'that can be ' || p || '-ed by ' || s || ' is' FROM e),
+o AS (SELECT c, object, list_sort(list(DISTINCT attribute)) AS own FROM w GROUP BY ALL), m AS (SELECT c, list_sort(list(DISTINCT attribute)) AS own FROM w GROUP BY c),
+i(c, intent) AS (SELECT c, own FROM (SELECT c, own FROM o UNION SELECT c, own FROM m) UNION SELECT i.c, list_sort(list_intersect(i.intent, o.own)) FROM i JOIN o ON o.c = i.c)"""
+
+
+def deeds(spark, sf):
+    nations = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    accounts = nations.groupBy(F.col("n_name").alias("s"), F.lit("hold").alias("p"), F.col("c_mktsegment").alias("o")).agg(F.avg("c_acctbal").alias("x"))
+    sent = table(spark, sf, "orders").join(nations, F.col("o_custkey") == F.col("c_custkey"))
+    sent = sent.groupBy(F.col("n_name").alias("s"), F.lit("send").alias("p"), F.col("o_orderpriority").alias("o")).agg(F.count("*").cast("double").alias("x"))
+    mean = F.avg("x").over(Window.partitionBy("p", "o"))
+    return accounts.unionByName(sent).withColumn("mean", mean).filter("x > mean").select("s", "p", "o")
+
+
+def _deed_lattices(spark, sf):
+    return lattice.Lattices(assembly.typing_context(deeds(spark, sf), "both", action=True).withColumnRenamed("predicate", "context"))
+
+
+@query(f"WITH RECURSIVE {_DEEDS} SELECT i.c AS predicate, array_to_string(intent, '|') AS intent, coalesce(string_agg(object, '|' ORDER BY object), '') AS extent FROM i LEFT JOIN o ON o.c = i.c AND list_has_all(own, intent) GROUP BY i.c, intent")
+def action_concepts(spark, sf):
+    """The concepts of each predicate's lattice of what nodes do and suffer."""
+    found = _deed_lattices(spark, sf).concepts()
+    return found.select(F.col("context").alias("predicate"), F.array_join("intent", "|").alias("intent"), F.array_join("extent", "|").alias("extent"))
+
+
+@query(f"""WITH RECURSIVE {_DEEDS}, l AS MATERIALIZED (SELECT u.c, u.intent AS upper, d.intent AS lower FROM i u JOIN i d ON u.c = d.c WHERE len(u.intent) < len(d.intent) AND list_has_all(d.intent, u.intent)),
+cov AS MATERIALIZED (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l x JOIN l y ON x.c = y.c AND x.lower = y.upper WHERE x.c = l.c AND x.upper = l.upper AND y.lower = l.lower)),
+ob AS MATERIALIZED (SELECT c, own AS intent, string_agg(object, '|' ORDER BY object) AS objects FROM o GROUP BY ALL),
+ga AS (SELECT c, attribute, arg_min(intent, len(intent)) AS intent FROM (SELECT c, intent, unnest(intent) AS attribute FROM i) GROUP BY ALL),
+pr AS MATERIALIZED (SELECT c, intent, string_agg(attribute, '|' ORDER BY attribute) AS properties FROM ga GROUP BY ALL),
+st(c, subjects, properties, node) AS (SELECT cov.c, ob.objects, coalesce(pr.properties, ''), cov.lower FROM ob JOIN cov ON cov.c = ob.c AND cov.upper = ob.intent LEFT JOIN pr ON pr.c = cov.c AND pr.intent = cov.lower
+  UNION SELECT st.c, st.subjects, st.properties, cov.lower FROM st JOIN cov ON cov.c = st.c AND cov.upper = st.node LEFT JOIN ob ON ob.c = st.c AND ob.intent = st.node WHERE ob.objects IS NULL)
+SELECT DISTINCT st.c AS predicate, subjects, properties, ob.objects AS objects FROM st JOIN ob ON ob.c = st.c AND ob.intent = st.node""")
+def action_lattices(spark, sf):
+    """Triples of each predicate's lattice, past the concepts that have no objects of their own."""
+    found = _deed_lattices(spark, sf).triples()
+    return found.select(F.col("context").alias("predicate"), *[F.array_join(c, "|").alias(c) for c in ("subjects", "properties", "objects")])
+
+
+@query(f"{SUB} SELECT DISTINCT s, o FROM sub WHERE s LIKE 'nation:%' OR s LIKE 'supp:%' OR s LIKE 'name:%' UNION SELECT 'name:' || p_name, 'adjective:' || split_part(p_name, ' ', 1) FROM part")
+def minimal_taxonomy(spark, sf):
+    """The direct classes again, from all that each node is below; names are below a noun and an adjective."""
+    direct = subclass(spark, sf).filter("s like 'nation:%' or s like 'supp:%' or s like 'name:%'")
+    looks = table(spark, sf, "part").select(F.expr("'name:' || p_name").alias("s"), F.expr("'adjective:' || substring_index(p_name, ' ', 1)").alias("o")).distinct()
+    edges = direct.select("s", "o").unionByName(looks)
+    above = graph.closure(edges).select(F.col("a").alias("s"), F.col("b").alias("o"))
+    own = edges.select(F.explode(F.array("s", "o")).alias("s")).distinct().withColumn("o", F.col("s"))
+    return lattice.minimal_taxonomy(above.unionByName(own))
+
+
 @query(f"""{TRIPLES}, e AS (SELECT s, o FROM triples WHERE p = 'my:next' UNION SELECT s, o FROM triples WHERE s LIKE 'name:%' AND p = '{V.SUBCLASS}'),
 {CLOSURE.format(e='e')}, same AS (SELECT x.a, max(x.b) AS m FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
 SELECT DISTINCT s AS node FROM e WHERE s NOT IN (SELECT o FROM e) UNION SELECT greatest(a, m) FROM same""")
