@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserae.operators import entity, extract, qa
 from tesserae.plans.rank_queries import TOKENS
@@ -59,10 +60,16 @@ def template_match(spark, sf):
     return entity.match_templates(V.from_tables(spark, sf), _templates(spark))
 
 
-@query(f"""WITH {TEMPLATE_SQL} SELECT a.template, array_to_string(a.keys, '|') AS keys FROM tpl a WHERE NOT EXISTS (
+@query(f"""{TRIPLES}, ks AS (SELECT s, list_sort(list(DISTINCT p)) AS keys FROM triples GROUP BY s), tk AS (SELECT DISTINCT keys FROM ks),
+tpl AS (SELECT row_number() OVER (ORDER BY len(keys), array_to_string(keys, '|')) AS template, keys FROM tk)
+SELECT a.template, array_to_string(a.keys, '|') AS keys FROM tpl a WHERE NOT EXISTS (
 SELECT 1 FROM tpl b WHERE list_has_all(b.keys, a.keys) AND (len(a.keys) < len(b.keys) OR (len(a.keys) = len(b.keys) AND a.template < b.template)))""")
 def template_prune(spark, sf):
-    return entity.prune_templates(_templates(spark)).select("template", F.array_join("keys", "|").alias("keys"))
+    """Of the templates that the nodes' own keys give, those that no other holds."""
+    keys = V.from_tables(spark, sf).groupBy("s").agg(F.array_sort(F.collect_set("p")).alias("keys")).select("keys").distinct()
+    order = Window.orderBy(F.size("keys"), F.array_join("keys", "|"))  # as many rows as there are sets of keys
+    templates = keys.withColumn("template", F.row_number().over(order).cast("long"))
+    return entity.prune_templates(templates).select("template", F.array_join("keys", "|").alias("keys"))
 
 
 @query(f"""{TRIPLES}, t AS (SELECT DISTINCT s, p, o FROM triples WHERE p IN ('{V.TYPE}', '{V.IN_SYNSET}')),
@@ -154,53 +161,6 @@ def sparql_linksum(spark, sf):
     return entity.link_summary(t, ranks, "nation:1", [V.LABEL]).withColumn("rank", F.coalesce("rank", F.lit(-1)))
 
 
-# fixed values: two parsed sentences (sentence, token, text, lemma, part of speech, dependency, head)
-PARSED = [
-    (1, 0, "The", "the", "DET", "det", 1), (1, 1, "court", "court", "NOUN", "nsubj", 3), (1, 2, "never", "never", "ADV", "neg", 3), (1, 3, "applies", "apply", "VERB", "ROOT", 3),
-    (1, 4, "the", "the", "DET", "det", 5), (1, 5, "law", "law", "NOUN", "dobj", 3), (1, 6, "of", "of", "ADP", "prep", 5), (1, 7, "contract", "contract", "NOUN", "pobj", 6), (1, 8, ".", ".", "PUNCT", "punct", 3),
-    (2, 0, "Parties", "party", "NOUN", "nsubj", 1), (2, 1, "choose", "choose", "VERB", "ROOT", 1), (2, 2, "and", "and", "CCONJ", "cc", 1), (2, 3, "sign", "sign", "VERB", "conj", 1), (2, 4, "contracts", "contract", "NOUN", "dobj", 3),
-]
-PARSED_SQL = "tok(sent_id, i, text, lemma, pos, dep, head) AS (VALUES " + ", ".join(str(r) for r in PARSED) + ")"
-CORE_SQL = "core AS (SELECT sent_id, i FROM tok WHERE dep IN ('nsubj', 'dobj', 'pobj'))"
-
-
-def parsed(spark):
-    return spark.createDataFrame(PARSED, "sent_id int, i int, text string, lemma string, pos string, dep string, head int")
-
-
-def cores(spark):
-    return parsed(spark).filter("dep in ('nsubj', 'dobj', 'pobj')").select("sent_id", "i")
-
-
-@query(f"WITH RECURSIVE {PARSED_SQL}, up(sent_id, i, ancestor, distance) AS (SELECT sent_id, i, head, 1 FROM tok WHERE i <> head UNION ALL SELECT up.sent_id, up.i, tok.head, distance + 1 FROM up JOIN tok ON tok.sent_id = up.sent_id AND tok.i = up.ancestor WHERE tok.i <> tok.head) SELECT sent_id, i, ancestor, distance FROM up")
-def dep_closure(spark, sf):
-    return extract.ancestors(parsed(spark))
-
-
-@query(f"WITH {PARSED_SQL}, {CORE_SQL} SELECT a.sent_id, a.i AS a, b.i AS b FROM core a JOIN core b ON a.sent_id = b.sent_id AND a.i < b.i")
-def core_pairs(spark, sf):
-    return extract.core_pairs(cores(spark))
-
-
-@query("SELECT * FROM (VALUES (1, 1, 5, 3, 2), (2, 0, 4, 1, 3), (1, 5, 7, 5, 2)) AS t(sent_id, a, b, meet, length)")
-def dep_path(spark, sf):
-    return extract.paths(parsed(spark), cores(spark))
-
-
-@query(f"""WITH {PARSED_SQL}, c AS (SELECT sent_id, head AS core, i FROM tok WHERE dep IN ('nsubj', 'dobj')), p AS (SELECT sent_id, i AS core, text FROM tok WHERE pos = 'VERB')
-SELECT c.sent_id, c.i AS concept, p.text AS predicate FROM c JOIN p ON c.sent_id = p.sent_id AND c.core = p.core WHERE c.i <> p.core""")
-def span_overlap_join(spark, sf):
-    t = parsed(spark)
-    concepts = t.filter("dep in ('nsubj', 'dobj')").select("sent_id", F.col("head").alias("core"), F.col("i").alias("concept"), F.array("i").alias("span"))
-    predicates = t.filter("pos = 'VERB'").select("sent_id", F.col("i").alias("core"), F.col("text").alias("predicate"), F.array("i").alias("span"))
-    return extract.couples(concepts, predicates)
-
-
-@query(f"WITH {PARSED_SQL}, e AS (SELECT sent_id, min(i) AS a, max(i) AS b FROM tok WHERE dep NOT IN ('det', 'punct', 'prep') GROUP BY sent_id) SELECT tok.sent_id, i, text FROM tok JOIN e USING (sent_id) WHERE i BETWEEN a AND b")
-def span_trim(spark, sf):
-    return extract.trim_span(parsed(spark), ["sent_id"], F.col("dep").isin("det", "punct", "prep")).select("sent_id", "i", "text")
-
-
 @query(f"{TRIPLES}, k AS (SELECT DISTINCT s FROM triples WHERE p = '{V.TYPE}' AND o IN (SELECT min('ptype:' || p_type) FROM part)), x AS (SELECT s, p, o FROM triples WHERE p IN ('{V.TYPE}', '{V.LABEL}', '{V.IN_SYNSET}')) SELECT s, p, o, s IN (SELECT s FROM k) AS chosen FROM x")
 def split_entities(spark, sf):
     t = V.from_tables(spark, sf).filter(F.col("p").isin(V.TYPE, V.LABEL, V.IN_SYNSET))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import concepts as C
+from tesserae.operators import extract
 from tesserae.plans.registry import query, table
 from tesserae.sources.scratch import written
 
@@ -170,3 +171,44 @@ def couple_list(spark, sf):
 def fact_edges(spark, sf):
     sentences = table(spark, sf, "part").select(F.col("p_partkey").alias("sent_id"), F.col("p_brand").alias("doc"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
     return C.fact_edges(_couples(tokens(spark, sf)), sentences)
+
+
+#: Cores by their own dependency alone.
+_NAMED = "nc AS (SELECT sent_id, i FROM tok WHERE dep IN ('nsubj', 'nsubjpass', 'dobj', 'pobj'))"
+
+
+def named_cores(t):
+    return t.filter("dep in ('nsubj', 'nsubjpass', 'dobj', 'pobj')").select("sent_id", "i")
+
+
+@query(f"WITH RECURSIVE {_TOK} SELECT sent_id, i, ancestor, distance FROM up")
+def dep_closure(spark, sf):
+    return extract.ancestors(tokens(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_TOK}, {_NAMED} SELECT a.sent_id, a.i AS a, b.i AS b FROM nc a JOIN nc b ON a.sent_id = b.sent_id AND a.i < b.i")
+def core_pairs(spark, sf):
+    return extract.core_pairs(named_cores(tokens(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {_TOK}, {_NAMED}, m AS (SELECT x.sent_id, x.i AS a, y.i AS b, oa.ancestor AS meet, oa.distance AS da, ob.distance AS db FROM nc x JOIN nc y ON x.sent_id = y.sent_id AND x.i < y.i
+ JOIN own oa ON oa.sent_id = x.sent_id AND oa.i = x.i JOIN own ob ON ob.sent_id = y.sent_id AND ob.i = y.i AND ob.ancestor = oa.ancestor QUALIFY row_number() OVER (PARTITION BY x.sent_id, x.i, y.i ORDER BY oa.distance + ob.distance, oa.ancestor) = 1),
+z AS (SELECT DISTINCT m.sent_id, m.a, m.b FROM m JOIN nc ON nc.sent_id = m.sent_id AND nc.i <> m.a AND nc.i <> m.b JOIN own ON own.sent_id = m.sent_id AND own.ancestor = nc.i AND ((own.i = m.a AND own.distance <= m.da) OR (own.i = m.b AND own.distance <= m.db)))
+SELECT m.sent_id, m.a, m.b, meet, da + db AS length FROM m LEFT JOIN z ON z.sent_id = m.sent_id AND z.a = m.a AND z.b = m.b WHERE z.a IS NULL""")
+def dep_path(spark, sf):
+    t = tokens(spark, sf)
+    return extract.paths(t, named_cores(t))
+
+
+@query(f"""WITH RECURSIVE {_TOK}, c AS (SELECT sent_id, head AS core, i FROM tok WHERE dep IN ('nsubj', 'nsubjpass', 'dobj')), p AS (SELECT sent_id, i AS core, text FROM tok WHERE pos = 'VERB')
+SELECT c.sent_id, c.i AS concept, p.text AS predicate FROM c JOIN p ON c.sent_id = p.sent_id AND c.core = p.core WHERE c.i <> p.core""")
+def span_overlap_join(spark, sf):
+    t = tokens(spark, sf)
+    concepts = t.filter("dep in ('nsubj', 'nsubjpass', 'dobj')").select("sent_id", F.col("head").alias("core"), F.col("i").alias("concept"), F.array("i").alias("span"))
+    predicates = t.filter("pos = 'VERB'").select("sent_id", F.col("i").alias("core"), F.col("text").alias("predicate"), F.array("i").alias("span"))
+    return extract.couples(concepts, predicates)
+
+
+@query(f"WITH RECURSIVE {_TOK}, e AS (SELECT sent_id, min(i) AS a, max(i) AS b FROM tok WHERE dep NOT IN ('det', 'punct', 'prep') GROUP BY sent_id) SELECT tok.sent_id, i, text FROM tok JOIN e USING (sent_id) WHERE i BETWEEN a AND b")
+def span_trim(spark, sf):
+    return extract.trim_span(tokens(spark, sf), ["sent_id"], F.col("dep").isin("det", "punct", "prep")).select("sent_id", "i", "text")
