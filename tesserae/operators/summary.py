@@ -44,12 +44,16 @@ def first_use(answers: DataFrame, horizon: int) -> DataFrame:
 
 def cooccurrence(tokens: DataFrame, window: int = 0) -> DataFrame:
     """(a, b, weight) for words of one sentence (at most `window` apart, 0: any), of tokens (sent, pos, word)."""
-    x, y = tokens.alias("x"), tokens.alias("y")
-    near = (F.col("x.sent") == F.col("y.sent")) & (F.col("x.pos") < F.col("y.pos"))
-    if window:
-        near = near & (F.col("y.pos") - F.col("x.pos") <= window)
-    pairs = x.join(y, near).filter("x.word <> y.word")
-    return pairs.groupBy(F.least("x.word", "y.word").alias("a"), F.greatest("x.word", "y.word").alias("b")).agg(F.count("*").alias("weight"))
+    rows = tokens.select("sent", "pos", "word")
+    if window:  # near words stand at known places: no others are compared
+        shifted = rows.select("sent", "word", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + window)).alias("at"))
+        pairs = shifted.join(rows.select("sent", F.col("pos").alias("at"), F.col("word").alias("other")), ["sent", "at"]).select("word", "other", F.lit(1).alias("n"))
+    else:  # a word's occurrences in a sentence are counted first
+        counts = rows.groupBy("sent", "word").agg(F.count("*").alias("n"))
+        other = counts.select("sent", F.col("word").alias("other"), F.col("n").alias("m"))
+        pairs = counts.join(other, "sent").filter("word < other").select("word", "other", (F.col("n") * F.col("m")).alias("n"))
+    pairs = pairs.filter("word <> other")
+    return pairs.groupBy(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).agg(F.sum("n").alias("weight"))
 
 
 def textrank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float | None = 1e-4) -> DataFrame:

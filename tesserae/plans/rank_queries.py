@@ -230,11 +230,7 @@ CO = f"WITH {WORDS}, co AS (SELECT least(x.word, y.word) AS a, greatest(x.word,
 
 def cooccurring(spark, sf):
     t = conversation_tokens(spark, sf).withColumn("sent", F.concat_ws("/", "cluster", "sent"))
-    # near words are found by position, not by comparing all pairs of a sentence
-    shifted = t.select("sent", "word", (F.col("pos")).alias("pos"), F.explode(F.array(F.lit(1), F.lit(2))).alias("gap")).withColumn("at", F.col("pos") + F.col("gap"))
-    other = t.select("sent", F.col("pos").alias("at"), F.col("word").alias("other"))
-    pairs = shifted.join(other, ["sent", "at"]).filter("word <> other")
-    return pairs.groupBy(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).agg(F.count("*").alias("weight"))
+    return summary.cooccurrence(t, window=2)
 
 
 @query(f"{CO} SELECT a, b, weight FROM co")

@@ -179,11 +179,11 @@ def similar_pairs(spark, sf):
     return _name_pairs(spark, sf).filter(X.similar(F.col("a"), F.col("b"))).select("a", "b")
 
 
-@query(f"WITH {NAME_PAIRS}, b AS (SELECT a AS x, b AS y, d FROM p UNION ALL SELECT b, a, d FROM p) SELECT x AS label, arg_min(y, d * 1000000 + ascii(y) * 0.001) AS nearest_initial FROM b GROUP BY x".replace("arg_min(y, d * 1000000 + ascii(y) * 0.001) AS nearest_initial", "min(round(d, 6)) AS distance"))
+@query(f"WITH {NAME_PAIRS}, b AS (SELECT a AS x, b AS y, round(d, 6) AS d FROM p UNION ALL SELECT b, a, round(d, 6) FROM p) SELECT x AS label, y AS nearest, d AS distance FROM b QUALIFY row_number() OVER (PARTITION BY x ORDER BY d, y) = 1")
 def most_similar_label(spark, sf):
     pairs = _name_pairs(spark, sf).withColumn("d", F.round(X.edit_distance(F.col("a"), F.col("b")), 6))
-    both = pairs.select("a", "d").union(pairs.select("b", "d"))
-    return both.groupBy(F.col("a").alias("label")).agg(F.min("d").alias("distance"))
+    both = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d"))
+    return both.groupBy(F.col("a").alias("label")).agg(F.min(F.struct("d", "b")).alias("m")).select("label", F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT g, label, row_number() OVER (PARTITION BY g ORDER BY label) AS ord FROM (SELECT DISTINCT split_part(p_name, ' ', -1) AS g, p_name AS label FROM part)),

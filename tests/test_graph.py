@@ -140,3 +140,44 @@ def test_concepts_are_complete_or_an_error(spark):
     assert graph.formal_concepts(context).count() == 16
     with pytest.raises(ValueError, match="after 1 rounds"):
         graph.formal_concepts(context, max_rounds=1)
+
+
+def test_betweenness_in_batches_and_by_samples(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"n{rng.randrange(25)}", "r", f"n{rng.randrange(25)}") for _ in range(60)]
+    edges = spark.createDataFrame(rows, "s string, p string, o string")
+    read = lambda df: {r["node"]: round(r["raw"], 6) for r in df.collect()}
+    whole = read(graph.betweenness(edges))
+    assert read(graph.betweenness(edges, batch=6)) == whole
+    assert read(graph.betweenness(edges, batch=9, sources=100)) == whole
+    some = read(graph.betweenness(edges, sources=8))
+    n = len(whole)
+    assert some.keys() == whole.keys() and some != whole
+    assert all(abs(some[x] - whole[x]) <= 4 * n * n / (2 * 8**0.5) for x in whole)
+
+
+def test_equivalence_says_all_of_a_class(spark):
+    rows = [("a", "same", "b"), ("b", "same", "c"), ("a", "p", "x"), ("y", "q", "c"), ("b", "r", "a"), ("x", "q", "y"), ("x", "q", "y")]
+    edges = spark.createDataFrame(rows, "s string, p string, o string")
+    got = [tuple(r) for r in graph.equivalence_edges(edges, ["same"]).collect()]
+    peers = {"a": "abc", "b": "abc", "c": "abc"}
+    want = {(m, p, o) for s, p, o in rows for m in peers.get(s, s)} | {(s, p, m) for s, p, o in rows for m in peers.get(o, o)}
+    assert sorted(got) == sorted(want)
+
+
+def test_cooccurrence(spark):
+    from tesserae.operators.summary import cooccurrence
+
+    words = {1: "a b a c", 2: "b a", 3: "a"}
+    rows = [(s, i, w) for s, t in words.items() for i, w in enumerate(t.split())]
+    df = spark.createDataFrame(rows, "sent int, pos long, word string")
+    for window in (0, 1, 2):
+        want: dict = {}
+        for s, i, w in rows:
+            for t, j, x in rows:
+                if s == t and i < j and w != x and (not window or j - i <= window):
+                    key = tuple(sorted((w, x)))
+                    want[key] = want.get(key, 0) + 1
+        assert {(r["a"], r["b"]): r["weight"] for r in cooccurrence(df, window).collect()} == want
