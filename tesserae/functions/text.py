@@ -85,6 +85,39 @@ def html_escape(text: Column) -> Column:
     return text
 
 
+def titlefy(text: Column) -> Column:
+    """The first character in upper case."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
+
+
+def format_percentage(share: Column, decimals: int = 2) -> Column:
+    """A share of 1 in per cent; decimals that are all zero are left out."""
+    return F.concat(F.replace(F.format_string(f"%.{decimals}f", share * 100), F.lit("." + "0" * decimals), F.lit("")), F.lit("%"))
+
+
+def escape_regexp(text: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def is_int(text: Column) -> Column:
+    """Whether a string is written as a whole number."""
+    return F.trim(text).rlike(r"^[+-]?[0-9]+(\.0*)?$")
+
+
+def clip(value: Column, least: float, most: float) -> Column:
+    return F.when(value < least, F.lit(least)).when(value > most, F.lit(most)).otherwise(value)
+
+
+def path_join(parts: Column, separator: str = "/") -> Column:
+    """Parts joined by a separator that stands once between two, empty ones left out."""
+    quoted = "".join(f"[{c}]" for c in separator)
+    last = F.size(parts) - 1
+    inner = F.transform(parts, lambda x, i: F.when(i > 0, F.regexp_replace(x, f"^{quoted}", "")).otherwise(x))
+    ends = F.transform(inner, lambda x, i: F.when(i < last, F.regexp_replace(x, f"{quoted}$", "")).otherwise(x))
+    return F.array_join(F.filter(ends, lambda x: x != ""), separator)
+
+
 def single_line(text: Column) -> Column:
     return F.trim(F.translate(text, "\n", " "))
 

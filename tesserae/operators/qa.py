@@ -214,6 +214,66 @@ def couple_clusters(labelled_triples: DataFrame) -> DataFrame:
     return objects.unionByName(subjects).filter(F.size("members") > 1)
 
 
+def labelled_clusters(labelled_triples: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(side, key, p, label_key, label_p, members, labels): like couple_clusters(), told apart by labels too.
+
+    labelled_triples: (s, p, o, label_s, label_p, label_o). Of a subject (or object) and predicate under one pair of
+    labels, if there are several rows: the different nodes at the other end in order of their labels, each under
+    the first of them, without those whose label is like one that stays.
+    """
+    sides = []
+    for own, other in (("s", "o"), ("o", "s")):
+        sides.append(labelled_triples.select(F.lit(other).alias("side"), F.col(own).alias("key"), "p", F.col(f"label_{own}").alias("label_key"), "label_p", F.col(other).alias("member"), F.col(f"label_{other}").alias("label")))
+    group = ["side", "key", "p", "label_key", "label_p"]
+    rows = sides[0].unionByName(sides[1])
+    several = rows.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1").select(F.struct(*group).alias("group"))
+    first = rows.groupBy(F.struct(*group).alias("group"), "member").agg(F.min("label").alias("label")).join(several, "group", "left_semi")
+    ordered = graph.ordered_ranks(first, ["group"], [F.col("label"), F.col("member")])
+    kept = remove_similar(ordered.select("group", "ord", "label"), threshold).select("group", "ord")
+    both = ordered.join(kept, ["group", "ord"])
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ord", c))), lambda x: x[c])
+    return both.groupBy("group").agg(in_order("member").alias("members"), in_order("label").alias("labels")).select("group.*", "members", "labels")
+
+
+def equivalent_definitions(triples: DataFrame, concept: str, definitions: DataFrame) -> DataFrame:
+    """(s, p, o): the definitions (node, definition) of what a concept is equivalent to by its senses."""
+    seed = triples.sparkSession.createDataFrame([(concept,)], "node string")
+    same = graph.reachable(triples.filter(F.col("p") == V.IN_SYNSET), seed, "both").select("node")
+    return definitions.join(same, "node").select(F.lit(concept).alias("s"), F.lit(V.DEFINITION).alias("p"), F.col("definition").alias("o")).distinct()
+
+
+def taxonomy_page(triples: DataFrame, concept: str, definitions: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """(s, p, o) of all that a page on a concept's place in the taxonomy shows.
+
+    Subclass triples of the concepts below and above it, labels and sources of all concepts in these, what is said of
+    the sources, the concept's own definitions and those given for its neighbours (node, definition), its types
+    and the nodes of its type with their labels. Rows with an empty part are left out.
+    """
+    seed = triples.sparkSession.createDataFrame([(concept,)], "node string")
+    tree = triples.filter(F.col("p") == V.SUBCLASS)
+    around = seed
+    for direction in ("in", "out") if depth != 0 else ():
+        around = around.unionByName(graph.reachable(tree, seed, direction, depth).select("node"))
+    around = written(around.distinct())
+    steps = written(out_edges(around, tree).unionByName(in_edges(around, tree)).distinct())
+    shown = written(steps.select(F.explode(F.array("s", "o")).alias("node")).unionByName(around).distinct())
+    sources = written(out_edges(shown, triples.filter(F.col("p") == V.HAS_SOURCE)).distinct())
+    types = triples.filter(F.col("p") == V.TYPE)
+    inside = lambda df, c: df.join(around.withColumnRenamed("node", c), c, "left_anti")
+    up = inside(types.filter(F.col("s") == concept), "o").select(F.lit(concept).alias("s"), "p", "o")
+    down = inside(types.filter(F.col("o") == concept), "s").select("s", "p", F.lit(concept).alias("o"))
+    ends = up.select(F.col("o").alias("node")).unionByName(down.select(F.col("s").alias("node")))
+    labels = out_edges(shown.unionByName(ends).distinct(), triples.filter(F.col("p") == V.LABEL))
+    own = triples.filter((F.col("s") == concept) & (F.col("p") == V.DEFINITION)).select("s", "p", "o")
+    parts = [steps, labels, sources, sub_graph(triples, sources.select(F.col("o").alias("node")).distinct()), own, up, down]
+    if definitions is not None:
+        parts.append(definitions.join(shown, "node").select(F.col("node").alias("s"), F.lit(V.DEFINITION).alias("p"), F.col("definition").alias("o")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more.select("s", "p", "o"))
+    return out.filter("s <> '' and p <> '' and o <> ''").distinct()
+
+
 def remove_similar(labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Greedy order-dependent dedup in each group (group, ord, label): a label goes if one that stays is alike.
 

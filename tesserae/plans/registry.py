@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tesserae.plans import annotate_queries, assembly_queries, entity_queries, extract_queries, graph_queries, legal_queries, nested_queries, rank_queries, sense_queries, set_queries, text_queries  # noqa: F401
+    from tesserae.plans import annotate_queries, assembly_queries, entity_queries, extract_queries, graph_queries, legal_queries, nested_queries, rank_queries, sense_queries, set_queries, text_queries, view_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
