@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.text import word_tokens
 from tesserae.operators.sets import concept_set
 from tesserae.sources import triples as V
 from tesserae.sources.scratch import small
@@ -106,3 +107,13 @@ def split_by_type(triples: DataFrame, types: list[str]) -> tuple[DataFrame, Data
 def unique_elements(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, value, order): the last value of each key at the place of its first."""
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.min(order).alias(order))
+
+
+def concept_counter(sentences: DataFrame) -> DataFrame:
+    """(concept, n, sources): the words of (source, text, ...) sentences with their number and their sources in order.
+
+    A sentence that repeats in a row with equal columns counts once.
+    """
+    words = sentences.distinct().select("source", F.explode(word_tokens(F.col("text"))).alias("concept"))
+    each = words.groupBy("concept", "source").agg(F.count("*").alias("n"))
+    return each.groupBy("concept").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("source")).alias("sources"))

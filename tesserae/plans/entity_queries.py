@@ -121,6 +121,14 @@ def concept_counts(spark, sf):
     return t.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query(f"""WITH s AS (SELECT DISTINCT doc_id, source, text FROM documents), t AS (SELECT doc_id, source, unnest({TOKENS.format(x='text')}) AS term FROM s)
+SELECT term, count(*) AS n, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM t GROUP BY term""")
+def concept_sources(spark, sf):
+    """How often each concept is said, and the sources that say it."""
+    found = entity.concept_counter(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return found.select(F.col("concept").alias("term"), "n", F.array_join("sources", "|").alias("sources"))
+
+
 @query(f"WITH t AS (SELECT unnest({TOKENS.format(x='text')}) AS term FROM conversations), k AS (SELECT DISTINCT unnest({TOKENS.format(x='text')}) AS term FROM documents) SELECT term, count(*) AS n FROM t WHERE term NOT IN (SELECT term FROM k) GROUP BY term")
 def missing_concepts(spark, sf):
     from tesserae.functions.text import word_tokens

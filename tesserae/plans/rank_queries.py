@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tesserae.operators import corpus as K
 from tesserae.operators import qa, rank, sets, summary
 from tesserae.plans.graph_queries import CONCEPT_GRAPH
 from tesserae.plans.registry import query, table
-from tesserae.plans.set_queries import TRIPLES
+from tesserae.plans.set_queries import SUB, TRIPLES
 from tesserae.sources import triples as V
 from tesserae.sources.scratch import written
 
@@ -195,11 +197,16 @@ texts AS (SELECT DISTINCT s, p, o, sentence, text FROM (SELECT s, p, o, sentence
 first AS (SELECT text, s, p, o, min(sentence) AS sentence FROM texts GROUP BY text, s, p, o)"""
 
 
-@query(f"""{ANSWER_TEXTS}, {tfidf_sql('SELECT DISTINCT text AS key, text FROM first')},
-hits AS (SELECT qid, f.text AS abstract, f.sentence, similarity AS confidence, f.s, f.p, f.o FROM first f JOIN sim ON sim.key = f.text WHERE similarity >= 0.1),
+def answers_sql(threshold: float, asked: str = Q_SQL) -> str:
+    """CTEs up to an(qid, rank, abstract, sentence, confidence, s, p, o), the answers from the graph of one concept."""
+    return f"""{ANSWER_TEXTS}, {tfidf_sql('SELECT DISTINCT text AS key, text FROM first', asked)},
+hits AS (SELECT qid, f.text AS abstract, f.sentence, similarity AS confidence, f.s, f.p, f.o FROM first f JOIN sim ON sim.key = f.text WHERE similarity >= {threshold}),
 bt AS (SELECT qid, s, p, o, confidence, abstract, sentence FROM hits QUALIFY row_number() OVER (PARTITION BY qid, s, p, o ORDER BY confidence DESC, abstract DESC, sentence DESC) = 1),
-bs AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY qid, sentence ORDER BY confidence DESC, abstract DESC, s DESC, p DESC, o DESC) = 1)
-SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, sentence DESC) AS INTEGER) AS rank, abstract, sentence, confidence, s, p, o FROM bs""")
+bs AS (SELECT * FROM bt QUALIFY row_number() OVER (PARTITION BY qid, sentence ORDER BY confidence DESC, abstract DESC, s DESC, p DESC, o DESC) = 1),
+an AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, sentence DESC) AS INTEGER) AS rank, abstract, sentence, confidence, s, p, o FROM bs)"""
+
+
+@query(f"{answers_sql(0.1)} SELECT qid, rank, abstract, sentence, confidence, s, p, o FROM an")
 def answers(spark, sf):
     """From a seed concept to ranked answers: closure, edges, labels, sentences, scores, two deduplications."""
     return qa.answers(answer_index(spark, sf), questions(spark))
@@ -304,7 +311,22 @@ def graph_positions(rows):
 LAB = f"lab AS (SELECT s AS node, o AS label FROM triples WHERE p = '{V.LABEL}')"
 
 
-@query()
+def _again(sql: str) -> str:
+    """CTEs of tfidf_sql() under other names, to stand beside the first ones."""
+    return re.sub(r"\b(tok|tf|n|df|raw|nrm|w|q|qt|qr|qn|sim)\b", r"\1_2", sql)
+
+
+@query(f"""{SUB}, {LAB}, {tfidf_sql('SELECT DISTINCT label AS key, label AS text FROM lab')},
+al AS (SELECT qid, node AS seed FROM sim JOIN lab ON lab.label = sim.key WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, node DESC) = 1),
+fo(seed, node) AS (SELECT DISTINCT seed, seed FROM al UNION SELECT fo.seed, sub.s FROM fo JOIN sub ON sub.o = fo.node), re AS (SELECT DISTINCT s, p, o FROM triples WHERE contains(p, '{{obj}}')),
+se AS MATERIALIZED (SELECT DISTINCT seed, s, p, o FROM fo JOIN re ON re.s = fo.node OR re.o = fo.node),
+ll AS (SELECT s, p, o, coalesce(a.label, s) AS label_s, coalesce(b.label, o) AS label_o FROM (SELECT DISTINCT s, p, o FROM se WHERE s <> o) t LEFT JOIN lab a ON a.node = t.s LEFT JOIN lab b ON b.node = t.o),
+st AS (SELECT s, p, o, label_s, label_o, replace(replace(p, '{{subj}}', rtrim(ltrim(label_s, '.'), '.')), '{{obj}}', rtrim(ltrim(label_o, '.'), '.')) AS sentence FROM ll),
+fi AS MATERIALIZED (SELECT text, s, p, o, min(sentence) AS sentence FROM (SELECT s, p, o, sentence, unnest([sentence, label_s, label_o]) AS text FROM st) WHERE text <> '' GROUP BY text, s, p, o),
+{_again(tfidf_sql('SELECT DISTINCT text AS key, text FROM fi'))},
+hi AS (SELECT qid, fi.text AS abstract, fi.sentence, similarity AS confidence, s, p, o FROM fi JOIN sim_2 ON sim_2.key = fi.text JOIN se USING (s, p, o) JOIN al USING (qid, seed) WHERE similarity >= 0.1),
+bs AS (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY qid, sentence ORDER BY confidence DESC, abstract DESC, s DESC, p DESC, o DESC) = 1)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY confidence DESC, sentence DESC) AS INTEGER) AS rank, abstract, sentence, confidence, s, p, o FROM bs""")
 def ask(spark, sf):
     """Questions to ranked answers by the concepts that they name."""
     t = V.from_tables(spark, sf)
@@ -329,14 +351,17 @@ def overview_questions(spark, sf):
     return qa.fill_templates(OVERVIEW, concepts).withColumn("qid", F.col("qid").cast("long"))
 
 
-@query()
+_OVERVIEW_SQL = "q(qid, question) AS (VALUES " + ", ".join(f"({i}, '{x.replace('{concept}', 'the region')}')" for i, x in enumerate(OVERVIEW)) + ")"
+
+
+@query(f"{answers_sql(0.02, _OVERVIEW_SQL)} SELECT qid, rank, abstract, sentence, confidence, s, p, o FROM an")
 def concept_overview(spark, sf):
     """Answers to the overview questions of one concept over its graph."""
     asked = qa.fill_templates(OVERVIEW, spark.createDataFrame([("region:0", "the region")], "concept string, label string")).select("qid", "question")
     return qa.answers(answer_index(spark, sf), asked, threshold=0.02)
 
 
-@query()
+@query(f"{answers_sql(0.1)} SELECT qid, CAST(to_json(list({{'rank': rank, 'abstract': abstract, 'sentence': sentence, 'confidence': confidence, 'triple': [s, p, o]}} ORDER BY rank)) AS VARCHAR) AS json FROM an GROUP BY qid")
 def answers_json(spark, sf):
     return qa.answers_json(answers(spark, sf))
 
