@@ -14,6 +14,12 @@ _WORDS = [
     ("true", "d1", "'The'", "'the'", "DET", "'det'", "'s'", "s"),
     ("true", "a", "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 1)", "ADJ", "'amod'", "'s'", "s"),
     ("true", "s", "split_part(p_name, ' ', 2)", "split_part(p_name, ' ', 2)", "NOUN", "CASE WHEN p_size % 3 = 0 THEN 'nsubjpass' ELSE 'nsubj' END", "'v'", "s"),
+    # two subjects; a clause about the subject
+    ("p_size % 7 = 0", "sk", "'and'", "'and'", "CCONJ", "'cc'", "'s'", None),
+    ("p_size % 7 = 0", "s2", "'kits'", "'kit'", "NOUN", "'conj'", "'s'", "s2"),
+    ("p_size % 11 = 0", "rs", "'that'", "'that'", "PRON", "'nsubj'", "'rv'", None),
+    ("p_size % 11 = 0", "rv", "'holds'", "'hold'", "VERB", "'relcl'", "'s'", None),
+    ("p_size % 11 = 0", "ro", "'water'", "'water'", "NOUN", "'dobj'", "'rv'", "ro"),
     ("p_size % 3 = 0", "x", "'is'", "'be'", "AUX", "'auxpass'", "'v'", None),
     ("true", "v", "CASE WHEN p_size % 3 = 0 THEN 'joined' ELSE 'joins' END", "'join'", "VERB", "'ROOT'", "'v'", None),
     ("p_size % 2 = 0", "n", "'never'", "'never'", "ADV", "'neg'", "'v'", None),
@@ -25,6 +31,12 @@ _WORDS = [
     ("true", "p", "p_brand", "p_brand", "PROPN", "'pobj'", "'f'", "p"),
     ("p_size % 5 = 0", "k", "'and'", "'and'", "CCONJ", "'cc'", "'p'", None),
     ("p_size % 5 = 0", "j", "'others'", "'other'", "NOUN", "'conj'", "'p'", "j"),
+    # an adverbial; a second verb with an object of its own
+    ("p_size % 4 = 1", "l", "'in'", "'in'", "ADP", "'prep'", "'v'", None),
+    ("p_size % 4 = 1", "lo", "'stores'", "'store'", "NOUN", "'pobj'", "'l'", "lo"),
+    ("p_size % 13 < 2", "vk", "'and'", "'and'", "CCONJ", "'cc'", "'v'", None),
+    ("p_size % 13 < 2", "v2", "'moves'", "'move'", "VERB", "'conj'", "'v'", None),
+    ("p_size % 13 < 2", "o2", "'tools'", "'tool'", "NOUN", "'dobj'", "'v2'", "o2"),
     ("true", "z", "'.'", "'.'", "PUNCT", "'punct'", "'v'", None),
 ]
 _FIELDS = ("k", "text", "lemma", "pos", "dep", "hk", "ck")
