@@ -194,10 +194,12 @@ def is_valid_syntagm(text: Column, most: int | None) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) < most if most else F.lit(True)
 
 
-def fact_edges(couples: DataFrame, sentences: DataFrame) -> DataFrame:
+def fact_edges(couples: DataFrame, sentences: DataFrame, senses: DataFrame | None = None, annotations: DataFrame | None = None) -> DataFrame:
     """(s, p, o) of the longest concept of each core on either side of a predicate, with labels, sources and subclasses.
 
     couples as couple_list() gives them; sentences: (sent_id, doc, content). A sentence's source is a node of its own.
+    senses (sent_id, lemma, sense) put concepts and predicates into synsets; annotations (sent_id, s, p, o) are what is
+    known of a sentence besides, and come with those that say something.
     """
     size = F.struct(F.size("span"), F.length("text"), -F.col("rank"))
     longest = couples.groupBy("sent_id", "predicate", "predicate_lemma", "predicate_span", "dependency", "core").agg(F.max_by(F.struct("text", "lemma", "chain"), size).alias("c"))
@@ -219,4 +221,9 @@ def fact_edges(couples: DataFrame, sentences: DataFrame) -> DataFrame:
         edge(steps, text_uri(F.col("x.a")), "rdfs:subClassOf", text_uri(F.col("x.b"))).filter("s <> o"),
     ):
         out = out.unionByName(more)
+    if senses is not None:
+        tagged = each.select("sent_id", "lemma").distinct().join(senses, ["sent_id", "lemma"])
+        out = out.unionByName(edge(tagged, concept_uri(F.col("lemma")), "my:inSynset", F.concat(F.lit("wn:"), F.col("sense"))))
+    if annotations is not None:
+        out = out.unionByName(annotations.join(used.select("sent_id").distinct(), "sent_id", "left_semi").select("s", "p", "o"))
     return out.distinct()

@@ -156,6 +156,20 @@ def k_shortest_paths(tokens: DataFrame, k: int = 5, min_words: int = 4) -> DataF
     return tokens.groupBy("cluster").applyInPandas(one, "cluster long, rank int, words string, cost double")
 
 
+def rerank(compressions: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(cluster, words, cost, score, rank), least score first, of compressions (cluster, words, cost).
+
+    The cost of a path is taken over its number of words and one more than the scores of its cluster's keyphrases
+    (cluster, phrase, score) that stand in it, so that what says more comes first.
+    """
+    held = compressions.select("cluster", "words").distinct().join(phrases.select("cluster", "phrase", F.col("score").alias("_s")), "cluster").filter(F.contains("words", "phrase"))
+    total = held.groupBy("cluster", "words").agg(F.sum("_s").alias("_total"))
+    joined = compressions.join(total, ["cluster", "words"], "left")
+    score = F.col("cost") / (F.size(F.split("words", " ")) * (1 + F.coalesce("_total", F.lit(0.0))))
+    scored = joined.select("cluster", "words", "cost", F.round(score, 9).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("score", "words", "cost")))
+
+
 def phrase_scores(phrases: DataFrame, scores: DataFrame) -> DataFrame:
     """(words, score): the sum of a phrase's word scores over its length plus one; unknown words count 0."""
     each = phrases.select("words").distinct().select("words", F.explode(F.split("words", " ")).alias("word"))

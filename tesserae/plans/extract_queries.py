@@ -185,6 +185,18 @@ def fact_edges(spark, sf):
     return C.fact_edges(_couples(tokens(spark, sf)), sentences)
 
 
+@query(f"""WITH RECURSIVE {_FACTS} UNION SELECT {_URI.format(x='ea.lemma')}, 'my:inSynset', 'wn:' || ea.lemma || '.n.01' FROM ea JOIN part ON p_partkey = ea.sent_id AND split_part(p_name, ' ', 2) = ea.lemma
+UNION SELECT '_:source' || p_partkey, 'my:size', CAST(p_size AS VARCHAR) FROM us""")
+def fact_annotations(spark, sf):
+    """The facts with the synsets of what is named, and what is known of each sentence besides."""
+    part = table(spark, sf, "part")
+    sentences = part.select(F.col("p_partkey").alias("sent_id"), F.col("p_brand").alias("doc"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
+    lemma = F.split_part("p_name", F.lit(" "), F.lit(2))
+    senses = part.select(F.col("p_partkey").alias("sent_id"), lemma.alias("lemma"), F.concat(lemma, F.lit(".n.01")).alias("sense"))
+    annotations = part.select(F.col("p_partkey").alias("sent_id"), F.expr("'_:source' || p_partkey").alias("s"), F.lit("my:size").alias("p"), F.col("p_size").cast("string").alias("o"))
+    return C.fact_edges(_couples(tokens(spark, sf)), sentences, senses, annotations)
+
+
 #: Cores by their own dependency alone.
 _NAMED = "nc AS (SELECT sent_id, i FROM tok WHERE dep IN ('nsubj', 'nsubjpass', 'dobj', 'pobj'))"
 

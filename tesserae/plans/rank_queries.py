@@ -397,6 +397,17 @@ def phrases(spark, sf):
     return summary.runs(part_tokens(spark, sf), F.lit(True)).select("words").distinct()
 
 
+@query(f"""WITH {PART_WORDS}, f AS (SELECT cluster, word AS phrase, CAST(count(*) AS DOUBLE) AS score FROM tokens GROUP BY ALL), c AS (SELECT p_brand AS cluster, lower(p_name || ' ' || p_type) AS words, CAST(p_size AS DOUBLE) AS cost FROM part),
+t AS (SELECT cluster, words, sum(score) AS total FROM (SELECT DISTINCT cluster, words FROM c) JOIN f USING (cluster) WHERE contains(words, phrase) GROUP BY ALL),
+s AS (SELECT cluster, words, cost, round(cost / (len(string_split(words, ' ')) * (1 + coalesce(total, 0))), 9) AS score FROM c LEFT JOIN t USING (cluster, words))
+SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score, words, cost) AS INTEGER) AS rank FROM s""")
+def reranked(spark, sf):
+    """Candidates of each brand by their cost for each word and by the weight of the words in them."""
+    candidates = table(spark, sf, "part").select(F.col("p_brand").alias("cluster"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("words"), F.col("p_size").cast("double").alias("cost"))
+    scores = part_tokens(spark, sf).groupBy("cluster", F.col("word").alias("phrase")).agg(F.count("*").cast("double").alias("score"))
+    return summary.rerank(candidates, scores)
+
+
 @query(f"WITH {PHRASES}, f AS (SELECT word, count(*) AS n FROM tokens GROUP BY word), u AS (SELECT words, unnest(string_split(words, ' ')) AS word FROM ph) SELECT words, round(sum(CAST(n AS DOUBLE)) / (count(*) + 1), 6) AS score FROM u JOIN f USING (word) GROUP BY words")
 def keyphrase_scores(spark, sf):
     scores = part_tokens(spark, sf).groupBy("word").agg(F.count("*").cast("double").alias("score"))
