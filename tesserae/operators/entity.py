@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserae.functions.text import word_tokens
 from tesserae.operators.sets import concept_set
@@ -117,3 +118,32 @@ def concept_counter(sentences: DataFrame) -> DataFrame:
     words = sentences.distinct().select("source", F.explode(word_tokens(F.col("text"))).alias("concept"))
     each = words.groupBy("concept", "source").agg(F.count("*").alias("n"))
     return each.groupBy("concept").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def statements_of(triples: DataFrame) -> DataFrame:
+    """(s, n): the statements of each entity as a nested view counts them.
+
+    A predicate with one value counts for itself and the value, one with several for itself, and twice for each value,
+    as a member of the list and by itself.
+    """
+    values = triples.select("s", "p", "o").distinct().groupBy("s", "p").agg(F.count("*").alias("k"))
+    return values.groupBy("s").agg(F.sum(F.when(F.col("k") == 1, 2).otherwise(1 + 2 * F.col("k"))).alias("n"))
+
+
+def type_graph(triples: DataFrame, predicate: str = V.TYPE, unknown: str = "my:Unknown", everything: str = "http://www.w3.org/2002/07/owl#Thing") -> DataFrame:
+    """(id, composite, classes, n_statements, n_entities, position): a class for each set of types that entities have.
+
+    One type is a class of its own, several make a composite class of them, numbered in the order of the sets;
+    the class of everything is no part of it. Entities without a type are of the unknown one. Classes with more
+    statements come first.
+    """
+    types = triples.filter(F.col("p") == predicate).groupBy("s").agg(F.array_sort(F.collect_set("o")).alias("types"))
+    own = statements_of(triples).join(types, "s", "left").withColumn("types", F.coalesce("types", F.array(F.lit(unknown))))
+    sets = own.groupBy("types").agg(F.sum("n").alias("n_statements"), F.count("*").alias("n_entities"))
+    # as many rows from here on as there are sets of types
+    composite = F.size("types") > 1
+    number = F.sum(composite.cast("int")).over(Window.orderBy(F.array_join("types", " "))) - 1
+    named = sets.withColumn("id", F.when(composite, F.concat(F.lit("my:CompositeClass"), number.cast("string"))).otherwise(F.element_at("types", 1)))
+    classes = F.when(composite, F.filter("types", lambda x: x != everything)).otherwise(F.col("types"))
+    position = F.row_number().over(Window.orderBy(F.desc("n_statements"), F.array_join("types", " ")))
+    return named.select("id", composite.alias("composite"), classes.alias("classes"), "n_statements", "n_entities", position.alias("position"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as X
-from tesserae.operators import qa
+from tesserae.operators import entity, qa
 from tesserae.plans.registry import query, table
 from tesserae.plans.set_queries import SUB, TRIPLES
 from tesserae.sources import triples as V
@@ -82,3 +82,30 @@ def concept_definitions(spark, sf):
     """The definitions of what one name's parts are."""
     definitions = table(spark, sf, "part").select(F.expr("'part:' || p_partkey").alias("node"), F.expr("p_brand || ' ' || p_type").alias("definition"))
     return qa.equivalent_definitions(V.from_tables(spark, sf), _CONCEPT, definitions)
+
+
+#: Parts with a brand's type beside their own, where their size is even; customers with their segment; suppliers have none.
+_TYPED = """t AS (SELECT 'part:' || p_partkey AS s, 'rdf:type' AS p, 'ptype:' || p_type AS o FROM part UNION SELECT 'part:' || p_partkey, 'rdf:type', p_brand FROM part WHERE p_size % 2 = 0 UNION SELECT 'part:' || p_partkey, 'rdfs:label', p_name FROM part
+UNION SELECT 'cust:' || c_custkey, 'rdf:type', c_mktsegment FROM customer UNION SELECT 'cust:' || c_custkey, 'rdf:type', 'http://www.w3.org/2002/07/owl#Thing' FROM customer UNION SELECT 'supp:' || s_suppkey, 'rdfs:label', s_name FROM supplier)"""
+
+
+@query(f"""WITH {_TYPED}, c AS (SELECT s, sum(CASE WHEN k = 1 THEN 2 ELSE 1 + 2 * k END) AS n FROM (SELECT s, p, count(*) AS k FROM t GROUP BY s, p) GROUP BY s),
+y AS (SELECT s, list_sort(list(DISTINCT o)) AS types FROM t WHERE p = 'rdf:type' GROUP BY s), g AS (SELECT coalesce(types, ['my:Unknown']) AS types, CAST(sum(n) AS BIGINT) AS n_statements, count(*) AS n_entities FROM c LEFT JOIN y USING (s) GROUP BY 1)
+SELECT CASE WHEN len(types) > 1 THEN 'my:CompositeClass' || CAST(sum(CASE WHEN len(types) > 1 THEN 1 ELSE 0 END) OVER (ORDER BY array_to_string(types, ' ')) - 1 AS BIGINT) ELSE types[1] END AS id, len(types) > 1 AS composite,
+array_to_string(CASE WHEN len(types) > 1 THEN list_filter(types, lambda x: x <> 'http://www.w3.org/2002/07/owl#Thing') ELSE types END, '|') AS classes, n_statements, n_entities, CAST(row_number() OVER (ORDER BY n_statements DESC, array_to_string(types, ' ')) AS INTEGER) AS position FROM g""")
+def type_graph(spark, sf):
+    """Classes and composite classes of entities, those with most statements first."""
+    edge = lambda name, s, p, o: table(spark, sf, name).select(F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"))
+    brands = table(spark, sf, "part").filter("p_size % 2 = 0").select(F.expr("'part:' || p_partkey").alias("s"), F.lit(V.TYPE).alias("p"), F.col("p_brand").alias("o"))
+    parts = [
+        edge("part", "'part:' || p_partkey", V.TYPE, "'ptype:' || p_type"),
+        brands,
+        edge("part", "'part:' || p_partkey", V.LABEL, "p_name"),
+        edge("customer", "'cust:' || c_custkey", V.TYPE, "c_mktsegment"),
+        edge("customer", "'cust:' || c_custkey", V.TYPE, "'http://www.w3.org/2002/07/owl#Thing'"),
+        edge("supplier", "'supp:' || s_suppkey", V.LABEL, "s_name"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return entity.type_graph(out).withColumn("classes", F.array_join("classes", "|"))
