@@ -12,36 +12,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of sampled segmentations of all documents; null texts are empty, no rows give none (pieces.encode_digest)."""
     from tesserae.llm.pieces import encode_digest
 
     return encode_digest(_table(spark, sf_dir, "documents"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of all documents; without words no tokens, sum 0, null mean; no rows give none (lm.pseudo_likelihood)."""
     from tesserae.llm.lm import pseudo_likelihood
 
     return pseudo_likelihood(_table(spark, sf_dir, "documents"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards by bytes; null texts count one byte; no rows give none (sharding.byte_shards)."""
     from tesserae.llm.sharding import byte_shards
 
     return byte_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed to 4096 tokens; a null or empty text is the end token alone; no rows give none (packing.pack_documents)."""
     from tesserae.llm.packing import pack_documents
 
     return pack_documents(_table(spark, sf_dir, "documents"), capacity=4096)
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates by two-word shingles; without words a document is alone; no rows give none (neardup.near_duplicates)."""
     from tesserae.llm.neardup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("text_hash")
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best of every fiftieth vector; null or non-finite vectors take no part; no rows give none (topk.top_k)."""
     from pyspark.sql import functions as F
 
     from tesserae.llm.topk import top_k
@@ -50,42 +56,49 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to an archive and read back; null payloads are empty; no rows give none (warc.archive_pages)."""
     from tesserae.llm.warc import archive_pages
 
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated 100-byte strings; null texts are empty; no rows give none (suffixes.remove_repeats)."""
     from tesserae.llm.suffixes import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of all documents; null and empty texts have grade 0; no rows give none (toxicity.severity)."""
     from tesserae.llm.toxicity import severity
 
     return severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents; null and empty texts fail; no rows give none (quality.quality_verdicts)."""
     from tesserae.llm.quality import quality_verdicts
 
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors; null and non-finite ones go; no rows give none (codes.vector_codes)."""
     from tesserae.llm.codes import vector_codes
 
     return vector_codes(_table(spark, sf_dir, "embeddings")).drop("label")
 
 
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, ranked; null texts weigh 0; no rows give none (resample.resample)."""
     from tesserae.llm.resample import resample
 
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents of Jaccard 0.9 or more in three-word shingles; without words a document is alone; no rows give none."""
     from tesserae.llm.jaccard import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
