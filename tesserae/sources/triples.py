@@ -79,13 +79,49 @@ def collapse_parallel(edges: DataFrame, order: str = "ord") -> DataFrame:
     return edges.groupBy("s", "o").agg(F.max_by("p", F.struct(order, "p")).alias("p"))
 
 
+def _escaped(name: str) -> Column:
+    """A column's text as XML."""
+    out = F.col(name)
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
 def graphml_lines(edges: DataFrame) -> DataFrame:
     """Edge elements of a GraphML document, one a row, for a text sink; the frame around them is the caller's."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    line = F.concat(F.lit('<edge source="'), esc("s"), F.lit('" target="'), esc("o"), F.lit('"><data key="r">'), esc("p"), F.lit("</data></edge>"))
+    line = F.concat(F.lit('<edge source="'), _escaped("s"), F.lit('" target="'), _escaped("o"), F.lit('"><data key="r">'), _escaped("p"), F.lit("</data></edge>"))
     return edges.select(line.alias("value"))
 
 
+# fixed values: the frame of a GraphML document whose edges have one property
+_GRAPHML_HEAD = [
+    '<?xml version="1.0" encoding="utf-8"?>',
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+    '<key id="r" for="edge" attr.name="r" attr.type="string"/>',
+    '<graph edgedefault="directed">',
+]
+_GRAPHML_END = ["</graph>", "</graphml>"]
+
+
+def graphml_document(edges: DataFrame) -> DataFrame:
+    """(part, place, value): the lines of a GraphML document: its head, a node each, the edges, its end.
+
+    Written as text in the order of part and place, the files one after the other are the document. Nodes and
+    edges are in order of their lines.
+    """
+    spark = edges.sparkSession
+    frame = [(part, i, x) for part, lines in ((0, _GRAPHML_HEAD), (3, _GRAPHML_END)) for i, x in enumerate(lines)]
+    ids = edges.select(F.explode(F.array("s", "o")).alias("node")).distinct()
+    nodes = ids.select(F.concat(F.lit('<node id="'), _escaped("node"), F.lit('"/>')).alias("value"))
+    rows = lambda df, part: df.select(F.lit(part).alias("part"), F.lit(0).alias("place"), "value")
+    return spark.createDataFrame(frame, "part int, place int, value string").unionByName(rows(nodes, 1)).unionByName(rows(graphml_lines(edges), 2))
+
+
+def write_graphml(edges: DataFrame, path: str) -> None:
+    """Write a GraphML document as text files whose names are in the order of the lines."""
+    graphml_document(edges).orderBy("part", "place", "value").select("value").write.text(path)
+
+
 def dot_lines(edges: DataFrame) -> DataFrame:
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
     return edges.select(F.concat(quote("s"), F.lit(" -> "), quote("o"), F.lit(" [label="), quote("p"), F.lit("];")).alias("value"))

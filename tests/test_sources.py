@@ -113,3 +113,17 @@ def test_deep_nesting_and_broken_json(spark):
     assert {r["k"] for r in got} == {1} and len(got) == 12
     legal = "<section eId='s'>" + "<block>" * 2000 + "<p>text</p>" + "</block>" * 2000 + "</section>"
     assert markup.legal_paragraphs(spark.createDataFrame([(1, legal)], "k long, xml string"), "k").first()["text"] == "text"
+
+
+def test_graphml_document(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    rows = [("a & b", "<p>", "c"), ("c", 'say "x"', "é"), ("é", "p", "a & b")]
+    V.write_graphml(spark.createDataFrame(rows, "s string, p string, o string"), f"file://{tmp_path}/g")
+    text = "".join(f.read_text() for f in sorted((tmp_path / "g").glob("part-*")))
+    graph = ET.fromstring(text.encode())[1]
+    name = "{http://graphml.graphdrawing.org/xmlns}"
+    assert {x.get("id") for x in graph.findall(f"{name}node")} == {"a & b", "c", "é"}
+    assert {(x.get("source"), x[0].text, x.get("target")) for x in graph.findall(f"{name}edge")} == set(rows)
+    (tmp_path / "whole.graphml").write_text(text)
+    assert {tuple(r) for r in V.read_graphml(spark, f"file://{tmp_path}/whole.graphml").collect()} == set(rows)
