@@ -109,3 +109,13 @@ def type_graph(spark, sf):
     for x in parts[1:]:
         out = out.unionByName(x)
     return entity.type_graph(out).withColumn("classes", F.array_join("classes", "|"))
+
+
+@query(f"""{TRIPLES}, e AS (SELECT DISTINCT s, p, o FROM triples WHERE p IN ('{V.SUBCLASS}', '{V.TYPE}')),
+x AS (SELECT s, p, o, replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS q FROM e)
+SELECT 0 AS part, CAST(i AS INTEGER) AS place, value FROM (SELECT unnest(range(4)) AS i, unnest(['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="r" for="edge" attr.name="r" attr.type="string"/>', '<graph edgedefault="directed">']) AS value)
+UNION ALL SELECT 1, 0, '<node id="' || node || '"/>' FROM (SELECT s AS node FROM e UNION SELECT o FROM e) UNION ALL SELECT 2, 0, '<edge source="' || s || '" target="' || o || '"><data key="r">' || q || '</data></edge>' FROM x
+UNION ALL SELECT 3, 0, '</graph>' UNION ALL SELECT 3, 1, '</graphml>'""")
+def graphml_document(spark, sf):
+    """The lines of a document of all classes and types."""
+    return V.graphml_document(V.from_tables(spark, sf).filter(F.col("p").isin(V.SUBCLASS, V.TYPE)).distinct())
