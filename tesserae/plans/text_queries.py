@@ -210,3 +210,13 @@ def common_words(spark, sf):
     counts = words.groupBy("word").agg(F.count("*").alias("k"))
     total = counts.agg(F.sum("k").alias("n"))
     return counts.crossJoin(F.broadcast(total)).select("word", "k", (F.col("k") / F.col("n") >= 0.0001).alias("is_common"))
+
+
+@query()
+def word_stems(spark, sf):
+    """The English stem of each different word of the conversations and benchmark passages, and how often it is said."""
+    from tesserae.functions.stems import stem
+
+    words = table(spark, sf, "conversations").select("text").unionByName(table(spark, sf, "benchmark").select("text"))
+    counts = words.select(F.explode(X.word_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return counts.select("word", stem(F.col("word")).alias("stem"), "n")
